@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.llm import quality
+from driftset.llm import licences, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_source_mixing": mixing.op6_source_mixing,
+        "op7_license_scan": licences.op7_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": mixing.SQL}
