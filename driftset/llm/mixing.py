@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every row gets a hash-random key.  Rows are range-split by that key within
-their source (a hot source falls into many ranges), sorted inside each range,
+their source (as many ranges as the square root of its rows, so neither a
+range nor the list of ranges grows with a hot source), sorted inside each range,
 and prefix sums of word counts run in two levels: inside a range by a window,
 over the ranges of a source by a second window over one row per range.  The
 budget of a source is then cut exactly: whole epochs, and of the last epoch
@@ -26,8 +27,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: The mix as a share of all words, and the largest multiple of any source.
 SHARE, EPOCHS = 1.5, 2
-#: Rows of a source per key range, on average.
-RANGE_ROWS = 1 << 16
 
 
 def words_in(text: Column) -> Column:
@@ -65,7 +64,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
 
 def take(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Adds rank, source_size, target and taken to rows with source, size, key."""
-    t = targets.select(F.col("source").alias("__of"), "rank", "source_size", "target", F.ceil(F.col("rows") / RANGE_ROWS).alias("__n"))
+    t = targets.select(F.col("source").alias("__of"), "rank", "source_size", "target", F.least(F.ceil(F.sqrt("rows")), F.lit(1 << 20)).alias("__n"))
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
     # keys have 60 bits; the upper 40 pick one of __n equal ranges
     rows = rows.withColumn("__range", F.shiftright(F.shiftright("key", 20) * F.col("__n"), 40))
