@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.llm import licences, mixing, quality
+from driftset.llm import boilerplate, licences, mixing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_license_scan": licences.op7_license_scan,
+        "op8_warc_roundtrip": warc.op8_warc_roundtrip,
+        "op10_line_dedup": boilerplate.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.SQL}
+    return {"op6_source_mixing": mixing.SQL, "op8_warc_roundtrip": warc.SQL, "op10_line_dedup": boilerplate.SQL}
