@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.llm import boilerplate, licences, mixing, quality, warc
+from driftset.llm import boilerplate, decontam, licences, mixing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_license_scan": licences.op7_license_scan,
         "op8_warc_roundtrip": warc.op8_warc_roundtrip,
+        "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
         "op10_line_dedup": boilerplate.op10_line_dedup,
     }
 
