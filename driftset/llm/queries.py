@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.llm import boilerplate, decontam, licences, mixing, quality, warc
+from driftset.llm import boilerplate, decontam, licences, lm, mixing, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op3_lm_scoring": lm.op3_lm_scoring,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_license_scan": licences.op7_license_scan,
