@@ -1,0 +1,39 @@
+"""Connected components of an edge table by contraction, distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftset.functions.shared import materialise
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the least node of its component) of every node with an edge.
+
+    ``edges`` has columns a and b.  Each round every node points to its least
+    neighbour, pointers are shortened, and the edges are contracted along
+    them; the edges left shrink at least by half, so rounds are logarithmic.
+    Only counts reach the driver; each round is written to the shared folder.
+    """
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    labels = None
+    while edges.limit(1).count():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "cc-up")
+        for _ in range(2):
+            to = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            up = up.join(to, "p").select("v", F.col("pp").alias("p"))
+        up = materialise(up, "cc-up")
+        if labels is None:
+            labels = up
+        else:
+            step = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            labels = labels.join(step, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
+        labels = materialise(labels, "cc-labels")
+        to_a, to_b = up.select(F.col("v").alias("a"), F.col("p").alias("pa")), up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        edges = edges.join(to_a, "a").join(to_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        edges = materialise(edges, "cc-edges")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return labels.select(F.col("v").alias("node"), F.col("p").alias("root"))

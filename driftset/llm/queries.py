@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.llm import boilerplate, decontam, licences, lm, mixing, quality, toxicity, warc
+from driftset.llm import boilerplate, decontam, jaccard, licences, lm, mixing, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_lm_scoring": lm.op3_lm_scoring,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.SQL, "op8_warc_roundtrip": warc.SQL, "op10_line_dedup": boilerplate.SQL}
+    return {"op2_ngram_jaccard": jaccard.SQL, "op6_source_mixing": mixing.SQL, "op8_warc_roundtrip": warc.SQL, "op10_line_dedup": boilerplate.SQL}
