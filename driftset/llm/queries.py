@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.llm import boilerplate, decontam, jaccard, licences, lm, mixing, quality, toxicity, warc
+from driftset.llm import boilerplate, decontam, jaccard, licences, lm, mixing, quality, suffixes, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_lm_scoring": lm.op3_lm_scoring,
+        "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_license_scan": licences.op7_license_scan,
