@@ -515,22 +515,8 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
 # ---------------------------------------------------------------- shards
 
 
-def _answer(rows: list[tuple[int, bytes]], shard: int, shards: int, hot1: np.ndarray) -> tuple[dict[int, bytes], int]:
-    """Partial sums of one shard by chunk, and its number of distinct training words."""
-    parts, docs, trained, owner = [], [], [], []
-    rest_h, rest_w, rest = [], [], []
-    for k, (_, blob) in enumerate(rows):
-        n = int.from_bytes(blob[:2], "little")
-        flags = np.unpackbits(np.frombuffer(blob, np.uint8, n, 2)).astype(bool)
-        h, w, q, doc, rh, rw, rn = _unpack(blob[2 + n :])
-        parts.append((h, w, q))
-        docs.append(doc)
-        trained.append(flags[doc])
-        owner.append(np.full(len(h), k, np.int32))
-        rest_h.append(rh), rest_w.append(rw), rest.append(rn)
-    h, w, q = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    doc, train, owner = np.concatenate(docs), np.concatenate(trained), np.concatenate(owner)
-    rest_h, rest_w, rest = np.concatenate(rest_h), np.concatenate(rest_w), np.concatenate(rest)
+def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, train: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray, shard: int, shards: int, hot1: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Counts of the context and log10 p of each event, and the distinct training words."""
     known = rest_w != _OTHER  # counts of spread pairs that other shards answer
     th, tw = np.concatenate((h[train], rest_h[known])), np.concatenate((w[train], rest_w[known]))
     tn = np.concatenate((np.ones(int(train.sum()), np.int64), rest[known]))
@@ -556,21 +542,51 @@ def _answer(rows: list[tuple[int, bytes]], shard: int, shards: int, hot1: np.nda
     # very long words: 10 ** -cost is 0 in doubles
     deep = ~np.isfinite(logp)
     logp[deep] = np.log10(left[deep]) - _COST[q[deep]]
-    out = {}
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-    for k, (chunk, _) in enumerate(rows):
-        a, b = cuts[k], cuts[k + 1]
-        d = doc[a:b]
-        some = np.flatnonzero(np.bincount(d, minlength=256))
-        base = np.bincount(d, weights=np.log10(total[a:b] + 1), minlength=256)[some]
-        score = np.bincount(d, weights=logp[a:b], minlength=256)[some]
-        n_known = np.bincount(d, weights=total[a:b] > 0, minlength=256)[some]
-        if len(some):
-            out[chunk] = some.astype(np.uint8).tobytes() + base.tobytes() + score.astype(np.float32).tobytes() + n_known.astype(np.uint32).tobytes()
     # a spread context is counted where its hash would have put it; the start mark counts for the end
     heads = np.unique(np.concatenate((th, rest_h)))
     heads = heads[~np.isin(heads, hot1) | ((mix(heads) % U64(shards)).astype(np.int64) == shard)]
-    return out, len(heads)
+    return total, logp, len(heads)
+
+
+#: Events that one trie is built from at a time; a shard is cut by context into such parts.
+PART_EVENTS = 400_000
+
+
+def _answer(rows: list[tuple[int, bytes]], shard: int, shards: int, hot1: np.ndarray) -> tuple[dict[int, bytes], int]:
+    """Partial sums of one shard by chunk, and its number of distinct training words."""
+    names = [k for k, _ in rows]
+    cols: list[list[np.ndarray]] = [[] for _ in range(9)]
+    for k in range(len(rows)):
+        blob = rows[k][1]
+        rows[k] = (names[k], b"")  # free as we go
+        n = int.from_bytes(blob[:2], "little")
+        flags = np.unpackbits(np.frombuffer(blob, np.uint8, n, 2)).astype(bool)
+        h, w, q, doc, *others = _unpack(blob[2 + n :])
+        for c, x in zip(cols, (h, w.astype(np.uint32), q, doc, flags[doc], np.full(len(h), k, np.uint32), *others)):
+            c.append(x)
+    h, w, q, doc, train, owner, rest_h, rest_w, rest = (np.concatenate(c) for c in cols)
+    del cols
+    parts = max(1, -(-len(h) // PART_EVENTS))
+    part = (mix(h ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
+    rest_part = (mix(rest_h ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
+    sums = np.zeros((3, len(rows) * 256))
+    types = 0
+    for p in range(parts):
+        e, r = np.flatnonzero(part == p), rest_part == p
+        total, logp, n = _part(h[e], w[e].astype(U64), q[e], train[e], rest_h[r], rest_w[r], rest[r], shard, shards, hot1)
+        types += n
+        at = owner[e].astype(np.int64) * 256 + doc[e]
+        for i, x in enumerate((np.log10(total + 1), logp, total > 0)):
+            sums[i] += np.bincount(at, weights=x, minlength=sums.shape[1])
+    used = np.zeros(sums.shape[1], bool)
+    used[owner.astype(np.int64) * 256 + doc] = True
+    out = {}
+    for k, chunk in enumerate(names):
+        some = np.flatnonzero(used[k * 256 : k * 256 + 256])
+        if len(some):
+            base, score, n_known = sums[:, k * 256 + some]
+            out[chunk] = some.astype(np.uint8).tobytes() + base.tobytes() + score.astype(np.float32).tobytes() + n_known.astype(np.uint32).tobytes()
+    return out, types
 
 
 def answer(dealt: DataFrame, hot: dict[int, int], shards: int) -> DataFrame:
