@@ -5,17 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftset.functions.shared import materialise
-from driftset.llm import quality
+from driftset.llm import boilerplate, decontam, jaccard, mixing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned decision list rejects go."""
+    """Documents that the base rules or the learned decision list reject go."""
     return quality.apply_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source go from the texts; every document stays."""
+    return boilerplate.dedup_documents(docs)
 
-#: The stages learn models and group by similarity; SQL cannot express them.
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: 5-word shingles, similarity 0.8."""
+    return jaccard.keep_one_of_each(docs, k=5, t=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window like a benchmark item go."""
+    return decontam.drop_contaminated(docs, decontam.item_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with size, source_size, target and taken words."""
+    return mixing.mix_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+]
+
+#: The first stage learns its rules and the third hashes; SQL cannot express them.
 ORACLE_SQL = None
 
 

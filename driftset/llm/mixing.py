@@ -85,14 +85,15 @@ def _finish(rows: DataFrame, offsets: DataFrame) -> DataFrame:
     )
 
 
-def mix(rows: DataFrame) -> DataFrame:
+def mix(rows: DataFrame, small: DataFrame | None = None) -> DataFrame:
     """``rows`` (source, size, key and any others) with the words each gives.
 
-    ``rows`` is read three times and should be materialised.
+    ``small`` has the same rows, narrow and materialised; it is read twice.
     """
-    targets = source_targets(rows)
+    small = (rows if small is None else small).select("source", "size", "key")
+    targets = source_targets(small)
     placed = take(rows, targets)
-    small = take(rows.select("source", "size", "key"), targets)
+    small = take(small, targets)
     upto = Window.partitionBy("rank").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         small.groupBy("rank", "__range").agg(F.sum("size").alias("__sum"))
@@ -119,8 +120,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     clash = {"size", "key", "rank", "source_size", "target", "taken"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} clash with those that mixing adds")
-    rows = materialise(keyed(docs, docs.columns), "mixing")
-    return mix(rows).where("taken > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken")
+    small = materialise(keyed(docs, ["source"]), "mixing")
+    return mix(keyed(docs, docs.columns), small).where("taken > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

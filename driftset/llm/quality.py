@@ -296,9 +296,8 @@ def apply_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     if measured is None:  # a clashing name: measure under neutral names, then restore
         plain = [f"c{i}" for i in range(len(docs.columns))]
         measured = text_statistics(docs.toDF(*plain), plain, plain[docs.columns.index("text")]).toDF(*docs.columns, stats)
-    table = materialise(measured, "quality")
-    rules = fit(table.select("doc_id", F.col(stats).alias("stats")), labels, fit_rows)
-    return table.where(~base_failed(stats) & as_condition(rules, stats)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rules = fit(materialise(text_statistics(docs, ["doc_id"]), "quality"), labels, fit_rows)
+    return measured.where(~base_failed(stats) & as_condition(rules, stats)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
