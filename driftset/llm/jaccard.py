@@ -5,6 +5,7 @@
 2. The incidences are dealt to column blocks by n-gram hash.  A block keeps
    one copy of each row and drops columns with a single row, as those add to
    no product.
+   A row stays in a column only if another row of like size has it.
 3. Size bound on rows: a link needs an overlap of at least t * |x|, so a row
    with fewer shared columns is gone.  This leaves near copies.
 4. Size bound on columns: of the rarest-first columns of a row only the first
@@ -117,7 +118,7 @@ def _incidences(docs: DataFrame, k: int, t: int, blocks: int) -> DataFrame:
     return docs.mapInArrow(run, "dest int, blob binary")
 
 
-def _column_block(blobs: list[bytes], dest: int) -> tuple[np.ndarray, ...]:
+def _column_block(blobs: list[bytes], dest: int, t: int) -> tuple[np.ndarray, ...]:
     """node, size, start offsets, n-gram ids and row counts of the shared columns."""
     nodes, sizes, counts, hashes = [], [], [], []
     for x in blobs:
@@ -137,46 +138,101 @@ def _column_block(blobs: list[bytes], dest: int) -> tuple[np.ndarray, ...]:
     h = h[np.repeat(keep, count)]
     node, size, count = node[keep], size[keep], count[keep]
     row = np.repeat(np.arange(len(node)), count)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
+    order = np.lexsort((size[row], h))
+    s, z = h[order], size[row][order].astype(np.int64)
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
     df = np.bincount(np.cumsum(new) - 1)
     many = np.zeros(len(h), np.int64)
     many[order] = np.repeat(df, df)
-    shared = many >= 2
+    # linked rows have like sizes: of the rows of a column, sorted by size, a row
+    # counts only if the one before or after it is within the bound
+    like = ~new[1:] & (100 * z[:-1] >= t * z[1:])
+    useful = np.zeros(len(s), bool)
+    useful[1:] |= like
+    useful[:-1] |= like
+    shared = np.zeros(len(h), bool)
+    shared[order] = useful
     row, h, many = row[shared], h[shared], many[shared]
     held = np.bincount(row, minlength=len(node))
     some = held > 0
     return node[some], size[some], held[some], h | (U64(dest & 0xFFFF) << U64(48)), many
 
 
+def _rows_of(blobs: list[bytes], t: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a node range that pass the size bound, put together from all column blocks."""
+    nodes, sizes, counts, ids, dfs = [], [], [], [], []
+    for x in blobs:
+        m, dest = np.frombuffer(x, np.uint32, 2).tolist()
+        nodes.append(np.frombuffer(x, np.uint64, m, 8))
+        sizes.append(np.frombuffer(x, np.uint32, m, 8 + 8 * m))
+        n = np.frombuffer(x, np.uint32, m, 8 + 12 * m).astype(np.int64)
+        counts.append(n)
+        total, at = int(n.sum()), 8 + 16 * m
+        low = np.frombuffer(x, np.uint32, total, at).astype(U64)
+        ids.append(low | (np.frombuffer(x, np.uint16, total, at + 4 * total).astype(U64) << U64(32)) | (U64(dest) << U64(48)))
+        dfs.append(np.frombuffer(x, np.uint16, total, at + 6 * total))
+    node, size, count, h, df = (np.concatenate(x) for x in (nodes, sizes, counts, ids, dfs))
+    names, at = np.unique(node, return_inverse=True)
+    held = np.bincount(at, weights=count, minlength=len(names)).astype(np.int64)
+    n = np.zeros(len(names), np.int64)
+    n[at] = size
+    stays = 100 * held >= t * n
+    keep = np.repeat(stays[at], count)
+    row = np.repeat(at, count)[keep]
+    h, df = h[keep], df[keep]
+    order = np.argsort(row, kind="stable")
+    row, h, df = row[order], h[order], df[order]
+    some = np.flatnonzero(stays)
+    lo, hi = np.searchsorted(row, some), np.searchsorted(row, some, side="right")
+    for c in range(0, len(some), 1024):
+        e = some[c : c + 1024]
+        cut = list(zip(lo[c : c + 1024].tolist(), hi[c : c + 1024].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_signed(names[e])), pa.array(n[e]), pa.array(held[e]), pa.array([float(df[a:z].sum()) for a, z in cut]),
+             pa.array([h[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([df[a:z].tobytes() for a, z in cut], pa.binary())],
+            names=["node", "n", "held", "common", "ids", "df"])
+
+
+def _by_dest(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
+    by: dict[int, list[bytes]] = {}
+    for b in batches:
+        for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by.setdefault(s, []).append(x)
+    return by
+
+
 def shared_columns(docs: DataFrame, k: int, t: int) -> DataFrame:
-    """Rows that pass the size bound: node, n, and their shared columns as blobs."""
+    """Rows that pass the size bound: node, n, held, common, and their shared columns (ids, df)."""
     blocks = min(1 << 16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for b in batches:
-            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(s, []).append(x)
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _by_dest(batches)
         for s in list(by):
-            node, size, held, ids, df = _column_block(by.pop(s), s)
-            ends = np.cumsum(held)
-            ids, df = ids.astype(np.uint64), df.astype(np.uint32)
-            for lo in range(0, len(node), 4096):
-                at = range(lo, min(lo + 4096, len(node)))
-                cut = [(int(ends[i] - held[i]), int(ends[i])) for i in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(node[lo : at.stop])), pa.array(size[lo : at.stop].astype(np.int64)), pa.array(held[lo : at.stop].astype(np.int64)),
-                     pa.array([float(df[a:z].sum()) for a, z in cut]), pa.array([ids[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([df[a:z].tobytes() for a, z in cut], pa.binary())],
-                    names=["node", "n", "held", "common", "ids", "df"],
-                )
-
-    rows = _incidences(docs, k, t, blocks).repartitionById(blocks, F.col("dest")).mapInArrow(run, "node bigint, n bigint, held bigint, common double, ids binary, df binary")
-    # at most one part for each column block and row: bounded by the size of a document
-    whole = rows.groupBy("node").agg(F.first("n").alias("n"), F.sum("held").alias("held"), F.sum("common").alias("common"), F.collect_list(F.struct("ids", "df")).alias("parts"))
-    return whole.where(F.col("held") * 100 >= F.col("n") * t)
+            node, size, held, ids, df = _column_block(by.pop(s), s, t)
+            to = (node % U64(blocks)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(blocks + 1))
+            inner = np.argsort(np.repeat(np.argsort(order, kind="stable"), held), kind="stable")
+            ids, df = ids[inner], np.minimum(df[inner], 65535).astype(np.uint16)
+            node, size, held = node[order], size[order].astype(np.uint32), held[order].astype(np.uint32)
+            ends = np.concatenate(([0], np.cumsum(held, dtype=np.int64)))
+            out = []
+            for p in np.flatnonzero(np.diff(cuts)):
+                e, i = slice(cuts[p], cuts[p + 1]), slice(ends[cuts[p]], ends[cuts[p + 1]])
+                out.append((int(p), b"".join(x.tobytes() for x in (
+                    np.array([cuts[p + 1] - cuts[p], s], np.uint32), node[e], size[e], held[e], (ids[i] & U64(0xFFFFFFFF)).astype(np.uint32),
+                    ((ids[i] >> U64(32)) & U64(0xFFFF)).astype(np.uint16), df[i]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["dest", "blob"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _by_dest(batches)
+        for s in list(by):
+            yield from _rows_of(by.pop(s), t)
+
+    blobs = _incidences(docs, k, t, blocks).repartitionById(blocks, F.col("dest")).mapInArrow(columns, "dest int, blob binary")
+    return blobs.repartitionById(blocks, F.col("dest")).mapInArrow(rows, "node bigint, n bigint, held bigint, common double, ids binary, df binary")
 
 
 def _prefix(rows: DataFrame, t: int) -> DataFrame:
@@ -185,9 +241,8 @@ def _prefix(rows: DataFrame, t: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gs, ns = [], []
-            for node, n, held, parts in zip(*(b.column(i).to_pylist() for i in range(4))):
-                ids = np.concatenate([np.frombuffer(p["ids"], np.uint64) for p in parts])
-                df = np.concatenate([np.frombuffer(p["df"], np.uint32) for p in parts])
+            for node, n, held, raw, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
+                ids, df = np.frombuffer(raw, np.uint64), np.frombuffer(counts, np.uint16)
                 # columns of its own come first in this order and lead nowhere
                 many = n - -(-n * t // 100) + 1 - (n - held)
                 gs.append(ids[np.lexsort((ids, df))[:many]])
@@ -195,11 +250,11 @@ def _prefix(rows: DataFrame, t: int) -> DataFrame:
             if gs:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(gs))), pa.array(np.concatenate(ns))], names=["g", "node"])
 
-    return rows.select("node", "n", "held", "parts").mapInArrow(run, "g bigint, node bigint")
+    return rows.select("node", "n", "held", "ids", "df").mapInArrow(run, "g bigint, node bigint")
 
 
-def _ids(parts: list[dict]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(p["ids"], np.uint64) for p in parts])
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -239,8 +294,8 @@ def _spanning(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[
     return [(i, int(r)) for i, r in enumerate(root) if i != r]
 
 
-def _multiply(rows: list[tuple[int, int, int, list]], t: int) -> list[tuple[int, int]]:
-    """Spanning links of one group: (node, n, side, parts); sides 0 and 1 are multiplied, or side 0 with itself."""
+def _multiply(rows: list[tuple[int, int, int, bytes]], t: int) -> list[tuple[int, int]]:
+    """Spanning links of one group: (node, n, side, ids); sides 0 and 1 are multiplied, or side 0 with itself."""
     rows.sort(key=lambda r: (r[2], r[0]))
     node, n, side = (np.array([r[i] for r in rows]) for i in range(3))
     ids = [_ids(r[3]) for r in rows]
@@ -260,9 +315,9 @@ def _multiply(rows: list[tuple[int, int, int, list]], t: int) -> list[tuple[int,
 
 
 def _group_links(rows: DataFrame, t: int, keys: list[str]) -> DataFrame:
-    """a, b: spanning links of each group of rows (keys.., node, n, side, parts)."""
+    """a, b: spanning links of each group of rows (keys.., node, n, side, ids)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys).select(*keys, "node", "n", "side", "parts")
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys).select(*keys, "node", "n", "side", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, []
@@ -290,17 +345,17 @@ def _with_pivot(rows: DataFrame, t: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, cache = [], {}
-            for comp, node, n, parts, pivot, pn, pparts in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for comp, node, n, raw, pivot, pn, praw in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if pivot not in cache:
-                    cache = {pivot: _ids(pparts)}
-                both = len(np.intersect1d(_ids(parts), cache[pivot], assume_unique=True))
+                    cache = {pivot: _ids(praw)}
+                both = len(np.intersect1d(_ids(raw), cache[pivot], assume_unique=True))
                 out.append((comp, node, 100 * both >= t * (n + pn - both), pivot))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["comp", "node", "linked", "pivot"])
 
     # the row whose columns are held by the most rows on average: copies stray from it
-    pivots = rows.groupBy("comp").agg(F.max_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("parts").alias("pparts")), F.struct(F.col("common") / F.col("n"), "node")).alias("p"))
-    return rows.join(pivots, "comp").select("comp", "node", "n", "parts", "p.pivot", "p.pn", "p.pparts").mapInArrow(run, "comp bigint, node bigint, linked boolean, pivot bigint")
+    pivots = rows.groupBy("comp").agg(F.max_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("ids").alias("pids")), F.struct(F.col("common") / F.col("n"), "node")).alias("p"))
+    return rows.join(pivots, "comp").select("comp", "node", "n", "ids", "p.pivot", "p.pn", "p.pids").mapInArrow(run, "comp bigint, node bigint, linked boolean, pivot bigint")
 
 
 def node_links(docs: DataFrame, k: int, t: int, text: str = "text") -> DataFrame:
@@ -312,8 +367,8 @@ def node_links(docs: DataFrame, k: int, t: int, text: str = "text") -> DataFrame
     comps = components(stars).withColumnRenamed("root", "comp")
     sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
     held = materialise(
-        rows.join(comps, "node").join(sizes, "comp").select("comp", "m", "node", "n", "common", "parts"), "jaccard-groups")
-    small = held.where(F.col("m") <= TILE).select("comp", "node", "n", F.lit(0).alias("side"), "parts")
+        rows.join(comps, "node").join(sizes, "comp").select("comp", "m", "node", "n", "common", "ids"), "jaccard-groups")
+    small = held.where(F.col("m") <= TILE).select("comp", "node", "n", F.lit(0).alias("side"), "ids")
     links = _group_links(small, t, ["comp"])
     large = held.where(F.col("m") > TILE)
     if large.limit(1).count():
@@ -329,7 +384,7 @@ def node_links(docs: DataFrame, k: int, t: int, text: str = "text") -> DataFrame
         rows2 = rows2.select("*", other.alias("other"))
         pairs = rows2.select(
             "comp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "n",
-            F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"), "parts")
+            F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"), "ids")
         links = links.unionByName(_group_links(pairs, t, ["comp", "i", "j"]))
     return links
 
