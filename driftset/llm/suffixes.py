@@ -404,7 +404,8 @@ def _margins(docs: DataFrame, side: str, length: int, blocks: int) -> DataFrame:
 
 
 def _splitters(docs: DataFrame, blocks: int, length: int, gram: int) -> list[bytes]:
-    texts = [r.text for r in docs.select("text").where(F.octet_length("text") >= length).orderBy(F.xxhash64("rid")).limit(SPLIT_DOCS).collect()]
+    ids = docs.where(F.octet_length("text") >= length).select("rid").orderBy(F.xxhash64("rid")).limit(SPLIT_DOCS).collect()
+    texts = [r.text for r in docs.where(F.col("rid").isin([r.rid for r in ids])).select("text").collect()] if ids else []
     found = []
     for c in chunks(pa.array(texts, pa.large_string())):
         data = c.data.tobytes()
