@@ -269,11 +269,12 @@ def fit(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> lis
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
-    rows = (
-        measured.where(~base_failed()).join(known, "doc_id")
-        .select("quality", *[feature(k).alias(k) for k in FEATURES], F.xxhash64("doc_id").alias("__key"))
-        .orderBy("__key").limit(fit_rows).toPandas()
-    )
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    rows = measured.where(~base_failed()).join(known, "doc_id").select("quality", *[feature(k).alias(k) for k in FEATURES], place.alias("__place"), F.xxhash64("doc_id").alias("__key"))
+    n = rows.count()
+    if n > fit_rows:  # what cannot be among the first in hash order stays where it is
+        rows = rows.where(F.col("__place") <= int((1 << 20) * min(1.0, 1.1 * fit_rows / n + 0.001)))
+    rows = rows.orderBy("__place", "__key").limit(fit_rows).toPandas()
     if not len(rows):
         return []
     return learn_decision_list({k: rows[k].to_numpy(float) for k in FEATURES}, rows["quality"].to_numpy() == 0)
