@@ -121,46 +121,45 @@ _COST = np.where(np.arange(256) < 200, np.arange(256) / 8.0, 25 * 1.18 ** np.max
 # ---------------------------------------------------------------- Elias-Fano
 
 
-class BitVector:
-    """Bits with select for ones or zeros by sampled positions and popcounts."""
+def _byte_select() -> np.ndarray:
+    """Place of the k-th one of each byte."""
+    out = np.zeros((256, 8), np.int64)
+    for v in range(256):
+        ones = [i for i in range(8) if v >> i & 1]
+        out[v, : len(ones)] = ones
+    return out
+
+
+_SELECT8, _COUNT8 = _byte_select(), np.array([v.bit_count() for v in range(256)], np.uint8)
 
-    SAMPLE = 32
 
-    def __init__(self, words: np.ndarray, samples: dict[int, np.ndarray]):
-        self.words, self.samples = words, samples
+class BitVector:
+    """Bits with select for ones or zeros by a directory of counts before each word."""
+
+    def __init__(self, words: np.ndarray, before: dict[int, np.ndarray]):
+        self.words, self.before = words, before
 
     @classmethod
     def build(cls, ones: np.ndarray, length: int) -> "BitVector":
         bits = np.zeros(-(-(length + 1) // 64) * 64, np.uint8)
         bits[ones] = 1
-        zeros = np.flatnonzero(bits[: length + 1] == 0)
-        return cls(np.packbits(bits, bitorder="little").view(U64), {1: ones[:: cls.SAMPLE].astype(np.int64), 0: zeros[:: cls.SAMPLE].astype(np.int64)})
+        words = np.packbits(bits, bitorder="little").view(U64)
+        n = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+        n = np.concatenate(([0], n[:-1]))
+        return cls(words, {1: n.astype(np.uint32), 0: (64 * np.arange(len(n)) - n).astype(np.uint32)})
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Positions of the ``k``-th (from 0) bits equal to ``bit``."""
-        pos = self.samples[bit][k // self.SAMPLE]
-        rest = k % self.SAMPLE
-        word = pos >> 6
-        cur = self.words[word] if bit else ~self.words[word]
-        cur = cur & (U64(0xFFFFFFFFFFFFFFFF) << (pos & 63).astype(U64))
-        have = np.bitwise_count(cur).astype(np.int64)
-        todo = np.flatnonzero(rest >= have)
-        while len(todo):
-            rest[todo] -= have[todo]
-            word[todo] += 1
-            w = self.words[word[todo]]
-            cur[todo] = w if bit else ~w
-            have[todo] = np.bitwise_count(cur[todo])
-            todo = todo[rest[todo] >= have[todo]]
-        out = word << 6
-        for width in (32, 16, 8, 4, 2, 1):  # halve the word around the bit
-            low = cur & U64((1 << width) - 1)
-            n = np.bitwise_count(low).astype(np.int64)
-            up = rest >= n
-            rest = np.where(up, rest - n, rest)
-            cur = np.where(up, cur >> U64(width), low)
-            out = out + np.where(up, width, 0)
-        return out
+        before = self.before[bit]
+        word = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
+        rest = k - before[word]
+        cur = self.words[word]
+        octets = np.ascontiguousarray(cur if bit else ~cur).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(_COUNT8[octets], axis=1, dtype=np.int64)
+        at = (upto <= rest[:, None]).sum(axis=1)
+        row = np.arange(len(k))
+        rest = rest - np.where(at > 0, upto[row, np.maximum(at - 1, 0)], 0)
+        return word * 64 + at * 8 + _SELECT8[octets[row, at], rest]
 
 
 class EliasFano:
@@ -222,7 +221,7 @@ class EliasFano:
         return out
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.lows, self.high.words, self.high.samples[0], self.high.samples[1]]
+        return [self.lows, self.high.words, self.high.before[0], self.high.before[1]]
 
     def mapped(self, a: list[np.ndarray]) -> "EliasFano":
         return EliasFano(self.n, self.low, a[0], BitVector(a[1], {0: a[2], 1: a[3]}), self.buckets)
@@ -518,30 +517,44 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
 def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, train: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray, shard: int, shards: int, hot1: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Counts of the context and log10 p of each event, and the distinct training words."""
     known = rest_w != _OTHER  # counts of spread pairs that other shards answer
-    th, tw = np.concatenate((h[train], rest_h[known])), np.concatenate((w[train], rest_w[known]))
-    tn = np.concatenate((np.ones(int(train.sum()), np.int64), rest[known]))
-    order = np.lexsort((tw, th))
-    th, tw, tn = th[order], tw[order], tn[order]
-    new = np.ones(len(th), bool)
-    new[1:] = (th[1:] != th[:-1]) | (tw[1:] != tw[:-1])
-    group = np.cumsum(new) - 1
-    trie = Trie(th[new], tw[new], np.bincount(group, weights=tn, minlength=int(new.sum())), rest_h[~known], rest[~known])
-    rank = trie.contexts(h)
-    total = np.where(rank >= 0, trie.total[np.maximum(rank, 0)], 0.0) if trie.level1.n else np.zeros(len(h))
-    child = trie.successor(rank, w)
-    seen = np.where(child >= 0, 10.0 ** (-_STEP * trie.quantised[np.maximum(child, 0)].astype(float)), 0.0) if trie.level2.n else np.zeros(len(h))
-    left = np.ones(len(h))  # the share of p0; all of it after an unknown context
+    n = len(h)
+    ah, aw = np.concatenate((h, rest_h[known])), np.concatenate((w, rest_w[known]))
+    weight = np.concatenate((train.astype(np.int64), rest[known]))
+    order = np.lexsort((aw, ah))
+    ah, aw = ah[order], aw[order]
+    new = np.ones(len(ah), bool)
+    new[1:] = (ah[1:] != ah[:-1]) | (aw[1:] != aw[:-1])
+    # each distinct pair is looked up once, whatever the number of its events
+    pair = np.empty(len(ah), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    ph, pw = ah[new], aw[new]
+    count = np.bincount(pair, weights=weight, minlength=len(ph))
+    some = count > 0
+    trie = Trie(ph[some], pw[some], count[some], rest_h[~known], rest[~known])
+    head = np.ones(len(ph), bool)
+    head[1:] = ph[1:] != ph[:-1]
+    rank = trie.contexts(ph[head])  # of each distinct context
     old = np.flatnonzero(rank >= 0)
+    total, left = np.zeros(len(rank)), np.ones(len(rank))  # left: the share of p0; all of it after an unknown context
     if len(old):
+        total[old] = trie.total[rank[old]]
         # a spread context has about as many successors in each other shard
-        spread = np.where(np.isin(h[old], hot1), shards, 1)
+        spread = np.where(np.isin(ph[head][old], hot1), shards, 1)
         n_next = np.maximum(trie.successors(rank[old]) * spread, 1)
         left[old] = np.minimum(trie.discount * n_next / np.maximum(total[old], 1), 1.0)
+    of = np.cumsum(head) - 1
+    child = trie.successor(rank[of], pw)
+    seen = np.zeros(len(ph))
+    hit = np.flatnonzero(child >= 0)
+    seen[hit] = 10.0 ** (-_STEP * trie.quantised[child[hit]].astype(float))
+    mine = pair[:n]
+    seen, left, total = seen[mine], left[of][mine], total[of][mine]
     with np.errstate(divide="ignore"):
-        logp = np.log10(seen + left * 10.0 ** -_COST[q])
+        logp = np.log10(seen + left * (10.0 ** -_COST)[q])
     # very long words: 10 ** -cost is 0 in doubles
     deep = ~np.isfinite(logp)
     logp[deep] = np.log10(left[deep]) - _COST[q[deep]]
+    th = ph[some]
     # a spread context is counted where its hash would have put it; the start mark counts for the end
     heads = np.unique(np.concatenate((th, rest_h)))
     heads = heads[~np.isin(heads, hot1) | ((mix(heads) % U64(shards)).astype(np.int64) == shard)]
