@@ -13,9 +13,12 @@ its trie from the training events and answers every event against it:
 
 p(w | h) = (max(c(h, w) - D, 0) + D * T(h) * p0(w)) / c(h), interpolated absolute
 discounting with T(h) distinct successors and D from the counts of counts of
-the shard; p0 mixes the unigrams of the TOP_WORDS most frequent words with a
+the shard; p0 mixes the exact unigrams of all training words with a
 byte-trigram model of words and a uniform share for the V word types (V
 estimated from the least hashes), so every text has a probability.  Counts are over all training documents.
+Map tasks know the counts of the (at most TOP_WORDS) most frequent words; for
+each other word they name the shards that meet it, and a join with the table
+of word counts sends its count there.
 
 A context with a large share of all tokens is spread over all shards by
 token (and, for a pair that is itself that frequent, by chunk of documents);
@@ -45,8 +48,10 @@ from pyspark.sql import functions as F
 from driftset.functions.shared import materialise
 from driftset.llm.textblocks import U64, Chunk, chunks, mix, span_hash
 
-#: Words of the bounded unigram table in p0, and the least count in a partition to enter it.
-TOP_WORDS, TOP_LEAST = 65_536, 8
+#: Most words whose counts map tasks hold; those of the others reach the shards by a join.
+TOP_WORDS = 65_536
+#: Distinct words a map task holds before it passes their counts on.
+HELD_WORDS = 1 << 21
 #: Least hashes kept to estimate the number of word types.
 SKETCH = 2048
 #: Documents a chunk: their numbers fit a byte.
@@ -316,12 +321,17 @@ def _merge(a: tuple[np.ndarray, np.ndarray], key: np.ndarray, n: np.ndarray) ->
     return both, np.bincount(inverse, weights=np.concatenate((a[1], n)), minlength=len(both)).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[int, int], tuple[np.ndarray, np.ndarray, float]]:
-    """Byte trigram counts, training tokens, spread contexts and pairs, top words.
+def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[int, int], tuple[np.ndarray, np.ndarray, float], DataFrame]:
+    """Byte trigram counts, training tokens, spread contexts and pairs, top words, and (word, count) of all others.
 
     Bounded tables (64**3 counts, HOT_MOST and TOP_WORDS entries) reach the driver.
     """
 
+    def rows_of(words: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(words[0]), 1 << 18):
+            w, k = words[0][lo : lo + (1 << 18)], words[1][lo : lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), 5, np.int32)), pa.array(w.astype(np.int64)), pa.array(k)], names=["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hot, n, n_all = np.zeros(64**3, np.int64), Counter(), 0, 0
         words = fresh = (np.zeros(0, U64), np.zeros(0, np.int64))
@@ -341,17 +351,19 @@ def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[int, int], tup
                 fresh = _merge(fresh, u, k)
                 if len(fresh[0]) > 1 << 19:
                     words, fresh = _merge(words, *fresh), (np.zeros(0, U64), np.zeros(0, np.int64))
+                if len(words[0]) > HELD_WORDS:
+                    yield from rows_of(words)
+                    words = (np.zeros(0, U64), np.zeros(0, np.int64))
                 for kind, key in ((1, context), (2, _pair_key(context, token))):
                     v, k = np.unique(key, return_counts=True)
                     for x in np.flatnonzero(k > HOT_SHARE / 2 * len(doc)):
                         hot[kind, int(v[x])] += int(k[x])
         some = np.flatnonzero(counts)
         top = hot.most_common(4 * HOT_MOST)
-        words = _merge(words, *fresh)
-        often = words[1] >= TOP_LEAST
-        kind = np.concatenate((np.zeros(len(some), np.int64), np.full(often.sum(), 5), np.full(len(least), 6), [k for (k, _), _ in top], [3, 4])).astype(np.int32)
-        key = np.concatenate((some, words[0][often].astype(np.int64), least.astype(np.int64), np.array([v for (_, v), _ in top], U64).astype(np.int64), [0, 0])).astype(np.int64)
-        value = np.concatenate((counts[some], words[1][often], np.ones(len(least), np.int64), [k for _, k in top], [n, n_all])).astype(np.int64)
+        yield from rows_of(_merge(words, *fresh))
+        kind = np.concatenate((np.zeros(len(some), np.int64), np.full(len(least), 6), [k for (k, _), _ in top], [3, 4])).astype(np.int32)
+        key = np.concatenate((some, least.astype(np.int64), np.array([v for (_, v), _ in top], U64).astype(np.int64), [0, 0])).astype(np.int64)
+        value = np.concatenate((counts[some], np.ones(len(least), np.int64), [k for _, k in top], [n, n_all])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(value)], names=["kind", "key", "n"])
 
     summed = docs.select("text", "train").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -361,11 +373,20 @@ def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[int, int], tup
     counts = np.zeros(64**3, np.int64)
     small = rows.where("kind = 0").toPandas()
     counts[small["key"].to_numpy(int)] = small["n"].to_numpy(int)
-    often = rows.where("kind = 5").orderBy(F.desc("n"), "key").limit(TOP_WORDS).toPandas().sort_values("key")
+    # classes of about equal count, from the top while they fit; the few class sizes reach the driver
+    words = rows.where("kind = 5").select("key", "n", F.floor(F.log2("n") * 8).cast("int").alias("level"))
+    least_level, held = 1 << 30, 0
+    for r in sorted(words.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > TOP_WORDS:
+            break
+        least_level = r["level"]
+    often = words.where(F.col("level") >= least_level).toPandas().sort_values("key")
+    others = words.where(F.col("level") < least_level).select(F.col("key").alias("word"), "n")
     small = [r.key for r in rows.where("kind = 6").orderBy("key").limit(SKETCH).collect()]
     types = (SKETCH - 1) / small[-1] * 2.0**48 if len(small) == SKETCH else float(len(small))
     top = (often["key"].to_numpy(np.int64).astype(U64), often["n"].to_numpy(np.int64), types)
-    return counts, total.get(3, 0), {r.key % (1 << 64): r.kind for r in hot}, top
+    return counts, total.get(3, 0), {r.key % (1 << 64): r.kind for r in hot}, top, others
 
 
 MAP_SCHEMA = "dest int, chunk bigint, ids array<bigint>, n_tokens array<bigint>, train array<boolean>, blob binary"
@@ -377,23 +398,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def _pack(h: np.ndarray, w: np.ndarray, q: np.ndarray, doc: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray) -> bytes:
-    """Events sorted by context (each context once) and counts kept elsewhere."""
+def _pack(h: np.ndarray, w: np.ndarray, q: np.ndarray, doc: np.ndarray, rare: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray) -> bytes:
+    """Events sorted by context (each context once) and counts kept elsewhere; rare words keep all 48 bits."""
     order = np.argsort(h, kind="stable")
+    rare = rare[order]
     u, n = np.unique(h, return_counts=True)
-    head = np.array([len(u), len(h), len(rest)], np.uint32)
+    head = np.array([len(u), len(h), len(rest), rare.sum()], np.uint32)
     return b"".join(
         x.tobytes() for x in (
             head, (u & _W32).astype(np.uint32), (u >> U64(32)).astype(np.uint16), n.astype(np.uint32) if len(n) and n.max() > 255 else n.astype(np.uint8),
             np.array([int(len(n) > 0 and n.max() > 255)], np.uint8), (w[order] & _W32).astype(np.uint32), q[order], doc[order].astype(np.uint8),
-            rest_h.astype(np.uint64), rest_w.astype(np.uint64), rest.astype(np.uint32),
+            np.packbits(rare), (w[order][rare] >> U64(32)).astype(np.uint16), rest_h.astype(np.uint64), rest_w.astype(np.uint64), rest.astype(np.uint32),
         )
     )
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    nu, ne, nr = np.frombuffer(blob, np.uint32, 3).tolist()
-    at = 12
+    nu, ne, nr, n_rare = np.frombuffer(blob, np.uint32, 4).tolist()
+    at = 16
 
     def take(t: type, n: int) -> np.ndarray:
         nonlocal at
@@ -402,12 +424,13 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         return x
 
     u = take(np.uint32, nu).astype(U64) | (take(np.uint16, nu).astype(U64) << U64(32))
-    tail = ne * 6 + nr * 20
+    tail = ne * 6 + -(-ne // 8) + n_rare * 2 + nr * 20
     wide = (len(blob) - at - tail - 1) == 4 * nu and nu > 0
     n = take(np.uint32 if wide else np.uint8, nu).astype(np.int64)
     at += 1
     w, q, doc = take(np.uint32, ne), take(np.uint8, ne), take(np.uint8, ne)
-    return np.repeat(u, n), w.astype(U64), q, doc, take(np.uint64, nr), take(np.uint64, nr), take(np.uint32, nr).astype(np.int64)
+    rare = np.unpackbits(take(np.uint8, -(-ne // 8)), count=ne).astype(bool)
+    return np.repeat(u, n), w.astype(U64), q, doc, rare, take(np.uint16, n_rare), take(np.uint64, nr), take(np.uint64, nr), take(np.uint32, nr).astype(np.int64)
 
 
 #: Stands for all tokens of a context that another shard holds.
@@ -415,29 +438,36 @@ _OTHER = U64(1 << 40)
 
 
 class WordModel:
-    """p0: a bounded unigram table, byte model, one of V types; and the end mark.
+    """p0: the unigrams, byte model, one of V types; and the end mark.
 
-    As in the base score, a word that no table knows is one of V types, so the
-    probabilities are those of a vocabulary with an unknown-word class.
+    As in the base score, a word without a training count is one of V types, so
+    the probabilities are those of a vocabulary with an unknown-word class.
     """
 
     def __init__(self, counts: np.ndarray, n: int, top: tuple[np.ndarray, np.ndarray, float]):
         ends = int(counts.reshape(64, 64, 64)[:, :, 0].sum())  # as many as training words
         self.p_end = (n - ends + 1) / (n + 2)
         self.bytes = ByteModel(counts)
-        self.keys, self.share = top[0], top[1] / max(1, top[1].sum())
-        self.alpha = min(0.95, float(top[1].sum()) / max(1, ends))
+        self.keys, self.counts = top[0], top[1]
+        self.alpha = 0.95 if ends else 0.0
+        #: Unigram share of one training occurrence.
+        self.each = (1 - self.p_end) * self.alpha / max(1, ends)
         self.types = max(1.0, top[2])
 
-    def costs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def held(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words the table of the most frequent has, and their places there."""
+        if not len(self.keys):
+            return np.zeros(len(token), bool), np.zeros(len(token), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
+        return self.keys[at] == token, at
+
+    def costs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """-log10 p0 of each word, and whether its unigram share is in it."""
         p = 0.5 * 10.0 ** -self.bytes.costs(data, starts, ends) + 0.5 / self.types
         cost = -np.log10(p * (1 - self.alpha) * (1 - self.p_end))
-        if len(self.keys) and len(token):
-            at = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
-            hit = self.keys[at] == token
-            p = 10.0 ** -cost[hit] + (1 - self.p_end) * self.alpha * self.share[at[hit]]
-            cost[hit] = -np.log10(p)
-        return cost
+        hit, at = self.held(token)
+        cost[hit] = -np.log10(10.0 ** -cost[hit] + self.each * self.counts[at[hit]])
+        return cost, hit
 
 
 def _elsewhere(h: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarray, hot1: np.ndarray, hot2: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
@@ -472,6 +502,77 @@ def _elsewhere(h: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarra
     return s[order], rh[order], rw[order], rn[order]
 
 
+def _route(h: np.ndarray, w: np.ndarray, hot1: np.ndarray, hot2: np.ndarray, shards: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard of each event, and whether its context and its pair are spread (a spread pair goes by chunk)."""
+    dest = (mix(h) % U64(shards)).astype(np.int64)
+    is_hot, is_pair = np.isin(h, hot1), np.zeros(len(h), bool)
+    if is_hot.any():
+        key = _pair_key(h[is_hot], w[is_hot])
+        is_pair[is_hot] = pair = np.isin(key, hot2)
+        dest[is_hot] = (mix(key + np.where(pair, U64(chunk), U64(0))) % U64(shards)).astype(np.int64)
+    return dest, is_hot, is_pair
+
+
+#: Requests a map task holds before it passes them on.
+HELD_REQUESTS = 1 << 21
+
+
+def word_counts(docs: DataFrame, model: WordModel, others: DataFrame, hot: dict[int, int], shards: int) -> DataFrame:
+    """Rows for shards like those of ``deal``, of chunk -1: counts of the words that a shard meets and map tasks lack."""
+    hot1 = np.array(sorted(k for k, v in hot.items() if v == 1), U64)
+    hot2 = np.array(sorted(k for k, v in hot.items() if v == 2), U64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(asked), 1 << 18):
+                x = asked[lo : lo + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array((x >> U64(16)).astype(np.int64)), pa.array((x & U64(0xFFFF)).astype(np.int32))], names=["word", "dest"])
+
+        asked, fresh, n_fresh = np.zeros(0, U64), [], 0
+        for b in batches:
+            for c in small_chunks(b.column(0)):
+                h, w, _, (_, _, _, at) = events(c)
+                h, w = h[at], w[at]
+                rare = ~model.held(w)[0]
+                h, w = h[rare], w[rare]
+                dest, _, pair = _route(h, w, hot1, hot2, shards, 0)
+                far = np.unique(w[pair])  # any shard may meet these
+                fresh += [(w[~pair] << U64(16)) | dest[~pair].astype(U64), ((far << U64(16))[:, None] | np.arange(shards, dtype=U64)).ravel()]
+                n_fresh += len(fresh[-2]) + len(fresh[-1])
+                if n_fresh > HELD_REQUESTS // 4:
+                    asked, fresh, n_fresh = np.unique(np.concatenate((asked, *fresh))), [], 0
+                if len(asked) > HELD_REQUESTS:
+                    yield from rows()
+                    asked = np.zeros(0, U64)
+        asked = np.unique(np.concatenate((asked, *fresh)))
+        yield from rows()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            w, n, dest = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((w, dest))
+            w, n, dest = w[order].astype(U64), n[order], dest[order]
+            some, first = np.unique(dest, return_index=True)
+            return _batch([
+                (int(s), -1, None, None, None, (w[lo:hi] & _W32).astype(np.uint32).tobytes() + n[lo:hi].astype(np.uint32).tobytes() + (w[lo:hi] >> U64(32)).astype(np.uint16).tobytes())
+                for s, lo, hi in zip(some, first, [*first[1:], len(dest)])
+            ])
+
+        got, held = [], 0
+        for b in batches:
+            if b.num_rows:
+                got.append(tuple(b.column(i).to_numpy() for i in range(3)))
+                held += b.num_rows
+            if held > HELD_REQUESTS:
+                yield rows()
+                got, held = [], 0
+        if got:
+            yield rows()
+
+    asked = docs.select("text").mapInArrow(ask, "word bigint, dest int")
+    return asked.join(others, "word").select("word", "n", "dest").mapInArrow(pack, MAP_SCHEMA)
+
+
 def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) -> DataFrame:
     """Rows for shards: one per chunk and shard, and one per chunk that describes it."""
     hot1 = np.array(sorted(k for k, v in hot.items() if v == 1), U64)
@@ -486,14 +587,11 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
                 serial += 1
                 h, w, doc, (data, starts, ends, at) = events(c)
                 q = np.full(len(h), quantise(-np.log10(np.array([model.p_end])))[0])
-                q[at] = quantise(model.costs(data, starts, ends, w[at]))
+                cost, held = model.costs(data, starts, ends, w[at])
+                q[at], rare = quantise(cost), np.zeros(len(h), bool)
+                rare[at] = ~held
                 mine = train[c.lo : c.hi]
-                dest = (mix(h) % U64(shards)).astype(np.int64)
-                is_hot = np.isin(h, hot1)
-                if is_hot.any():
-                    key = _pair_key(h[is_hot], w[is_hot])
-                    pair = np.isin(key, hot2)
-                    dest[is_hot] = (mix(key + np.where(pair, U64(chunk), U64(0))) % U64(shards)).astype(np.int64)
+                dest, is_hot, _ = _route(h, w, hot1, hot2, shards, chunk)
                 rs, rh, rw, rn = _elsewhere(h, w, dest, is_hot & mine[doc], hot1, hot2, shards)
                 rcut = np.searchsorted(rs, np.arange(shards + 1))
                 order = np.argsort(dest, kind="stable")
@@ -504,7 +602,7 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
                     e = order[cuts[s] : cuts[s + 1]]
                     r = slice(rcut[s], rcut[s + 1])
                     if len(e) or rcut[s + 1] > rcut[s]:
-                        blob = _pack(h[e], w[e], q[e], doc[e], rh[r], rw[r], rn[r])
+                        blob = _pack(h[e], w[e], q[e], doc[e], rare[e], rh[r], rw[r], rn[r])
                         rows.append((s, chunk, None, None, None, len(flags).to_bytes(2, "little") + flags + blob))
                 yield _batch(rows)
 
@@ -514,8 +612,11 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
 # ---------------------------------------------------------------- shards
 
 
-def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, train: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray, shard: int, shards: int, hot1: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Counts of the context and log10 p of each event, and the distinct training words."""
+def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, unigram: np.ndarray, train: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray, shard: int, shards: int, hot1: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Counts of the context and log10 p of each event, and the distinct training words.
+
+    ``unigram`` is the share of p0 that is not in ``q``.
+    """
     known = rest_w != _OTHER  # counts of spread pairs that other shards answer
     n = len(h)
     ah, aw = np.concatenate((h, rest_h[known])), np.concatenate((w, rest_w[known]))
@@ -550,7 +651,7 @@ def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, train: np.ndarray, rest_h
     mine = pair[:n]
     seen, left, total = seen[mine], left[of][mine], total[of][mine]
     with np.errstate(divide="ignore"):
-        logp = np.log10(seen + left * (10.0 ** -_COST)[q])
+        logp = np.log10(seen + left * ((10.0 ** -_COST)[q] + unigram))
     # very long words: 10 ** -cost is 0 in doubles
     deep = ~np.isfinite(logp)
     logp[deep] = np.log10(left[deep]) - _COST[q[deep]]
@@ -565,20 +666,37 @@ def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, train: np.ndarray, rest_h
 PART_EVENTS = 400_000
 
 
-def _answer(rows: list[tuple[int, bytes]], shard: int, shards: int, hot1: np.ndarray) -> tuple[dict[int, bytes], int]:
+def _known_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words and their counts."""
+    w, n = [np.zeros(0, U64)], [np.zeros(0, np.uint32)]
+    for x in blobs:
+        m = len(x) // 10
+        w.append(np.frombuffer(x, np.uint32, m).astype(U64) | (np.frombuffer(x, np.uint16, m, 8 * m).astype(U64) << U64(32)))
+        n.append(np.frombuffer(x, np.uint32, m, 4 * m))
+    words, first = np.unique(np.concatenate(w), return_index=True)
+    return words, np.concatenate(n)[first]
+
+
+def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], each: float, shard: int, shards: int, hot1: np.ndarray) -> tuple[dict[int, bytes], int]:
     """Partial sums of one shard by chunk, and its number of distinct training words."""
     names = [k for k, _ in rows]
-    cols: list[list[np.ndarray]] = [[] for _ in range(9)]
+    words, counted = _known_words(counts)
+    cols: list[list[np.ndarray]] = [[] for _ in range(10)]
     for k in range(len(rows)):
         blob = rows[k][1]
         rows[k] = (names[k], b"")  # free as we go
         n = int.from_bytes(blob[:2], "little")
         flags = np.unpackbits(np.frombuffer(blob, np.uint8, n, 2)).astype(bool)
-        h, w, q, doc, *others = _unpack(blob[2 + n :])
-        for c, x in zip(cols, (h, w.astype(np.uint32), q, doc, flags[doc], np.full(len(h), k, np.uint32), *others)):
+        h, w, q, doc, rare, high, *others = _unpack(blob[2 + n :])
+        unigram = np.zeros(len(h), np.uint32)
+        if len(words) and len(high):
+            word = w[rare] | (high.astype(U64) << U64(32))
+            at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+            unigram[rare] = np.where(words[at] == word, counted[at], 0)
+        for c, x in zip(cols, (h, w.astype(np.uint32), q, unigram, doc, flags[doc], np.full(len(h), k, np.uint32), *others)):
             c.append(x)
-    h, w, q, doc, train, owner, rest_h, rest_w, rest = (np.concatenate(c) for c in cols)
-    del cols
+    h, w, q, unigram, doc, train, owner, rest_h, rest_w, rest = (np.concatenate(c) for c in cols)
+    del cols, words, counted
     parts = max(1, -(-len(h) // PART_EVENTS))
     part = (mix(h ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
     rest_part = (mix(rest_h ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
@@ -586,7 +704,7 @@ def _answer(rows: list[tuple[int, bytes]], shard: int, shards: int, hot1: np.nda
     types = 0
     for p in range(parts):
         e, r = np.flatnonzero(part == p), rest_part == p
-        total, logp, n = _part(h[e], w[e].astype(U64), q[e], train[e], rest_h[r], rest_w[r], rest[r], shard, shards, hot1)
+        total, logp, n = _part(h[e], w[e].astype(U64), q[e], each * unigram[e], train[e], rest_h[r], rest_w[r], rest[r], shard, shards, hot1)
         types += n
         at = owner[e].astype(np.int64) * 256 + doc[e]
         for i, x in enumerate((np.log10(total + 1), logp, total > 0)):
@@ -602,20 +720,23 @@ def _answer(rows: list[tuple[int, bytes]], shard: int, shards: int, hot1: np.nda
     return out, types
 
 
-def answer(dealt: DataFrame, hot: dict[int, int], shards: int) -> DataFrame:
+def answer(dealt: DataFrame, each: float, hot: dict[int, int], shards: int) -> DataFrame:
     hot1 = np.array(sorted(k for k, v in hot.items() if v == 1), U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple[int, bytes]]] = {}
+        counts: dict[int, list[bytes]] = {}
         for b in batches:
             meta = b.filter(b.column(5).is_null())
             if meta.num_rows:
                 yield meta
             for s, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist()):
-                if x is not None:
+                if x is not None and k < 0:
+                    counts.setdefault(s, []).append(x)
+                elif x is not None:
                     by.setdefault(s, []).append((k, x))
         for s in list(by):
-            out, v = _answer(by.pop(s), s, shards, hot1)
+            out, v = _answer(by.pop(s), counts.pop(s, []), each, s, shards, hot1)
             yield _batch([(-1, v, None, None, None, None), *((s, k, None, None, None, x) for k, x in out.items())])
 
     return dealt.repartitionById(shards, F.col("dest")).mapInArrow(run, MAP_SCHEMA)
@@ -647,11 +768,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame) -> DataFrame:
     """Scores of rows with doc_id, text and a boolean ``train``."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "train")
-    counts, n, hot, top = corpus_counts(docs)
-    dealt = deal(docs, WordModel(counts, n, top), hot, shards)
-    parts = materialise(answer(dealt, hot, shards), "lm-parts")
+    counts, n, hot, top, others = corpus_counts(docs)
+    model = WordModel(counts, n, top)
+    dealt = deal(docs, model, hot, shards).unionByName(word_counts(docs, model, others, hot, shards))
+    parts = materialise(answer(dealt, model.each, hot, shards), "lm-parts")
     v = parts.where("dest = -1").agg(F.sum("chunk")).first()[0] or 0
     out = parts.where("dest >= 0").repartition(shards, "chunk").mapInArrow(
         _sums, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, logs double, score double")

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftset.llm import decontam, jaccard, licences, lm, mixing, quality, suffixes, toxicity, warc
 from driftset.llm.textblocks import U64, chunks
@@ -126,6 +127,25 @@ def test_lm_base_counts_and_held_out(spark, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+@pytest.mark.parametrize("held", [65_536, 0])
+def test_lm_unigrams_are_exact(spark, monkeypatch, held):
+    # 'thin' occurs 7 times in each of 8 partitions, 'flat' 56 times in one; p0 is all that counts after an unknown word
+    monkeypatch.setattr(lm, "TOP_WORDS", held)
+    rows = []
+    for part in range(8):
+        for i in range(7):
+            rows += [(part, f"a{part}x{i} thin b{part}x{i}", True), (0, f"c{part}x{i} flat d{part}x{i}", True)]
+        rows += [(part, " ".join(f"w{part}y{i * 7 + k}" for k in range(60)), True) for i in range(10)]
+    rows += [(0, "unheard thin", False), (0, "unheard flat", False), (0, "unheard", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, part int, text string, train boolean")
+    got = {r.doc_id: r.score for r in lm.score(df.repartitionById(8, F.col("part"))).collect()}
+    thin, flat, without = (got[len(rows) - i] for i in (3, 2, 1))
+    share = 56 / sum(len(t.split()) for _, t, train in rows if train)
+    # the end mark after either word has up to log10(0.3) from the discount of the shard
+    assert abs(thin - flat) < 0.65
+    assert abs(thin - without - math.log10(0.95 * share)) < 0.65
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 40, 5000).astype(U64))
