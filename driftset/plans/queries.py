@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -365,12 +366,23 @@ def sequential_mis_validity(spark: SparkSession, d: str) -> DataFrame:
     return _violations(apply_batch_sequential(state, first, materialise(G.apply_net(state.edges, net), "edges")))
 
 
-def _streamed(spark: SparkSession, d: str, batches: int = 3) -> Engine:
+#: Batches of the streaming queries; their size follows the stream.
+STREAM_BATCHES = 10
+
+
+def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices, base edges and all updates of the mixed stream, in STREAM_BATCHES batches."""
     v, base, ups = _base(spark, d)
+    size = max(1, -(-ups.count() // STREAM_BATCHES))
+    return v, base, ups.withColumn("batch_id", F.floor(F.col("seq") / size).cast("int"))
+
+
+def _streamed(spark: SparkSession, d: str) -> Engine:
+    v, base, ups = _stream(spark, d)
     folder = fresh_path(spark, "engine")
     engine = Engine(spark, f"{folder}/state")
     engine.start(R.State(v, base, lfmis(v, base)))
-    for i in range(batches):
+    for i in range(STREAM_BATCHES):
         engine.apply(ups.where(F.col("batch_id") == i), i)
     return engine
 
@@ -379,12 +391,15 @@ def _streamed(spark: SparkSession, d: str, batches: int = 3) -> Engine:
 def stream_mis_validity(spark: SparkSession, d: str) -> DataFrame:
     from driftset.sources.text import write_batches
 
-    v, base, ups = _base(spark, d)
+    v, base, ups = _stream(spark, d)
     folder = fresh_path(spark, "stream")
     engine = Engine(spark, f"{folder}/state")
     engine.start(R.State(v, base, lfmis(v, base)))
-    write_batches(ups.where("batch_id < 2").withColumn("batch_id", F.col("batch_id")), f"{folder}/in")
-    return _violations(engine.run_folder(f"{folder}/in/*", f"{folder}/checkpoint"))
+    write_batches(ups, f"{folder}/in")
+    engine.run_folder(f"{folder}/in/*", f"{folder}/checkpoint")
+    # of the start and of the state after each batch
+    found = reduce(DataFrame.unionAll, [_violations(engine.load(n)) for n in range(-1, engine.version() + 1)])
+    return found.agg(*[F.sum(c).alias(c) for c in ("dependent", "uncovered")])
 
 
 @query()

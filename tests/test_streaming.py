@@ -1,9 +1,14 @@
 """A stream of files equals the static loop, and replays change nothing."""
 
+import pytest
+
+from driftset.operators.graph import apply_net
 from driftset.operators.lfmis import lfmis
 from driftset.operators.repair import State, apply_batch
 from driftset.operators.updates import net_toggle
+from driftset.plans import fixtures, queries
 from driftset.streaming.engine import Engine
+from tests.conftest import SF
 
 
 def test_stream_equals_loop_and_replay(spark, tmp_path):
@@ -25,3 +30,24 @@ def test_stream_equals_loop_and_replay(spark, tmp_path):
     assert sorted(r.id for r in got.mis.collect()) == sorted(r.id for r in state.mis.collect())
     assert engine.apply(spark.createDataFrame([(1, 2)], "src bigint, dst bigint"), 0) is False
     assert engine.metrics().count() == 2
+
+
+@pytest.mark.parametrize("name", ["stream_mis_validity", "batch_metrics"])
+def test_queries_stream_all_updates(spark, monkeypatch, name):
+    used = []
+
+    class Kept(Engine):
+        def __init__(self, *args):
+            super().__init__(*args)
+            used.append(self)
+
+    monkeypatch.setattr(queries, "Engine", Kept)
+    monkeypatch.setattr(fixtures, "BATCH", 20)
+    monkeypatch.setattr(queries, "STREAM_BATCHES", 4, raising=False)
+    got = queries.QUERIES[name](spark, SF).collect()
+    assert len(got) == (4 if name == "batch_metrics" else 1)
+    _, base, ups = queries._base(spark, SF)
+    want = apply_net(base, net_toggle(ups, base))
+    (engine,) = used
+    assert len(engine.rows) == 4
+    assert sorted(map(tuple, engine.load(3).edges.select("src", "dst").collect())) == sorted(map(tuple, want.select("src", "dst").collect()))
