@@ -1,31 +1,40 @@
 """LM scoring with Elias-Fano n-gram tries, sharded by context.
 
-Every token is one event (context, token): the context is the word before it,
-or a start mark.  Map tasks deal events to shards by context; a shard builds
-its trie from the training events and answers every event against it:
-
-* level 1 holds the contexts as an Elias-Fano sequence, with Elias-Fano
-  pointers into level 2 and the training count of each context;
-* level 2 holds the successors of each context relative to it (context rank,
-  then token), again Elias-Fano, with probabilities quantised to 16 bits;
-* both levels are written to an unnamed file and memory-mapped; an event is
-  a successor search for its context, then one inside that context's range.
-
-p(w | h) = (max(c(h, w) - D, 0) + D * T(h) * p0(w)) / c(h), interpolated absolute
-discounting with T(h) distinct successors and D from the counts of counts of
-the shard; p0 mixes the exact unigrams of all training words with a
-byte-trigram model of words and a uniform share for the V word types (V
-estimated from the least hashes), so every text has a probability.  Counts are over all training documents.
-Map tasks know the counts of the (at most TOP_WORDS) most frequent words; for
-each other word they name the shards that meet it, and a join with the table
-of word counts sends its count there.
-
-A context with a large share of all tokens is spread over all shards by
-token (and, for a pair that is itself that frequent, by chunk of documents);
-each of its shards gets the counts of the rest, so its totals stay exact.
-Since every word is a context exactly once (the last one before the end
-mark), the same exchange yields the exact unigram counts of the base score;
-the start mark stands in for the end mark, of which there are as many.
+Every token is one event: the token, the word before it and the word before
+that (start marks where there is none).  Map tasks deal events to shards by
+context; a shard builds tries from the training events and answers every
+event against them:
+
+* contexts are an Elias-Fano sequence with their training counts;
+* below a context lie the tokens after it (bigrams) and the words before it;
+  below each such pair lie the tokens after it (trigrams).  Every level is an
+  Elias-Fano sequence relative to its parent, with Elias-Fano pointers into
+  it and probabilities quantised to 16 bits; words are numbered by one more
+  Elias-Fano sequence, so no level cuts a word's key;
+* all levels lie in an unnamed memory-mapped file; a lookup is one successor
+  search inside the parent's range.
+
+Order 3 with exact backoff, smoothed by pseudo-counts of the lower order:
+p(w | h) = (c(h, w) + MASS * lower(w)) / (c(h) + MASS), from the trigram over
+the bigram to p0, which mixes the exact unigrams of all training words with
+a byte-trigram model of words and a uniform share for the V word types.  All
+counts are over all training documents, and sums are whole numbers of small
+units, so the score of a text follows from the data alone, whatever the
+number of shards, chunks or partitions.
+
+A word with more than HOT_SHARE of the training tokens is a context only
+together with the word before it: p(w | pair) backs off to p0.  This is part
+of the model; it keeps shards even too.  A pair that is still so frequent is
+spread over all shards by token (and, for a triple that is itself that
+frequent, by chunk of documents); each of its shards gets the counts of the
+rest, so its totals stay exact.
+
+Tasks hold the counts of the (at most TOP_WORDS) most frequent words; for
+each other word map tasks name the shards that meet it, and a join with the
+table of word counts sends its count there.  Every word is a context exactly
+once (the last one before the end mark), so the same exchange yields the
+exact unigram counts of the base score; the start mark stands in for the end
+mark, of which there are as many.
 
 Defined cases: a null text is empty and has one token, the end; a null
 doc_id is a training document like others; repeated rows count and are
@@ -48,20 +57,24 @@ from pyspark.sql import functions as F
 from driftset.functions.shared import materialise
 from driftset.llm.textblocks import U64, Chunk, chunks, mix, span_hash
 
-#: Most words whose counts map tasks hold; those of the others reach the shards by a join.
+#: Pseudo-counts of the lower order that a context of one or two words is given.
+MASS1, MASS2 = 100.0, 3.0
+#: A word with more than this share of the training tokens (at most 1 / HOT_SHARE of
+#: them) is a context only together with the word before it.
+HOT_SHARE = 0.002
+#: Words whose counts each task has at hand; those of the others reach the shards by a join.
 TOP_WORDS = 65_536
 #: Distinct words a map task holds before it passes their counts on.
 HELD_WORDS = 1 << 21
-#: Least hashes kept to estimate the number of word types.
-SKETCH = 2048
+#: Frequent pairs a map task names; they affect balance alone.
+NAMED = 2048
 #: Documents a chunk: their numbers fit a byte.
 CHUNK_DOCS = 256
-#: A context or pair is spread if it has more than this share of all tokens.
-HOT_SHARE = 0.002
-HOT_MOST = 512
 START, END = 0x0123456789AB, 0x0BA987654321
-_H48, _W32 = U64((1 << 48) - 1), U64((1 << 32) - 1)
+_H48, _PAIR = U64((1 << 48) - 1), U64(1 << 48)
 _STEP = 8.0 / 65535
+#: Sums travel as whole numbers of these units, so no order of adding changes them.
+SCORE_UNIT, BASE_UNIT = 1e6, 1e9
 
 # ---------------------------------------------------------------- byte model
 
@@ -114,14 +127,13 @@ class ByteModel:
         return np.bincount(word, weights=self.cost[code], minlength=len(starts)) + self.cost[last]
 
 
-def quantise(cost: np.ndarray) -> np.ndarray:
-    """One byte: steps of 1/8 up to 25, then steps of 18 %."""
-    low = np.round(cost * 8)
-    high = 200 + np.ceil(np.log(np.maximum(cost, 25) / 25) / np.log(1.18))
-    return np.minimum(np.where(cost < 25, low, high), 255).astype(np.uint8)
+#: Costs have two bytes; the share of the word types keeps them below 32.
+PER_UNIT = 2048
 
 
-_COST = np.where(np.arange(256) < 200, np.arange(256) / 8.0, 25 * 1.18 ** np.maximum(np.arange(256) - 200, 0))
+def quantise(cost: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(cost * PER_UNIT), 65535).astype(np.uint16)
+
 
 # ---------------------------------------------------------------- Elias-Fano
 
@@ -244,72 +256,93 @@ def memory_map(arrays: list[np.ndarray]) -> list[np.ndarray]:
         return [np.memmap(f, a.dtype, "r", o, a.shape) if a.size else a for a, o in zip(arrays, offsets)]
 
 
+class Level:
+    """Children of ranked parents: monotone pointers and keys (parent, token) in order."""
+
+    def __init__(self, parent: np.ndarray, token: np.ndarray, parents: int, tokens: int):
+        self.bits = U64(max(1, tokens).bit_length())
+        starts = np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=parents))))
+        self.pointer = EliasFano.build(starts.astype(U64), max(1, len(parent)))
+        self.keys = EliasFano.build((parent.astype(U64) << self.bits) | token.astype(U64), max(1, parents) << int(self.bits))
+
+    def find(self, parent: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Place of ``token`` among the children of ``parent``; -1 where either or both are unknown."""
+        out = np.full(len(parent), -1, np.int64)
+        some = np.flatnonzero((parent >= 0) & (token >= 0))
+        p = parent[some]
+        many = self.pointer.access(p + 1) > self.pointer.access(p)
+        some, p = some[many], p[many]
+        out[some] = self.keys.find((p.astype(U64) << self.bits) | token[some].astype(U64))
+        return out
+
+
 class Trie:
-    """Two levels: contexts, and their successors relative to them."""
-
-    def __init__(self, h: np.ndarray, w: np.ndarray, count: np.ndarray, rest_h: np.ndarray, rest: np.ndarray):
-        """Distinct sorted pairs with counts; ``rest``: counts of a context kept elsewhere."""
-        contexts = np.unique(np.concatenate((h, rest_h)))
-        rank = np.searchsorted(contexts, h)
-        total = np.bincount(rank, weights=count, minlength=len(contexts)) + np.bincount(
-            np.searchsorted(contexts, rest_h), weights=rest, minlength=len(contexts))
-        children = np.bincount(rank, minlength=len(contexts))
-        once, twice = int((count == 1).sum()), int((count == 2).sum())
-        self.discount = float(np.clip(once / max(1, once + 2 * twice), 0.3, 0.95))
-        share = (count - self.discount) / np.maximum(total[rank], 1) if len(rank) else count
-        level1 = EliasFano.build(contexts, 1 << 48)
-        pointer = EliasFano.build(np.concatenate(([0], np.cumsum(children))).astype(U64), max(1, len(h)))
-        level2 = EliasFano.build((rank.astype(U64) << U64(32)) | w, max(1, len(contexts)) << 32)
-        quantised = np.minimum(np.ceil(-np.log10(np.maximum(share, 1e-8)) / _STEP), 65535).astype(np.uint16)
-        parts = [*level1.arrays(), *pointer.arrays(), *level2.arrays(), total.astype(np.float64), quantised]
-        m = memory_map(parts)
-        self.level1, self.pointer, self.level2 = level1.mapped(m[:4]), pointer.mapped(m[4:8]), level2.mapped(m[8:12])
-        self.total, self.quantised = m[12], m[13]
-
-    def successors(self, rank: np.ndarray) -> np.ndarray:
-        """How many distinct successors each context has."""
-        return (self.pointer.access(rank + 1) - self.pointer.access(rank)).astype(np.int64)
-
-    def contexts(self, h: np.ndarray) -> np.ndarray:
-        return self.level1.find(h)
-
-    def successor(self, rank: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Index in level 2 of token ``w`` among the successors of a context."""
-        out = np.full(len(rank), -1, np.int64)
-        some = np.flatnonzero(rank >= 0)
-        r = rank[some]
-        many = self.successors(r) > 0
-        some, r = some[many], r[many]
-        out[some] = self.level2.find((r.astype(U64) << U64(32)) | w[some])
+    """Contexts, the tokens after them, the words before them, and the tokens after those pairs.
+
+    Words are numbered within the trie, so its tokens are exact whatever the width of a key.
+    """
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, total: np.ndarray, pairs: tuple, nodes: tuple, triples: tuple):
+        """``pairs`` and ``nodes``: context, word, count; ``triples``: node, word, count; all in order."""
+        n = len(words)
+        self.words, self.contexts = EliasFano.build(words, 1 << 48), EliasFano.build(contexts, 1 << 49)
+        self.after, self.before = Level(pairs[0], pairs[1], len(contexts), n), Level(nodes[0], nodes[1], len(contexts), n)
+        self.deep = Level(triples[0], triples[1], len(nodes[0]), n)
+        shares = pairs[2] / (total[pairs[0]] + MASS1), triples[2] / (nodes[2][triples[0]] + MASS2)
+        quantised = [np.round(-np.log10(np.maximum(x, 1e-8)) / _STEP).astype(np.uint16) for x in shares]
+        holders = [(self, "words"), (self, "contexts"), *((x, y) for x in (self.after, self.before, self.deep) for y in ("pointer", "keys"))]
+        m = memory_map([*(a for x, y in holders for a in getattr(x, y).arrays()), total.astype(np.float64), nodes[2].astype(np.float64), *quantised])
+        for i, (x, y) in enumerate(holders):
+            setattr(x, y, getattr(x, y).mapped(m[4 * i : 4 * i + 4]))
+        self.total, self.node_total, *self.quantised = m[4 * len(holders) :]
+
+    def share(self, order: int, child: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(child))
+        hit = np.flatnonzero(child >= 0)
+        out[hit] = 10.0 ** (-_STEP * self.quantised[order][child[hit]].astype(float))
         return out
 
 
+def _counts_at(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at))
+    hit = np.flatnonzero(at >= 0)
+    out[hit] = counts[at[hit]]
+    return out
+
+
 # ---------------------------------------------------------------- map side
 
 
-def events(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Context, token and document of each event, with the words' spans."""
+def events(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """The two words before, token and document of each event, with the words' spans."""
     low = c.lowered()
     starts, ends, doc = low.words()
     n = c.hi - c.lo
     wh = span_hash(low.prefix(), starts, ends) & _H48
     counts = np.bincount(doc, minlength=n)
     first = np.cumsum(counts) - counts
-    # the token sequence of a document is its words and the end; contexts are shifted by one
+    # the token sequence of a document is its words and the end; contexts are shifted by one and by two
     size = counts + 1
     begin = np.cumsum(size) - size
     total = int(size.sum())
-    token, context = np.full(total, END, U64), np.full(total, START, U64)
+    token, context, before = np.full(total, END, U64), np.full(total, START, U64), np.full(total, START, U64)
     at = begin[doc] + np.arange(len(doc)) - first[doc]
     token[at] = wh
     context[at + 1] = wh
-    return context, token, np.repeat(np.arange(n), size), (low.data, starts, ends, at)
+    last = np.ones(len(at), bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    before[at[~last] + 2] = wh[~last]
+    return before, context, token, np.repeat(np.arange(n), size), (low.data, starts, ends, at)
 
 
 def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * U64(0x9E3779B97F4A7C15) + w)
 
 
+def _pair_context(before: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return (_pair_key(before, context) & _H48) | _PAIR
+
+
 def small_chunks(texts: pa.Array) -> Iterator[Chunk]:
     for lo in range(0, len(texts), CHUNK_DOCS):
         for c in chunks(texts.slice(lo, CHUNK_DOCS), 4 << 20):
@@ -321,10 +354,63 @@ def _merge(a: tuple[np.ndarray, np.ndarray], key: np.ndarray, n: np.ndarray) ->
     return both, np.bincount(inverse, weights=np.concatenate((a[1], n)), minlength=len(both)).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[int, int], tuple[np.ndarray, np.ndarray, float], DataFrame]:
-    """Byte trigram counts, training tokens, spread contexts and pairs, top words, and (word, count) of all others.
+class Model:
+    """What every task knows: p0 of words, the hot words, and the pairs that are spread.
+
+    p0 mixes the unigrams, the byte model and one of V types.  As in the base score, a word without a training count
+    is one of V types, so the probabilities are those of a vocabulary with an unknown-word class.
+    """
+
+    def __init__(self, counts: np.ndarray, n: int, types: int, top: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray], spread: np.ndarray, spread_pairs: np.ndarray):
+        ends = int(counts.reshape(64, 64, 64)[:, :, 0].sum())  # as many as training words
+        self.n, self.types = n, types
+        self.p_end = (n - ends + 1) / (n + 2)
+        self.bytes = ByteModel(counts)
+        self.keys, self.counts = top
+        self.hot, self.hot_counts = hot
+        self.spread, self.spread_pairs = spread, spread_pairs
+        self.alpha = 0.95 if ends else 0.0
+        #: Unigram share of one training occurrence.
+        self.each = (1 - self.p_end) * self.alpha / max(1, ends)
+
+    def held(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words the table of the most frequent has, and their places there."""
+        if not len(self.keys):
+            return np.zeros(len(token), bool), np.zeros(len(token), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
+        return self.keys[at] == token, at
 
-    Bounded tables (64**3 counts, HOT_MOST and TOP_WORDS entries) reach the driver.
+    def costs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """-log10 of p0 without the unigram share; below 32, as the share of the types bounds it."""
+        p = 0.5 * 10.0 ** -self.bytes.costs(data, starts, ends) + 0.5 / max(1, self.types)
+        return -np.log10(p * (1 - self.alpha) * (1 - self.p_end))
+
+    def contexts(self, before: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context of each event: its word or, after a hot word, the pair; and 1 + the place of the hot word, or 0."""
+        at = np.minimum(np.searchsorted(self.hot, context), max(0, len(self.hot) - 1))
+        is_hot = self.hot[at] == context if len(self.hot) else np.zeros(len(context), bool)
+        key = context.copy()
+        key[is_hot] = _pair_context(before[is_hot], context[is_hot])
+        return key, np.where(is_hot, at + 1, 0).astype(np.uint16)
+
+    def route(self, key: np.ndarray, w: np.ndarray, shards: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard of each event, and whether its context and its pair are spread (a spread pair goes by chunk)."""
+        dest = (mix(key) % U64(shards)).astype(np.int64)
+        wide, pair = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        at = np.flatnonzero(key >= _PAIR)
+        at = at[np.isin(key[at], self.spread)]
+        if len(at):
+            wide[at] = True
+            k = _pair_key(key[at], w[at])
+            pair[at] = twin = np.isin(k, self.spread_pairs)
+            dest[at] = (mix(k + np.where(twin, U64(chunk), U64(0))) % U64(shards)).astype(np.int64)
+        return dest, wide, pair
+
+
+def corpus_counts(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model that all tasks share, and (word, count) of the words whose counts it lacks.
+
+    Bounded tables (64**3 byte counts, TOP_WORDS words, 1 / HOT_SHARE hot words and pairs) reach the driver.
     """
 
     def rows_of(words: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -333,60 +419,69 @@ def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, int, dict[int, int], tup
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), 5, np.int32)), pa.array(w.astype(np.int64)), pa.array(k)], names=["kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hot, n, n_all = np.zeros(64**3, np.int64), Counter(), 0, 0
+        counts, often, n, n_all = np.zeros(64**3, np.int64), Counter(), 0, 0
         words = fresh = (np.zeros(0, U64), np.zeros(0, np.int64))
-        least = np.zeros(0, U64)
         for b in batches:
             train = b.column(1).to_numpy(zero_copy_only=False)
             for c in small_chunks(b.column(0)):
-                context, token, doc, (data, starts, ends, at) = events(c)
+                before, context, token, doc, (data, starts, ends, at) = events(c)
                 mine = train[c.lo : c.hi]
                 n += int(mine[doc].sum())
                 n_all += len(doc)
                 ok = mine[doc[at]] if len(at) else np.zeros(0, bool)
                 code, _, last = _trigrams(data, starts[ok], ends[ok])
                 counts += np.bincount(code, minlength=64**3) + np.bincount(last, minlength=64**3)
-                u, k = np.unique(token[at[ok]], return_counts=True)
-                least = np.unique(np.concatenate((least, u[:SKETCH])))[:SKETCH]
-                fresh = _merge(fresh, u, k)
+                fresh = _merge(fresh, *np.unique(token[at[ok]], return_counts=True))
                 if len(fresh[0]) > 1 << 19:
                     words, fresh = _merge(words, *fresh), (np.zeros(0, U64), np.zeros(0, np.int64))
                 if len(words[0]) > HELD_WORDS:
                     yield from rows_of(words)
                     words = (np.zeros(0, U64), np.zeros(0, np.int64))
-                for kind, key in ((1, context), (2, _pair_key(context, token))):
-                    v, k = np.unique(key, return_counts=True)
-                    for x in np.flatnonzero(k > HOT_SHARE / 2 * len(doc)):
-                        hot[kind, int(v[x])] += int(k[x])
+                pair = _pair_context(before, context)
+                # pairs after which many tokens stand; which of them are named affects balance alone
+                v, inverse, k = np.unique(pair, return_inverse=True, return_counts=True)
+                many = k > HOT_SHARE / 2 * len(doc)
+                often.update({(1, int(x)): int(y) for x, y in zip(v[many], k[many])})
+                e = np.flatnonzero(many[inverse])
+                v, k = np.unique(_pair_key(pair[e], token[e]), return_counts=True)
+                many = k > HOT_SHARE / 2 * len(doc)
+                often.update({(2, int(x)): int(y) for x, y in zip(v[many], k[many])})
         some = np.flatnonzero(counts)
-        top = hot.most_common(4 * HOT_MOST)
+        named = often.most_common(NAMED)
         yield from rows_of(_merge(words, *fresh))
-        kind = np.concatenate((np.zeros(len(some), np.int64), np.full(len(least), 6), [k for (k, _), _ in top], [3, 4])).astype(np.int32)
-        key = np.concatenate((some, least.astype(np.int64), np.array([v for (_, v), _ in top], U64).astype(np.int64), [0, 0])).astype(np.int64)
-        value = np.concatenate((counts[some], np.ones(len(least), np.int64), [k for _, k in top], [n, n_all])).astype(np.int64)
+        kind = np.concatenate((np.zeros(len(some), np.int64), [k for (k, _), _ in named], [3, 4])).astype(np.int32)
+        key = np.concatenate((some, np.array([v for (_, v), _ in named], U64).astype(np.int64), [0, 0])).astype(np.int64)
+        value = np.concatenate((counts[some], [k for _, k in named], [n, n_all])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(value)], names=["kind", "key", "n"])
 
     summed = docs.select("text", "train").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     rows = materialise(summed, "lm-counts")
     total = {r.kind: r.n for r in rows.where("kind in (3, 4)").collect()}
-    hot = rows.where("kind in (1, 2)").where(F.col("n") > HOT_SHARE * total.get(4, 0)).orderBy(F.desc("n"), "key").limit(HOT_MOST).collect()
+    n = total.get(3, 0)
     counts = np.zeros(64**3, np.int64)
     small = rows.where("kind = 0").toPandas()
     counts[small["key"].to_numpy(int)] = small["n"].to_numpy(int)
-    # classes of about equal count, from the top while they fit; the few class sizes reach the driver
+    # shares above HOT_SHARE sum to 1 at most, so these are few
+    often = rows.where("kind in (1, 2)").where(F.col("n") > HOT_SHARE * total.get(4, 0)).collect()
+    spread = [np.array(sorted(r.key % (1 << 64) for r in often if r.kind == k), U64) for k in (1, 2)]
     words = rows.where("kind = 5").select("key", "n", F.floor(F.log2("n") * 8).cast("int").alias("level"))
-    least_level, held = 1 << 30, 0
+    hot = {r.key: r.n for r in words.where(F.col("n") > HOT_SHARE * n).collect()}
+    ends = n - int(counts.reshape(64, 64, 64)[:, :, 0].sum())
+    if ends > HOT_SHARE * n:
+        hot[START] = ends  # the start mark stands in for the end
+    # classes of about equal count, from the top while they fit; the few class sizes reach the driver
+    least, held, types = 1 << 30, 0, 0
     for r in sorted(words.groupBy("level").count().collect(), reverse=True):
+        types += r["count"]
         held += r["count"]
-        if held > TOP_WORDS:
-            break
-        least_level = r["level"]
-    often = words.where(F.col("level") >= least_level).toPandas().sort_values("key")
-    others = words.where(F.col("level") < least_level).select(F.col("key").alias("word"), "n")
-    small = [r.key for r in rows.where("kind = 6").orderBy("key").limit(SKETCH).collect()]
-    types = (SKETCH - 1) / small[-1] * 2.0**48 if len(small) == SKETCH else float(len(small))
-    top = (often["key"].to_numpy(np.int64).astype(U64), often["n"].to_numpy(np.int64), types)
-    return counts, total.get(3, 0), {r.key % (1 << 64): r.kind for r in hot}, top, others
+        if held <= TOP_WORDS:
+            least = r["level"]
+    top = words.where(F.col("level") >= least).toPandas().sort_values("key")
+    others = words.where(F.col("level") < least).select(F.col("key").alias("word"), "n")
+    model = Model(
+        counts, n, types, (top["key"].to_numpy(np.int64).astype(U64), top["n"].to_numpy(np.int64)),
+        (np.array(sorted(hot), U64), np.array([hot[k] for k in sorted(hot)], float)), *spread)
+    return model, others
 
 
 MAP_SCHEMA = "dest int, chunk bigint, ids array<bigint>, n_tokens array<bigint>, train array<boolean>, blob binary"
@@ -398,79 +493,82 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def _pack(h: np.ndarray, w: np.ndarray, q: np.ndarray, doc: np.ndarray, rare: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray) -> bytes:
-    """Events sorted by context (each context once) and counts kept elsewhere; rare words keep all 48 bits."""
-    order = np.argsort(h, kind="stable")
-    rare = rare[order]
-    u, n = np.unique(h, return_counts=True)
-    head = np.array([len(u), len(h), len(rest), rare.sum()], np.uint32)
-    return b"".join(
-        x.tobytes() for x in (
-            head, (u & _W32).astype(np.uint32), (u >> U64(32)).astype(np.uint16), n.astype(np.uint32) if len(n) and n.max() > 255 else n.astype(np.uint8),
-            np.array([int(len(n) > 0 and n.max() > 255)], np.uint8), (w[order] & _W32).astype(np.uint32), q[order], doc[order].astype(np.uint8),
-            np.packbits(rare), (w[order][rare] >> U64(32)).astype(np.uint16), rest_h.astype(np.uint64), rest_w.astype(np.uint64), rest.astype(np.uint32),
-        )
-    )
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes first: like ones together compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    nu, ne, nr, n_rare = np.frombuffer(blob, np.uint32, 4).tolist()
-    at = 16
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
 
-    def take(t: type, n: int) -> np.ndarray:
-        nonlocal at
-        x = np.frombuffer(blob, t, n, at)
-        at += x.nbytes
+class _Reader:
+    def __init__(self, blob: bytes):
+        self.blob, self.at = blob, 0
+
+    def take(self, kind: type, n: int) -> np.ndarray:
+        x = np.frombuffer(self.blob, kind, n, self.at)
+        self.at += x.nbytes
         return x
 
-    u = take(np.uint32, nu).astype(U64) | (take(np.uint16, nu).astype(U64) << U64(32))
-    tail = ne * 6 + -(-ne // 8) + n_rare * 2 + nr * 20
-    wide = (len(blob) - at - tail - 1) == 4 * nu and nu > 0
-    n = take(np.uint32 if wide else np.uint8, nu).astype(np.int64)
-    at += 1
-    w, q, doc = take(np.uint32, ne), take(np.uint8, ne), take(np.uint8, ne)
-    rare = np.unpackbits(take(np.uint8, -(-ne // 8)), count=ne).astype(bool)
-    return np.repeat(u, n), w.astype(U64), q, doc, rare, take(np.uint16, n_rare), take(np.uint64, nr), take(np.uint64, nr), take(np.uint32, nr).astype(np.int64)
+    def planes(self, kind: type, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.ascontiguousarray(self.take(np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
 
+    def unsqueezed(self) -> "_Reader":
+        n = int.from_bytes(self.blob[self.at : self.at + 4], "little")
+        return _Reader(pa.decompress(self.blob[self.at + 4 :], decompressed_size=n, codec="zstd", asbytes=True))
 
-#: Stands for all tokens of a context that another shard holds.
-_OTHER = U64(1 << 40)
 
+def _hashes(x: np.ndarray) -> bytes:
+    """48 bits each."""
+    return (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> U64(32)).astype(np.uint16).tobytes()
 
-class WordModel:
-    """p0: the unigrams, byte model, one of V types; and the end mark.
 
-    As in the base score, a word without a training count is one of V types, so
-    the probabilities are those of a vocabulary with an unknown-word class.
-    """
+def _hashes_of(r: _Reader, n: int) -> np.ndarray:
+    return r.take(np.uint32, n).astype(U64) | (r.take(np.uint16, n).astype(U64) << U64(32))
 
-    def __init__(self, counts: np.ndarray, n: int, top: tuple[np.ndarray, np.ndarray, float]):
-        ends = int(counts.reshape(64, 64, 64)[:, :, 0].sum())  # as many as training words
-        self.p_end = (n - ends + 1) / (n + 2)
-        self.bytes = ByteModel(counts)
-        self.keys, self.counts = top[0], top[1]
-        self.alpha = 0.95 if ends else 0.0
-        #: Unigram share of one training occurrence.
-        self.each = (1 - self.p_end) * self.alpha / max(1, ends)
-        self.types = max(1.0, top[2])
 
-    def held(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which words the table of the most frequent has, and their places there."""
-        if not len(self.keys):
-            return np.zeros(len(token), bool), np.zeros(len(token), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
-        return self.keys[at] == token, at
+#: Stands for all tokens of a context that another shard holds.
+_OTHER = U64(1 << 48)
+
 
-    def costs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """-log10 p0 of each word, and whether its unigram share is in it."""
-        p = 0.5 * 10.0 ** -self.bytes.costs(data, starts, ends) + 0.5 / self.types
-        cost = -np.log10(p * (1 - self.alpha) * (1 - self.p_end))
-        hit, at = self.held(token)
-        cost[hit] = -np.log10(10.0 ** -cost[hit] + self.each * self.counts[at[hit]])
-        return cost, hit
+def _pack(train: np.ndarray, key: np.ndarray, hot: np.ndarray, before: np.ndarray, w: np.ndarray, cost: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
+    """Events sorted by context, each context and each word once, and the counts kept elsewhere.
+
+    Only contexts of one word are told the word before.
+    """
+    order = np.argsort(key, kind="stable")
+    u, first, n = np.unique(key[order], return_index=True, return_counts=True)
+    deep = key[order] < _PAIR
+    words, ids = np.unique(np.concatenate((w[order], before[order][deep])), return_inverse=True)
+    q = np.zeros(len(words), np.uint16)
+    q[ids[: len(w)]] = cost[order]
+    ids = ids.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    flags = np.packbits(train)
+    head = np.array([len(train), len(u), len(words), len(w), int(deep.sum()), len(rest[0])], np.uint32)
+    tight = b"".join((_planes(hot[order][first]), _planes(n.astype(np.uint32)), _planes(q), _planes(doc[order].astype(np.uint16)), _planes(ids)))
+    return b"".join((head.tobytes(), flags.tobytes(), _hashes(u & _H48), _hashes(words), *(x.tobytes() for x in rest), _squeezed(tight)))
 
 
-def _elsewhere(h: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarray, hot1: np.ndarray, hot2: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Train flags, context, hot place, word before, token, cost and document of each event; contexts, tokens and counts kept elsewhere."""
+    r = _Reader(blob)
+    n_docs, n_ctx, n_words, n, n_deep, n_rest = r.take(np.uint32, 6).tolist()
+    train = np.unpackbits(r.take(np.uint8, -(-n_docs // 8)), count=n_docs).astype(bool)
+    u, words = _hashes_of(r, n_ctx), _hashes_of(r, n_words)
+    rest = [r.take(t, n_rest) for t in (np.uint64, np.uint64, np.int64)]
+    t = r.unsqueezed()
+    hot, many, q, doc = t.planes(np.uint16, n_ctx), t.planes(np.uint32, n_ctx), t.planes(np.uint16, n_words), t.planes(np.uint16, n)
+    ids = t.planes(np.uint16 if n_words <= 1 << 16 else np.uint32, n + n_deep)
+    u = np.where(hot > 0, u | _PAIR, u)
+    key, hot = np.repeat(u, many), np.repeat(hot, many)
+    before = np.zeros(n, U64)
+    before[hot == 0] = words[ids[n:]]
+    return train, key, hot, before, words[ids[:n]], q[ids[:n]], doc, *rest
+
+
+def _elsewhere(key: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarray, model: Model, shards: int) -> tuple[np.ndarray, ...]:
     """For each shard, the counts of spread contexts and pairs that others hold.
 
     ``chosen`` marks the training events of spread contexts.  Returns shard,
@@ -481,12 +579,12 @@ def _elsewhere(h: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarra
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z.astype(U64), z.astype(U64), z
-    i = np.searchsorted(hot1, h[at])
-    there = np.bincount(i * shards + dest[at], minlength=len(hot1) * shards).reshape(-1, shards)
+    i = np.searchsorted(model.spread, key[at])
+    there = np.bincount(i * shards + dest[at], minlength=len(model.spread) * shards).reshape(-1, shards)
     rest = there.sum(1, keepdims=True) - there
-    key = _pair_key(h[at], w[at])
-    p = np.minimum(np.searchsorted(hot2, key), max(0, len(hot2) - 1))
-    twin = hot2[p] == key if len(hot2) else np.zeros(len(at), bool)
+    pair = _pair_key(key[at], w[at])
+    p = np.minimum(np.searchsorted(model.spread_pairs, pair), max(0, len(model.spread_pairs) - 1))
+    twin = model.spread_pairs[p] == pair if len(model.spread_pairs) else np.zeros(len(at), bool)
     out = []
     if twin.any():
         used, first, inverse = np.unique(p[twin], return_index=True, return_inverse=True)
@@ -494,33 +592,20 @@ def _elsewhere(h: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarra
         more = own.sum(1, keepdims=True) - own
         np.subtract.at(rest, i[twin][first], more)
         k, s = np.nonzero(more)
-        out.append((s, h[at[twin]][first][k], w[at[twin]][first][k] & _W32, more[k, s]))
+        out.append((s, key[at[twin]][first][k], w[at[twin]][first][k], more[k, s]))
     k, s = np.nonzero(rest)
-    out.append((s, hot1[k], np.full(len(k), _OTHER), rest[k, s]))
-    s, rh, rw, rn = (np.concatenate(x) for x in zip(*out))
+    out.append((s, model.spread[k], np.full(len(k), _OTHER), rest[k, s]))
+    s, rk, rw, rn = (np.concatenate(x) for x in zip(*out))
     order = np.argsort(s, kind="stable")
-    return s[order], rh[order], rw[order], rn[order]
-
-
-def _route(h: np.ndarray, w: np.ndarray, hot1: np.ndarray, hot2: np.ndarray, shards: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard of each event, and whether its context and its pair are spread (a spread pair goes by chunk)."""
-    dest = (mix(h) % U64(shards)).astype(np.int64)
-    is_hot, is_pair = np.isin(h, hot1), np.zeros(len(h), bool)
-    if is_hot.any():
-        key = _pair_key(h[is_hot], w[is_hot])
-        is_pair[is_hot] = pair = np.isin(key, hot2)
-        dest[is_hot] = (mix(key + np.where(pair, U64(chunk), U64(0))) % U64(shards)).astype(np.int64)
-    return dest, is_hot, is_pair
+    return s[order], rk[order], rw[order], rn[order].astype(np.int64)
 
 
 #: Requests a map task holds before it passes them on.
 HELD_REQUESTS = 1 << 21
 
 
-def word_counts(docs: DataFrame, model: WordModel, others: DataFrame, hot: dict[int, int], shards: int) -> DataFrame:
-    """Rows for shards like those of ``deal``, of chunk -1: counts of the words that a shard meets and map tasks lack."""
-    hot1 = np.array(sorted(k for k, v in hot.items() if v == 1), U64)
-    hot2 = np.array(sorted(k for k, v in hot.items() if v == 2), U64)
+def word_counts(docs: DataFrame, model: Model, others: DataFrame, shards: int) -> DataFrame:
+    """Rows for shards like those of ``deal``, of chunk -1: counts of the words that a shard meets and the model lacks."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[pa.RecordBatch]:
@@ -531,11 +616,11 @@ def word_counts(docs: DataFrame, model: WordModel, others: DataFrame, hot: dict[
         asked, fresh, n_fresh = np.zeros(0, U64), [], 0
         for b in batches:
             for c in small_chunks(b.column(0)):
-                h, w, _, (_, _, _, at) = events(c)
-                h, w = h[at], w[at]
-                rare = ~model.held(w)[0]
-                h, w = h[rare], w[rare]
-                dest, _, pair = _route(h, w, hot1, hot2, shards, 0)
+                before, h, w, _, (_, _, _, at) = events(c)
+                at = at[~model.held(w[at])[0]]
+                key, _ = model.contexts(before[at], h[at])
+                w = w[at]
+                dest, _, pair = model.route(key, w, shards, 0)
                 far = np.unique(w[pair])  # any shard may meet these
                 fresh += [(w[~pair] << U64(16)) | dest[~pair].astype(U64), ((far << U64(16))[:, None] | np.arange(shards, dtype=U64)).ravel()]
                 n_fresh += len(fresh[-2]) + len(fresh[-1])
@@ -553,10 +638,7 @@ def word_counts(docs: DataFrame, model: WordModel, others: DataFrame, hot: dict[
             order = np.lexsort((w, dest))
             w, n, dest = w[order].astype(U64), n[order], dest[order]
             some, first = np.unique(dest, return_index=True)
-            return _batch([
-                (int(s), -1, None, None, None, (w[lo:hi] & _W32).astype(np.uint32).tobytes() + n[lo:hi].astype(np.uint32).tobytes() + (w[lo:hi] >> U64(32)).astype(np.uint16).tobytes())
-                for s, lo, hi in zip(some, first, [*first[1:], len(dest)])
-            ])
+            return _batch([(int(s), -1, None, None, None, _hashes(w[lo:hi]) + n[lo:hi].astype(np.uint32).tobytes()) for s, lo, hi in zip(some, first, [*first[1:], len(dest)])])
 
         got, held = [], 0
         for b in batches:
@@ -573,10 +655,8 @@ def word_counts(docs: DataFrame, model: WordModel, others: DataFrame, hot: dict[
     return asked.join(others, "word").select("word", "n", "dest").mapInArrow(pack, MAP_SCHEMA)
 
 
-def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) -> DataFrame:
+def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
     """Rows for shards: one per chunk and shard, and one per chunk that describes it."""
-    hot1 = np.array(sorted(k for k, v in hot.items() if v == 1), U64)
-    hot2 = np.array(sorted(k for k, v in hot.items() if v == 2), U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
@@ -585,25 +665,23 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
             for c in small_chunks(b.column(1)):
                 chunk = (part << 32) | serial
                 serial += 1
-                h, w, doc, (data, starts, ends, at) = events(c)
-                q = np.full(len(h), quantise(-np.log10(np.array([model.p_end])))[0])
-                cost, held = model.costs(data, starts, ends, w[at])
-                q[at], rare = quantise(cost), np.zeros(len(h), bool)
-                rare[at] = ~held
+                before, h, w, doc, (data, starts, ends, at) = events(c)
+                cost = np.full(len(h), -np.log10(model.p_end))
+                cost[at] = model.costs(data, starts, ends)
+                cost = quantise(cost)
                 mine = train[c.lo : c.hi]
-                dest, is_hot, _ = _route(h, w, hot1, hot2, shards, chunk)
-                rs, rh, rw, rn = _elsewhere(h, w, dest, is_hot & mine[doc], hot1, hot2, shards)
+                key, hot = model.contexts(before, h)
+                dest, wide, _ = model.route(key, w, shards, chunk)
+                rs, *rest = _elsewhere(key, w, dest, wide & mine[doc], model, shards)
                 rcut = np.searchsorted(rs, np.arange(shards + 1))
                 order = np.argsort(dest, kind="stable")
                 cuts = np.searchsorted(dest[order], np.arange(shards + 1))
                 rows = [(int(mix(np.array([chunk], U64))[0] % U64(shards)), chunk, b.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), np.bincount(doc, minlength=c.hi - c.lo).tolist(), mine.tolist(), None)]
-                flags = np.packbits(mine).tobytes()
                 for s in range(shards):
                     e = order[cuts[s] : cuts[s + 1]]
                     r = slice(rcut[s], rcut[s + 1])
                     if len(e) or rcut[s + 1] > rcut[s]:
-                        blob = _pack(h[e], w[e], q[e], doc[e], rare[e], rh[r], rw[r], rn[r])
-                        rows.append((s, chunk, None, None, None, len(flags).to_bytes(2, "little") + flags + blob))
+                        rows.append((s, chunk, None, None, None, _pack(mine, key[e], hot[e], before[e], w[e], cost[e], doc[e], tuple(x[r] for x in rest))))
                 yield _batch(rows)
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, MAP_SCHEMA)
@@ -612,54 +690,53 @@ def deal(docs: DataFrame, model: WordModel, hot: dict[int, int], shards: int) ->
 # ---------------------------------------------------------------- shards
 
 
-def _part(h: np.ndarray, w: np.ndarray, q: np.ndarray, unigram: np.ndarray, train: np.ndarray, rest_h: np.ndarray, rest_w: np.ndarray, rest: np.ndarray, shard: int, shards: int, hot1: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Counts of the context and log10 p of each event, and the distinct training words.
+def _numbered(parent: np.ndarray, token: np.ndarray, bits: U64, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (parent, token) in order, their summed weights, and which of them each row is."""
+    key, at = np.unique((parent.astype(U64) << bits) | token.astype(U64), return_inverse=True)
+    return (key >> bits).astype(np.int64), (key & ((U64(1) << bits) - U64(1))).astype(np.int64), np.bincount(at, weights=weight, minlength=len(key)), at
+
 
-    ``unigram`` is the share of p0 that is not in ``q``.
+def _part(key: np.ndarray, before: np.ndarray, w: np.ndarray, p0: np.ndarray, train: np.ndarray, rest_k: np.ndarray, rest_w: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training count of the context, and log10 p, of each event.
+
+    Each distinct word, context, pair and triple is looked up once, whatever the number of its events.
     """
-    known = rest_w != _OTHER  # counts of spread pairs that other shards answer
-    n = len(h)
-    ah, aw = np.concatenate((h, rest_h[known])), np.concatenate((w, rest_w[known]))
+    n, known = len(key), rest_w != _OTHER  # known: counts of spread pairs that other shards answer
+    deep = np.flatnonzero(key < _PAIR)
+    contexts, rank = np.unique(np.concatenate((key, rest_k)), return_inverse=True)
+    words, ids = np.unique(np.concatenate((w, rest_w[known], before[deep])), return_inverse=True)
+    bits = U64(max(1, len(words)).bit_length())
+    own, elsewhere = rank[:n], rank[n:]
     weight = np.concatenate((train.astype(np.int64), rest[known]))
-    order = np.lexsort((aw, ah))
-    ah, aw = ah[order], aw[order]
-    new = np.ones(len(ah), bool)
-    new[1:] = (ah[1:] != ah[:-1]) | (aw[1:] != aw[:-1])
-    # each distinct pair is looked up once, whatever the number of its events
-    pair = np.empty(len(ah), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    ph, pw = ah[new], aw[new]
-    count = np.bincount(pair, weights=weight, minlength=len(ph))
-    some = count > 0
-    trie = Trie(ph[some], pw[some], count[some], rest_h[~known], rest[~known])
-    head = np.ones(len(ph), bool)
-    head[1:] = ph[1:] != ph[:-1]
-    rank = trie.contexts(ph[head])  # of each distinct context
-    old = np.flatnonzero(rank >= 0)
-    total, left = np.zeros(len(rank)), np.ones(len(rank))  # left: the share of p0; all of it after an unknown context
-    if len(old):
-        total[old] = trie.total[rank[old]]
-        # a spread context has about as many successors in each other shard
-        spread = np.where(np.isin(ph[head][old], hot1), shards, 1)
-        n_next = np.maximum(trie.successors(rank[old]) * spread, 1)
-        left[old] = np.minimum(trie.discount * n_next / np.maximum(total[old], 1), 1.0)
-    of = np.cumsum(head) - 1
-    child = trie.successor(rank[of], pw)
-    seen = np.zeros(len(ph))
-    hit = np.flatnonzero(child >= 0)
-    seen[hit] = 10.0 ** (-_STEP * trie.quantised[child[hit]].astype(float))
-    mine = pair[:n]
-    seen, left, total = seen[mine], left[of][mine], total[of][mine]
-    with np.errstate(divide="ignore"):
-        logp = np.log10(seen + left * ((10.0 ** -_COST)[q] + unigram))
-    # very long words: 10 ** -cost is 0 in doubles
-    deep = ~np.isfinite(logp)
-    logp[deep] = np.log10(left[deep]) - _COST[q[deep]]
-    th = ph[some]
-    # a spread context is counted where its hash would have put it; the start mark counts for the end
-    heads = np.unique(np.concatenate((th, rest_h)))
-    heads = heads[~np.isin(heads, hot1) | ((mix(heads) % U64(shards)).astype(np.int64) == shard)]
-    return total, logp, len(heads)
+    m = len(weight)
+    pair_ctx, pair_word, pair_n, pair = _numbered(np.concatenate((own, elsewhere[known])), ids[:m], bits, weight)
+    node_ctx, node_word, node_n, node = _numbered(own[deep], ids[m:], bits, train[deep])
+    tri_node, tri_word, tri_n, tri = _numbered(node, ids[deep], bits, train[deep])
+    total = np.bincount(pair_ctx, weights=pair_n, minlength=len(contexts)) + np.bincount(elsewhere[~known], weights=rest[~known], minlength=len(contexts))
+    # the trie holds what training has; the order of numbers stays when the others go
+    keep_ctx, keep_node, keep_pair, keep_tri = total > 0, node_n > 0, pair_n > 0, tri_n > 0
+    keep_word = np.zeros(len(words), bool)
+    keep_word[pair_word[keep_pair]] = keep_word[node_word[keep_node]] = True
+    new_ctx, new_word, new_node = (np.cumsum(x) - 1 for x in (keep_ctx, keep_word, keep_node))
+    trie = Trie(
+        words[keep_word], contexts[keep_ctx], total[keep_ctx],
+        (new_ctx[pair_ctx[keep_pair]], new_word[pair_word[keep_pair]], pair_n[keep_pair]),
+        (new_ctx[node_ctx[keep_node]], new_word[node_word[keep_node]], node_n[keep_node]),
+        (new_node[tri_node[keep_tri]], new_word[tri_word[keep_tri]], tri_n[keep_tri]))
+    of_word, of_ctx = trie.words.find(words), trie.contexts.find(contexts)
+    seen = _counts_at(trie.total, of_ctx)
+    of_node = trie.before.find(of_ctx[node_ctx], of_word[node_word])
+    node_seen = _counts_at(trie.node_total, of_node)
+    start = np.zeros(len(words))
+    start[ids[:n]] = p0
+    p = trie.share(0, trie.after.find(of_ctx[pair_ctx], of_word[pair_word])) + MASS1 / (seen[pair_ctx] + MASS1) * start[pair_word]
+    logp = np.log10(np.maximum(p, 1e-300))[pair[:n]]
+    if len(deep):
+        lower = np.zeros(len(tri_n))
+        lower[tri] = p[pair[deep]]
+        p = trie.share(1, trie.deep.find(of_node[tri_node], of_word[tri_word])) + MASS2 / (node_seen[tri_node] + MASS2) * lower
+        logp[deep] = np.log10(p)[tri]
+    return seen[own], logp
 
 
 #: Events that one trie is built from at a time; a shard is cut by context into such parts.
@@ -670,59 +747,54 @@ def _known_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted words and their counts."""
     w, n = [np.zeros(0, U64)], [np.zeros(0, np.uint32)]
     for x in blobs:
-        m = len(x) // 10
-        w.append(np.frombuffer(x, np.uint32, m).astype(U64) | (np.frombuffer(x, np.uint16, m, 8 * m).astype(U64) << U64(32)))
-        n.append(np.frombuffer(x, np.uint32, m, 4 * m))
+        r = _Reader(x)
+        w.append(_hashes_of(r, len(x) // 10))
+        n.append(r.take(np.uint32, len(x) // 10))
     words, first = np.unique(np.concatenate(w), return_index=True)
     return words, np.concatenate(n)[first]
 
 
-def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], each: float, shard: int, shards: int, hot1: np.ndarray) -> tuple[dict[int, bytes], int]:
-    """Partial sums of one shard by chunk, and its number of distinct training words."""
+def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) -> dict[int, bytes]:
+    """Partial sums of one shard by chunk."""
     names = [k for k, _ in rows]
     words, counted = _known_words(counts)
-    cols: list[list[np.ndarray]] = [[] for _ in range(10)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(11)]
     for k in range(len(rows)):
-        blob = rows[k][1]
+        train, key, hot, before, w, q, doc, *others = _unpack(rows[k][1])
         rows[k] = (names[k], b"")  # free as we go
-        n = int.from_bytes(blob[:2], "little")
-        flags = np.unpackbits(np.frombuffer(blob, np.uint8, n, 2)).astype(bool)
-        h, w, q, doc, rare, high, *others = _unpack(blob[2 + n :])
-        unigram = np.zeros(len(h), np.uint32)
-        if len(words) and len(high):
-            word = w[rare] | (high.astype(U64) << U64(32))
-            at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-            unigram[rare] = np.where(words[at] == word, counted[at], 0)
-        for c, x in zip(cols, (h, w.astype(np.uint32), q, unigram, doc, flags[doc], np.full(len(h), k, np.uint32), *others)):
+        seen = np.zeros(len(w), np.uint32)
+        held, at = model.held(w)
+        seen[held] = model.counts[at[held]]
+        if len(words):
+            at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+            seen = np.where(~held & (words[at] == w), counted[at], seen)
+        for c, x in zip(cols, (key, hot, before, w, q, seen, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int64) + doc, *others)):
             c.append(x)
-    h, w, q, unigram, doc, train, owner, rest_h, rest_w, rest = (np.concatenate(c) for c in cols)
+    key, hot, before, w, q, seen, train, owner, rest_k, rest_w, rest = (np.concatenate(c) for c in cols)
     del cols, words, counted
-    parts = max(1, -(-len(h) // PART_EVENTS))
-    part = (mix(h ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
-    rest_part = (mix(rest_h ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
-    sums = np.zeros((3, len(rows) * 256))
-    types = 0
+    parts = max(1, -(-len(key) // PART_EVENTS))
+    part = (mix(key ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
+    rest_part = (mix(rest_k ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
+    sums = np.zeros((3, len(names) * CHUNK_DOCS))
+    hot_counts = np.concatenate(([0], model.hot_counts))
     for p in range(parts):
         e, r = np.flatnonzero(part == p), rest_part == p
-        total, logp, n = _part(h[e], w[e].astype(U64), q[e], each * unigram[e], train[e], rest_h[r], rest_w[r], rest[r], shard, shards, hot1)
-        types += n
-        at = owner[e].astype(np.int64) * 256 + doc[e]
-        for i, x in enumerate((np.log10(total + 1), logp, total > 0)):
-            sums[i] += np.bincount(at, weights=x, minlength=sums.shape[1])
+        p0 = 10.0 ** (-q[e].astype(float) / PER_UNIT) + model.each * seen[e]
+        total, logp = _part(key[e], before[e], w[e], p0, train[e], rest_k[r], rest_w[r], rest[r])
+        total = np.where(hot[e] > 0, hot_counts[hot[e]], total)
+        for i, x in enumerate((np.rint(np.log10(total + 1) * BASE_UNIT), np.rint(logp * SCORE_UNIT), total > 0)):
+            sums[i] += np.bincount(owner[e], weights=x, minlength=sums.shape[1])
     used = np.zeros(sums.shape[1], bool)
-    used[owner.astype(np.int64) * 256 + doc] = True
+    used[owner] = True
     out = {}
     for k, chunk in enumerate(names):
-        some = np.flatnonzero(used[k * 256 : k * 256 + 256])
+        some = np.flatnonzero(used[k * CHUNK_DOCS : (k + 1) * CHUNK_DOCS])
         if len(some):
-            base, score, n_known = sums[:, k * 256 + some]
-            out[chunk] = some.astype(np.uint8).tobytes() + base.tobytes() + score.astype(np.float32).tobytes() + n_known.astype(np.uint32).tobytes()
-    return out, types
-
+            out[chunk] = len(some).to_bytes(4, "little") + _squeezed(_planes(some.astype(np.uint16)) + b"".join(_planes(x) for x in sums[:, k * CHUNK_DOCS + some].astype(np.int64)))
+    return out
 
-def answer(dealt: DataFrame, each: float, hot: dict[int, int], shards: int) -> DataFrame:
-    hot1 = np.array(sorted(k for k, v in hot.items() if v == 1), U64)
 
+def answer(dealt: DataFrame, model: Model, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple[int, bytes]]] = {}
         counts: dict[int, list[bytes]] = {}
@@ -736,8 +808,9 @@ def answer(dealt: DataFrame, each: float, hot: dict[int, int], shards: int) -> D
                 elif x is not None:
                     by.setdefault(s, []).append((k, x))
         for s in list(by):
-            out, v = _answer(by.pop(s), counts.pop(s, []), each, s, shards, hot1)
-            yield _batch([(-1, v, None, None, None, None), *((s, k, None, None, None, x) for k, x in out.items())])
+            out = _answer(by.pop(s), counts.pop(s, []), model)
+            if out:
+                yield _batch([(s, k, None, None, None, x) for k, x in out.items()])
 
     return dealt.repartitionById(shards, F.col("dest")).mapInArrow(run, MAP_SCHEMA)
 
@@ -751,16 +824,17 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if blob is None:
                 meta[k] = (ids, n, train)
                 continue
-            m = len(blob) // 17
-            d = np.frombuffer(blob, np.uint8, m)
-            s = sums.setdefault(k, np.zeros((3, 256)))
-            s[0, d] += np.frombuffer(blob, np.float64, m, m)
-            s[1, d] += np.frombuffer(blob, np.float32, m, 9 * m)
-            s[2, d] += np.frombuffer(blob, np.uint32, m, 13 * m)
+            r = _Reader(blob)
+            m = int(r.take(np.uint32, 1)[0])
+            r = r.unsqueezed()
+            d = r.planes(np.uint16, m)
+            s = sums.setdefault(k, np.zeros((3, CHUNK_DOCS), np.int64))
+            for i in range(3):
+                s[i, d] += r.planes(np.int64, m)
     for k, (ids, n, train) in meta.items():
-        s = sums.get(k, np.zeros((3, 256)))[:, : len(ids)]
+        s = sums.get(k, np.zeros((3, CHUNK_DOCS), np.int64))[:, : len(ids)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(train), pa.array(n, pa.int64()), pa.array(s[2].astype(np.int64)), pa.array(s[0]), pa.array(s[1])],
+            [pa.array(ids, pa.int64()), pa.array(train), pa.array(n, pa.int64()), pa.array(s[2]), pa.array(s[0] / BASE_UNIT), pa.array(s[1] / SCORE_UNIT)],
             names=["doc_id", "train", "n_tokens", "n_known", "logs", "score"],
         )
 
@@ -770,21 +844,23 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "train")
-    counts, n, hot, top, others = corpus_counts(docs)
-    model = WordModel(counts, n, top)
-    dealt = deal(docs, model, hot, shards).unionByName(word_counts(docs, model, others, hot, shards))
-    parts = materialise(answer(dealt, model.each, hot, shards), "lm-parts")
-    v = parts.where("dest = -1").agg(F.sum("chunk")).first()[0] or 0
-    out = parts.where("dest >= 0").repartition(shards, "chunk").mapInArrow(
+    model, others = corpus_counts(docs)
+    dealt = deal(docs, model, shards).unionByName(word_counts(docs, model, others, shards))
+    parts = materialise(answer(dealt, model, shards), "lm-parts")
+    out = parts.repartition(shards, "chunk").mapInArrow(
         _sums, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, logs double, score double")
+    types = model.types + (1 if model.p_end * (model.n + 2) > 1.5 else 0)  # the end mark, if training has one
     return out.select(
-        "doc_id", "train", "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
+        "doc_id", "train", "n_tokens", "n_known", F.lit(int(model.n)).cast("bigint").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(model.n + types + 1)))).alias("base_score"), "score",
     )
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the mean log10 probability of a token."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7, F.lit(0))
     out = score(docs.select("doc_id", "text", (fold != 2).alias("train")))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
