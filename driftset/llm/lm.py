@@ -68,8 +68,8 @@ TOP_WORDS = 65_536
 HELD_WORDS = 1 << 21
 #: Frequent pairs a map task names; they affect balance alone.
 NAMED = 2048
-#: Documents a chunk: their numbers fit a byte.
-CHUNK_DOCS = 256
+#: Documents a chunk.
+CHUNK_DOCS = 1024
 START, END = 0x0123456789AB, 0x0BA987654321
 _H48, _PAIR = U64((1 << 48) - 1), U64(1 << 48)
 _STEP = 8.0 / 65535
@@ -313,26 +313,36 @@ def _counts_at(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- map side
 
 
-def events(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """The two words before, token and document of each event, with the words' spans."""
-    low = c.lowered()
-    starts, ends, doc = low.words()
-    n = c.hi - c.lo
-    wh = span_hash(low.prefix(), starts, ends) & _H48
-    counts = np.bincount(doc, minlength=n)
-    first = np.cumsum(counts) - counts
-    # the token sequence of a document is its words and the end; contexts are shifted by one and by two
-    size = counts + 1
-    begin = np.cumsum(size) - size
-    total = int(size.sum())
-    token, context, before = np.full(total, END, U64), np.full(total, START, U64), np.full(total, START, U64)
-    at = begin[doc] + np.arange(len(doc)) - first[doc]
-    token[at] = wh
-    context[at + 1] = wh
-    last = np.ones(len(at), bool)
-    last[:-1] = doc[1:] != doc[:-1]
-    before[at[~last] + 2] = wh[~last]
-    return before, context, token, np.repeat(np.arange(n), size), (low.data, starts, ends, at)
+class Events:
+    """The token, the word before it and the word before that of each event, as places in the chunk's ``words``.
+
+    The last two words are the start and the end mark; ``first`` tells where each other word stands first.
+    """
+
+    def __init__(self, c: Chunk):
+        low = c.lowered()
+        starts, ends, doc = low.words()
+        n = c.hi - c.lo
+        wh = span_hash(low.prefix(), starts, ends) & _H48
+        words, first, ids = np.unique(wh, return_index=True, return_inverse=True)
+        self.words = np.concatenate((words, np.array([START, END], U64)))
+        self.data, self.starts, self.ends = low.data, starts, ends
+        self.spans = starts[first], ends[first]
+        counts = np.bincount(doc, minlength=n)
+        before = np.cumsum(counts) - counts
+        # the token sequence of a document is its words and the end; contexts are shifted by one and by two
+        size = counts + 1
+        begin = np.cumsum(size) - size
+        total = int(size.sum())
+        self.token = np.full(total, len(words) + 1, np.int32)
+        self.context, self.before = (np.full(total, len(words), np.int32) for _ in range(2))
+        self.at = at = begin[doc] + np.arange(len(doc)) - before[doc]
+        self.token[at] = ids
+        self.context[at + 1] = ids
+        last = np.ones(len(at), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        self.before[at[~last] + 2] = ids[~last]
+        self.doc = np.repeat(np.arange(n), size)
 
 
 def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -354,6 +364,15 @@ def _merge(a: tuple[np.ndarray, np.ndarray], key: np.ndarray, n: np.ndarray) ->
     return both, np.bincount(inverse, weights=np.concatenate((a[1], n)), minlength=len(both)).astype(np.int64)
 
 
+def _frequent(key: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur more than ``least`` times, at each of their places, and these places."""
+    bucket = (key & U64(0xFFFF)).astype(np.int64)
+    e = np.flatnonzero((np.bincount(bucket, minlength=1 << 16) > least)[bucket])
+    _, inverse, k = np.unique(key[e], return_inverse=True, return_counts=True)
+    e = e[(k > least)[inverse]]
+    return key[e], e
+
+
 class Model:
     """What every task knows: p0 of words, the hot words, and the pairs that are spread.
 
@@ -424,28 +443,26 @@ def corpus_counts(docs: DataFrame) -> tuple[Model, DataFrame]:
         for b in batches:
             train = b.column(1).to_numpy(zero_copy_only=False)
             for c in small_chunks(b.column(0)):
-                before, context, token, doc, (data, starts, ends, at) = events(c)
+                x = Events(c)
                 mine = train[c.lo : c.hi]
-                n += int(mine[doc].sum())
-                n_all += len(doc)
-                ok = mine[doc[at]] if len(at) else np.zeros(0, bool)
-                code, _, last = _trigrams(data, starts[ok], ends[ok])
+                n += int(mine[x.doc].sum())
+                n_all += len(x.doc)
+                ok = mine[x.doc[x.at]] if len(x.at) else np.zeros(0, bool)
+                code, _, last = _trigrams(x.data, x.starts[ok], x.ends[ok])
                 counts += np.bincount(code, minlength=64**3) + np.bincount(last, minlength=64**3)
-                fresh = _merge(fresh, *np.unique(token[at[ok]], return_counts=True))
+                k = np.bincount(x.token[x.at[ok]], minlength=len(x.words))
+                fresh = _merge(fresh, x.words[k > 0], k[k > 0])
                 if len(fresh[0]) > 1 << 19:
                     words, fresh = _merge(words, *fresh), (np.zeros(0, U64), np.zeros(0, np.int64))
                 if len(words[0]) > HELD_WORDS:
                     yield from rows_of(words)
                     words = (np.zeros(0, U64), np.zeros(0, np.int64))
-                pair = _pair_context(before, context)
-                # pairs after which many tokens stand; which of them are named affects balance alone
-                v, inverse, k = np.unique(pair, return_inverse=True, return_counts=True)
-                many = k > HOT_SHARE / 2 * len(doc)
-                often.update({(1, int(x)): int(y) for x, y in zip(v[many], k[many])})
-                e = np.flatnonzero(many[inverse])
-                v, k = np.unique(_pair_key(pair[e], token[e]), return_counts=True)
-                many = k > HOT_SHARE / 2 * len(doc)
-                often.update({(2, int(x)): int(y) for x, y in zip(v[many], k[many])})
+                # pairs after which many tokens stand, and such triples; which of them are named affects balance alone
+                least = HOT_SHARE / 2 * len(x.doc)
+                pair, e = _frequent(_pair_context(x.words[x.before], x.words[x.context]), least)
+                often.update({(1, int(v)): int(k) for v, k in zip(*np.unique(pair, return_counts=True))})
+                triple, _ = _frequent(_pair_key(pair, x.words[x.token[e]]), least)
+                often.update({(2, int(v)): int(k) for v, k in zip(*np.unique(triple, return_counts=True))})
         some = np.flatnonzero(counts)
         named = often.most_common(NAMED)
         yield from rows_of(_merge(words, *fresh))
@@ -533,39 +550,43 @@ def _hashes_of(r: _Reader, n: int) -> np.ndarray:
 _OTHER = U64(1 << 48)
 
 
-def _pack(train: np.ndarray, key: np.ndarray, hot: np.ndarray, before: np.ndarray, w: np.ndarray, cost: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
-    """Events sorted by context, each context and each word once, and the counts kept elsewhere.
+def _pack(train: np.ndarray, words: np.ndarray, place: np.ndarray, cost: np.ndarray, context: np.ndarray, before: np.ndarray, token: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
+    """Events sorted by context, and the counts kept elsewhere.
 
-    Only contexts of one word are told the word before.
+    Words are numbered within the row; frequent ones are named by their ``place`` in the model's table (else -1).
+    """
+    first = np.flatnonzero(np.diff(context, prepend=-1))
+    every = np.concatenate((context[first], before, token))
+    used = np.unique(every)
+    ids = np.searchsorted(used, every).astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    held = place[used] >= 0
+    flags, which = np.packbits(train), np.packbits(held)
+    n = np.diff(np.concatenate((first, [len(context)]))).astype(np.uint32)
+    head = np.array([len(train), len(used), held.sum(), len(first), len(token), len(rest[0])], np.uint32)
+    tight = b"".join((_planes(n), _planes(cost[used]), _planes(doc.astype(np.uint16)), _planes(ids)))
+    return b"".join((head.tobytes(), flags.tobytes(), which.tobytes(), place[used[held]].astype(np.uint16).tobytes(), _hashes(words[used[~held]]), *(x.tobytes() for x in rest), _squeezed(tight)))
+
+
+def _unpack(blob: bytes, model: Model) -> tuple[np.ndarray, ...]:
+    """Train flags, context, hot place, word before, token, cost, document and known count of each event; contexts, tokens and counts kept elsewhere.
+
+    Known counts are those of words in the model's table, -1 for the others.
     """
-    order = np.argsort(key, kind="stable")
-    u, first, n = np.unique(key[order], return_index=True, return_counts=True)
-    deep = key[order] < _PAIR
-    words, ids = np.unique(np.concatenate((w[order], before[order][deep])), return_inverse=True)
-    q = np.zeros(len(words), np.uint16)
-    q[ids[: len(w)]] = cost[order]
-    ids = ids.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-    flags = np.packbits(train)
-    head = np.array([len(train), len(u), len(words), len(w), int(deep.sum()), len(rest[0])], np.uint32)
-    tight = b"".join((_planes(hot[order][first]), _planes(n.astype(np.uint32)), _planes(q), _planes(doc[order].astype(np.uint16)), _planes(ids)))
-    return b"".join((head.tobytes(), flags.tobytes(), _hashes(u & _H48), _hashes(words), *(x.tobytes() for x in rest), _squeezed(tight)))
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Train flags, context, hot place, word before, token, cost and document of each event; contexts, tokens and counts kept elsewhere."""
     r = _Reader(blob)
-    n_docs, n_ctx, n_words, n, n_deep, n_rest = r.take(np.uint32, 6).tolist()
+    n_docs, n_words, n_held, n_ctx, n, n_rest = r.take(np.uint32, 6).tolist()
     train = np.unpackbits(r.take(np.uint8, -(-n_docs // 8)), count=n_docs).astype(bool)
-    u, words = _hashes_of(r, n_ctx), _hashes_of(r, n_words)
+    held = np.unpackbits(r.take(np.uint8, -(-n_words // 8)), count=n_words).astype(bool)
+    words, known = np.empty(n_words, U64), np.full(n_words, -1, np.int64)
+    place = r.take(np.uint16, n_held)
+    words[held], known[held] = model.keys[place], model.counts[place]
+    words[~held] = _hashes_of(r, n_words - n_held)
     rest = [r.take(t, n_rest) for t in (np.uint64, np.uint64, np.int64)]
     t = r.unsqueezed()
-    hot, many, q, doc = t.planes(np.uint16, n_ctx), t.planes(np.uint32, n_ctx), t.planes(np.uint16, n_words), t.planes(np.uint16, n)
-    ids = t.planes(np.uint16 if n_words <= 1 << 16 else np.uint32, n + n_deep)
-    u = np.where(hot > 0, u | _PAIR, u)
-    key, hot = np.repeat(u, many), np.repeat(hot, many)
-    before = np.zeros(n, U64)
-    before[hot == 0] = words[ids[n:]]
-    return train, key, hot, before, words[ids[:n]], q[ids[:n]], doc, *rest
+    many, q, doc = t.planes(np.uint32, n_ctx), t.planes(np.uint16, n_words), t.planes(np.uint16, n)
+    ids = t.planes(np.uint16 if n_words <= 1 << 16 else np.uint32, n_ctx + 2 * n)
+    before, token = words[ids[n_ctx : n_ctx + n]], ids[n_ctx + n :]
+    key, hot = model.contexts(before, np.repeat(words[ids[:n_ctx]], many))
+    return train, key, hot, before, words[token], q[token], doc, known[token], *rest
 
 
 def _elsewhere(key: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarray, model: Model, shards: int) -> tuple[np.ndarray, ...]:
@@ -616,10 +637,12 @@ def word_counts(docs: DataFrame, model: Model, others: DataFrame, shards: int) -
         asked, fresh, n_fresh = np.zeros(0, U64), [], 0
         for b in batches:
             for c in small_chunks(b.column(0)):
-                before, h, w, _, (_, _, _, at) = events(c)
-                at = at[~model.held(w[at])[0]]
-                key, _ = model.contexts(before[at], h[at])
-                w = w[at]
+                x = Events(c)
+                rare = ~model.held(x.words)[0]
+                rare[-2:] = False
+                e = np.flatnonzero(rare[x.token])
+                key, _ = model.contexts(x.words[x.before[e]], x.words[x.context[e]])
+                w = x.words[x.token[e]]
                 dest, _, pair = model.route(key, w, shards, 0)
                 far = np.unique(w[pair])  # any shard may meet these
                 fresh += [(w[~pair] << U64(16)) | dest[~pair].astype(U64), ((far << U64(16))[:, None] | np.arange(shards, dtype=U64)).ravel()]
@@ -665,23 +688,24 @@ def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
             for c in small_chunks(b.column(1)):
                 chunk = (part << 32) | serial
                 serial += 1
-                before, h, w, doc, (data, starts, ends, at) = events(c)
-                cost = np.full(len(h), -np.log10(model.p_end))
-                cost[at] = model.costs(data, starts, ends)
-                cost = quantise(cost)
-                mine = train[c.lo : c.hi]
-                key, hot = model.contexts(before, h)
+                x = Events(c)
+                w, mine = x.words[x.token], train[c.lo : c.hi]
+                # costs of the chunk's words, the start mark (never a token) and the end
+                cost = quantise(np.concatenate((model.costs(x.data, *x.spans), [0.0, -np.log10(model.p_end)])))
+                held, place = model.held(x.words)
+                place = np.where(held, place, -1)
+                key, _ = model.contexts(x.words[x.before], x.words[x.context])
                 dest, wide, _ = model.route(key, w, shards, chunk)
-                rs, *rest = _elsewhere(key, w, dest, wide & mine[doc], model, shards)
+                rs, *rest = _elsewhere(key, w, dest, wide & mine[x.doc], model, shards)
                 rcut = np.searchsorted(rs, np.arange(shards + 1))
-                order = np.argsort(dest, kind="stable")
+                order = np.argsort(dest * len(x.words) + x.context)
                 cuts = np.searchsorted(dest[order], np.arange(shards + 1))
-                rows = [(int(mix(np.array([chunk], U64))[0] % U64(shards)), chunk, b.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), np.bincount(doc, minlength=c.hi - c.lo).tolist(), mine.tolist(), None)]
+                rows = [(int(mix(np.array([chunk], U64))[0] % U64(shards)), chunk, b.column(0).slice(c.lo, c.hi - c.lo).to_pylist(), np.bincount(x.doc, minlength=c.hi - c.lo).tolist(), mine.tolist(), None)]
                 for s in range(shards):
                     e = order[cuts[s] : cuts[s + 1]]
                     r = slice(rcut[s], rcut[s + 1])
                     if len(e) or rcut[s + 1] > rcut[s]:
-                        rows.append((s, chunk, None, None, None, _pack(mine, key[e], hot[e], before[e], w[e], cost[e], doc[e], tuple(x[r] for x in rest))))
+                        rows.append((s, chunk, None, None, None, _pack(mine, x.words, place, cost, x.context[e], x.before[e], x.token[e], x.doc[e], tuple(y[r] for y in rest))))
                 yield _batch(rows)
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, MAP_SCHEMA)
@@ -760,14 +784,13 @@ def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) ->
     words, counted = _known_words(counts)
     cols: list[list[np.ndarray]] = [[] for _ in range(11)]
     for k in range(len(rows)):
-        train, key, hot, before, w, q, doc, *others = _unpack(rows[k][1])
+        train, key, hot, before, w, q, doc, seen, *others = _unpack(rows[k][1], model)
         rows[k] = (names[k], b"")  # free as we go
-        seen = np.zeros(len(w), np.uint32)
-        held, at = model.held(w)
-        seen[held] = model.counts[at[held]]
-        if len(words):
-            at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-            seen = np.where(~held & (words[at] == w), counted[at], seen)
+        e = np.flatnonzero(seen < 0)
+        seen[e] = 0
+        if len(words) and len(e):
+            at = np.minimum(np.searchsorted(words, w[e]), len(words) - 1)
+            seen[e] = np.where(words[at] == w[e], counted[at], 0)
         for c, x in zip(cols, (key, hot, before, w, q, seen, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int64) + doc, *others)):
             c.append(x)
     key, hot, before, w, q, seen, train, owner, rest_k, rest_w, rest = (np.concatenate(c) for c in cols)
