@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import materialise
-from driftset.llm.textblocks import U64, Chunk, chunks, mix, span_hash
+from driftset.llm.textblocks import U64, Chunk, chunks, distinct, mix, span_hash
 
 #: Pseudo-counts of the lower order that a context of one or two words is given.
 MASS1, MASS2 = 100.0, 3.0
@@ -69,7 +69,7 @@ HELD_WORDS = 1 << 21
 #: Frequent pairs a map task names; they affect balance alone.
 NAMED = 2048
 #: Documents a chunk.
-CHUNK_DOCS = 1024
+CHUNK_DOCS = 512
 START, END = 0x0123456789AB, 0x0BA987654321
 _H48, _PAIR = U64((1 << 48) - 1), U64(1 << 48)
 _STEP = 8.0 / 65535
@@ -355,7 +355,7 @@ def _pair_context(before: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 def small_chunks(texts: pa.Array) -> Iterator[Chunk]:
     for lo in range(0, len(texts), CHUNK_DOCS):
-        for c in chunks(texts.slice(lo, CHUNK_DOCS), 4 << 20):
+        for c in chunks(texts.slice(lo, CHUNK_DOCS)):
             yield Chunk(c.lo + lo, c.hi + lo, c.data, c.offs)
 
 
@@ -404,13 +404,18 @@ class Model:
         p = 0.5 * 10.0 ** -self.bytes.costs(data, starts, ends) + 0.5 / max(1, self.types)
         return -np.log10(p * (1 - self.alpha) * (1 - self.p_end))
 
-    def contexts(self, before: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The context of each event: its word or, after a hot word, the pair; and 1 + the place of the hot word, or 0."""
-        at = np.minimum(np.searchsorted(self.hot, context), max(0, len(self.hot) - 1))
-        is_hot = self.hot[at] == context if len(self.hot) else np.zeros(len(context), bool)
-        key = context.copy()
-        key[is_hot] = _pair_context(before[is_hot], context[is_hot])
-        return key, np.where(is_hot, at + 1, 0).astype(np.uint16)
+    def hot_place(self, words: np.ndarray) -> np.ndarray:
+        """1 + the place of a hot word, 0 of others."""
+        if not len(self.hot):
+            return np.zeros(len(words), np.uint16)
+        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        return np.where(self.hot[at] == words, at + 1, 0).astype(np.uint16)
+
+    def contexts(self, before: np.ndarray, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """The context of each event: its word or, after a hot word, the pair."""
+        key, at = context.copy(), np.flatnonzero(hot)
+        key[at] = _pair_context(before[at], context[at])
+        return key
 
     def route(self, key: np.ndarray, w: np.ndarray, shards: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shard of each event, and whether its context and its pair are spread (a spread pair goes by chunk)."""
@@ -550,15 +555,17 @@ def _hashes_of(r: _Reader, n: int) -> np.ndarray:
 _OTHER = U64(1 << 48)
 
 
-def _pack(train: np.ndarray, words: np.ndarray, place: np.ndarray, cost: np.ndarray, context: np.ndarray, before: np.ndarray, token: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
+def _pack(train: np.ndarray, number: np.ndarray, words: np.ndarray, place: np.ndarray, cost: np.ndarray, context: np.ndarray, before: np.ndarray, token: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
     """Events sorted by context, and the counts kept elsewhere.
 
     Words are numbered within the row; frequent ones are named by their ``place`` in the model's table (else -1).
+    ``number`` is room for the numbers of the chunk's words.
     """
     first = np.flatnonzero(np.diff(context, prepend=-1))
     every = np.concatenate((context[first], before, token))
-    used = np.unique(every)
-    ids = np.searchsorted(used, every).astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    used = distinct(every)
+    number[used] = np.arange(len(used))
+    ids = number[every].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
     held = place[used] >= 0
     flags, which = np.packbits(train), np.packbits(held)
     n = np.diff(np.concatenate((first, [len(context)]))).astype(np.uint32)
@@ -567,25 +574,30 @@ def _pack(train: np.ndarray, words: np.ndarray, place: np.ndarray, cost: np.ndar
     return b"".join((head.tobytes(), flags.tobytes(), which.tobytes(), place[used[held]].astype(np.uint16).tobytes(), _hashes(words[used[~held]]), *(x.tobytes() for x in rest), _squeezed(tight)))
 
 
-def _unpack(blob: bytes, model: Model) -> tuple[np.ndarray, ...]:
-    """Train flags, context, hot place, word before, token, cost, document and known count of each event; contexts, tokens and counts kept elsewhere.
+def _unpack(blob: bytes, model: Model, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Train flags, context, hot place, word before, token, cost, document and unigram count of each event; contexts, tokens and counts kept elsewhere.
 
-    Known counts are those of words in the model's table, -1 for the others.
+    ``more`` are words that the model's table lacks, with their ``counts``.
     """
     r = _Reader(blob)
     n_docs, n_words, n_held, n_ctx, n, n_rest = r.take(np.uint32, 6).tolist()
     train = np.unpackbits(r.take(np.uint8, -(-n_docs // 8)), count=n_docs).astype(bool)
     held = np.unpackbits(r.take(np.uint8, -(-n_words // 8)), count=n_words).astype(bool)
-    words, known = np.empty(n_words, U64), np.full(n_words, -1, np.int64)
+    words, known = np.empty(n_words, U64), np.zeros(n_words, np.int64)
     place = r.take(np.uint16, n_held)
     words[held], known[held] = model.keys[place], model.counts[place]
-    words[~held] = _hashes_of(r, n_words - n_held)
+    words[~held] = rare = _hashes_of(r, n_words - n_held)
+    if len(more):
+        at = np.minimum(np.searchsorted(more, rare), len(more) - 1)
+        known[~held] = np.where(more[at] == rare, counts[at], 0)
     rest = [r.take(t, n_rest) for t in (np.uint64, np.uint64, np.int64)]
     t = r.unsqueezed()
     many, q, doc = t.planes(np.uint32, n_ctx), t.planes(np.uint16, n_words), t.planes(np.uint16, n)
     ids = t.planes(np.uint16 if n_words <= 1 << 16 else np.uint32, n_ctx + 2 * n)
     before, token = words[ids[n_ctx : n_ctx + n]], ids[n_ctx + n :]
-    key, hot = model.contexts(before, np.repeat(words[ids[:n_ctx]], many))
+    context = words[ids[:n_ctx]]
+    hot = np.repeat(model.hot_place(context), many)
+    key = model.contexts(before, np.repeat(context, many), hot)
     return train, key, hot, before, words[token], q[token], doc, known[token], *rest
 
 
@@ -641,18 +653,18 @@ def word_counts(docs: DataFrame, model: Model, others: DataFrame, shards: int) -
                 rare = ~model.held(x.words)[0]
                 rare[-2:] = False
                 e = np.flatnonzero(rare[x.token])
-                key, _ = model.contexts(x.words[x.before[e]], x.words[x.context[e]])
+                key = model.contexts(x.words[x.before[e]], x.words[x.context[e]], model.hot_place(x.words)[x.context[e]])
                 w = x.words[x.token[e]]
                 dest, _, pair = model.route(key, w, shards, 0)
-                far = np.unique(w[pair])  # any shard may meet these
+                far = distinct(w[pair])  # any shard may meet these
                 fresh += [(w[~pair] << U64(16)) | dest[~pair].astype(U64), ((far << U64(16))[:, None] | np.arange(shards, dtype=U64)).ravel()]
                 n_fresh += len(fresh[-2]) + len(fresh[-1])
                 if n_fresh > HELD_REQUESTS // 4:
-                    asked, fresh, n_fresh = np.unique(np.concatenate((asked, *fresh))), [], 0
+                    asked, fresh, n_fresh = distinct(np.concatenate((asked, *fresh))), [], 0
                 if len(asked) > HELD_REQUESTS:
                     yield from rows()
                     asked = np.zeros(0, U64)
-        asked = np.unique(np.concatenate((asked, *fresh)))
+        asked = distinct(np.concatenate((asked, *fresh)))
         yield from rows()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -693,8 +705,8 @@ def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                 # costs of the chunk's words, the start mark (never a token) and the end
                 cost = quantise(np.concatenate((model.costs(x.data, *x.spans), [0.0, -np.log10(model.p_end)])))
                 held, place = model.held(x.words)
-                place = np.where(held, place, -1)
-                key, _ = model.contexts(x.words[x.before], x.words[x.context])
+                place, number = np.where(held, place, -1), np.empty(len(x.words), np.int32)
+                key = model.contexts(x.words[x.before], x.words[x.context], model.hot_place(x.words)[x.context])
                 dest, wide, _ = model.route(key, w, shards, chunk)
                 rs, *rest = _elsewhere(key, w, dest, wide & mine[x.doc], model, shards)
                 rcut = np.searchsorted(rs, np.arange(shards + 1))
@@ -705,7 +717,7 @@ def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                     e = order[cuts[s] : cuts[s + 1]]
                     r = slice(rcut[s], rcut[s + 1])
                     if len(e) or rcut[s + 1] > rcut[s]:
-                        rows.append((s, chunk, None, None, None, _pack(mine, x.words, place, cost, x.context[e], x.before[e], x.token[e], x.doc[e], tuple(y[r] for y in rest))))
+                        rows.append((s, chunk, None, None, None, _pack(mine, number, x.words, place, cost, x.context[e], x.before[e], x.token[e], x.doc[e], tuple(y[r] for y in rest))))
                 yield _batch(rows)
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, MAP_SCHEMA)
@@ -764,7 +776,7 @@ def _part(key: np.ndarray, before: np.ndarray, w: np.ndarray, p0: np.ndarray, tr
 
 
 #: Events that one trie is built from at a time; a shard is cut by context into such parts.
-PART_EVENTS = 400_000
+PART_EVENTS = 300_000
 
 
 def _known_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -784,14 +796,9 @@ def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) ->
     words, counted = _known_words(counts)
     cols: list[list[np.ndarray]] = [[] for _ in range(11)]
     for k in range(len(rows)):
-        train, key, hot, before, w, q, doc, seen, *others = _unpack(rows[k][1], model)
+        train, key, hot, before, w, q, doc, seen, *others = _unpack(rows[k][1], model, words, counted)
         rows[k] = (names[k], b"")  # free as we go
-        e = np.flatnonzero(seen < 0)
-        seen[e] = 0
-        if len(words) and len(e):
-            at = np.minimum(np.searchsorted(words, w[e]), len(words) - 1)
-            seen[e] = np.where(words[at] == w[e], counted[at], 0)
-        for c, x in zip(cols, (key, hot, before, w, q, seen, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int64) + doc, *others)):
+        for c, x in zip(cols, (key, hot, before, w, q, seen, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int32) + doc, *others)):
             c.append(x)
     key, hot, before, w, q, seen, train, owner, rest_k, rest_w, rest = (np.concatenate(c) for c in cols)
     del cols, words, counted

@@ -1,16 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult and threat (weighted, from a lexicon that is
-learned from labels besides a short fixed one), target, negation, reporting.
-Three transducers rewrite the symbols of one clause: negation marks what
-follows within its clause as denied, reporting marks it as quoted, and the
-target transducer marks what is aimed at a person.  Their composition is one
-deterministic transducer; its outputs, weighted by lexeme and pattern, give
-the score of a clause, and a logistic model over the clause outputs gives the
-score of the document.  A lone target, negation or report scores nothing.
+Words become symbols: slurs (a short fixed list, and words and stems learned
+from labels), verbs of harm, verbs of perishing, degree, intent, target,
+negation and reporting.  Five transducers rewrite the symbols of one clause:
+
+* the insult transducer turns a slur into an insult, a strong one after a
+  word of degree;
+* the threat transducer needs intent, a verb of harm and a target: the symbol
+  that completes them becomes a threat ("I will hurt you", "I hope they burn
+  your house"); intent, a target and then a verb of perishing do as well
+  ("you will die"); harm and a target without intent are a menace, a verb of
+  harm alone is only harm ("kill the process");
+* the negation transducer marks what follows within its clause as denied, the
+  reporting transducer marks it as quoted, and the target transducer marks
+  insults that are aimed at a person.
+
+More than ``REACH`` other words between two symbols undo degree, intent and
+pending harm, but not negation, reporting or target.  The composition is one
+deterministic transducer; its outputs, weighted by lexeme and by learned arc
+weights, give the score of a clause, and a logistic model over the clause
+outputs gives the score of the document.  A lone target, intent, negation or
+report scores nothing.
 
 Words are found for whole chunks of text at once by hashing; only clauses with
-an insult or threat are run through the machine.
+a slur or a verb of harm or perishing are run through the machine.
 
 Learning uses labelled rows whose crc32(doc_id) mod 5 is not 0, of those at
 most ``FIT_ROWS``, the first in hash order; labels, lang, source and doc_id
@@ -19,11 +32,12 @@ are no inputs of a score.
 Defined cases: null and empty texts get the score of a text without matches;
 rows with a null label or doc_id teach nothing; without labels the fixed
 lexicon and prior weights are used; repeated rows score alike; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import materialise
-from driftset.llm.textblocks import U64, Chunk, chunks, span_hash
+from driftset.llm.textblocks import U64, Chunk, chunks, distinct, span_hash
 
 #: Bound on the labelled rows used for learning, and on the lexicon.
 FIT_ROWS, LEXICON = 20_000, 4_000
@@ -42,15 +56,26 @@ STEMS = (4, 5, 6, 7, 8, 9, 10)
 #: A learned entry occurs in this many different contexts, at least this many
 #: for each toxic row, and its log odds less ``SIGMAS`` standard errors reach ``ODDS``.
 CONTEXTS, PER_ROW, SIGMAS, ODDS = 5, 0.012, 3.0, 0.7
+#: Other words between two symbols beyond which they form no phrase.
+REACH = 3
 # Words of the grammar by symbol, in English, German, French and Spanish.
 WORDS = {
-    "insult": "idiot idiots moron morons scum pathetic worthless loser losers stupid disgusting imbecile dummkopf arschloch connard salope estúpido cabrón".split(),
-    "threat": "kill murder destroy hurt stab strangle töten umbringen tuer frapper matar golpear".split(),
-    "target": "you your yours they them he she him her du dich ihr euch tu toi vous ils elle usted ustedes ellos".split(),
-    "negation": "not no never neither nor without isn't aren't don't nicht kein keine nie ne pas jamais sin nunca tampoco".split(),
+    "slur": "idiot idiots moron morons scum pathetic worthless loser losers stupid disgusting imbecile dummkopf arschloch connard salope estúpido cabrón".split(),
+    "harm": "kill murder destroy hurt stab strangle shoot beat burn smash töten umbringen verprügeln tuer frapper brûler matar golpear quemar".split(),
+    "perish": "suffer bleed rot hang sterben verrecken crever mourir morir".split(),
+    "die": "die dead".split(),
+    "degree": "such so very total complete utter absolute damn damned bloody stinking völlig verdammter sale gros vraiment muy maldito".split(),
+    "intent": "will i'll we'll going gonna hope want wish should must deserve deserves werde werden wirst sollst hoffe vais vas espère voy espero ojalá".split(),
+    "you": "you your yours they them he she him".split(),
+    "target": "her du dich ihr euch tu toi vous ils elle usted ustedes ellos".split(),
+    "negation": "not no never neither nor without isn't aren't don't won't nicht kein keine nie ne pas jamais sin nunca tampoco".split(),
     "report": "said says say wrote claimed called quoted according allegedly sagte schrieb behauptete dit disait écrit dijo escribió".split(),
 }
-SYMBOLS = ("insult", "threat", "target", "negation", "report")
+#: Inputs of the grammar; a clause without one of the first four is not run.  "far" stands for a long way between two others.
+SYMBOLS = (*WORDS, "far")
+CORES = 4
+#: What the first two transducers make of them, to be marked by the other three.
+PHRASES = ("insult", "insult+strong", "threat", "threat&target", "menace&target", "harm")
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[b for b in range(128) if not chr(b).isalnum() and chr(b) != "'"]] = 32
@@ -85,40 +110,67 @@ def compose(a: Transducer, b: Transducer, symbols: set[str]) -> Transducer:
     return out
 
 
-def marker(trigger: str, mark: str, symbols: set[str]) -> Transducer:
-    """After ``trigger``, insults and threats carry ``mark`` to the clause's end."""
+def insults() -> Transducer:
+    t = Transducer("plain", {("plain", "degree"): ("strong", "degree"), ("strong", "far"): ("plain", "far")})
+    t.arcs["plain", "slur"] = ("plain", "insult")
+    t.arcs["strong", "slur"] = ("strong", "insult+strong")
+    return t
+
+
+def threats() -> Transducer:
+    """States say what was seen within reach: intent, a target, an English one, harm that waits for a target."""
+    t = Transducer("")
+    for n in range(16):
+        seen = "".join(x for k, x in enumerate("iteh") if n >> k & 1)
+
+        def add(more: str) -> str:
+            return "".join(x for x in "iteh" if x in seen or x in more)
+
+        done = seen.replace("h", "")
+        t.arcs[seen, "far"] = ("", "far")
+        t.arcs[seen, "intent"] = (add("i"), "intent")
+        for word, marks in (("target", "t"), ("you", "te")):
+            t.arcs[seen, word] = (add(marks).replace("h", ""), "threat&target" if "i" in seen else "menace&target") if "h" in seen else (add(marks), "target")
+        t.arcs[seen, "harm"] = (done, "threat") if "i" in seen and "t" in seen else (add("h"), "harm")
+        # "die" is an article in German: it needs an English target
+        t.arcs[seen, "perish"] = (done, "threat") if "i" in seen and "t" in seen else (seen, "perish")
+        t.arcs[seen, "die"] = (done, "threat") if "i" in seen and "e" in seen else (seen, "die")
+    return t
+
+
+def marker(trigger: str, mark: str, phrases: list[str]) -> Transducer:
+    """After ``trigger``, phrases carry ``mark`` to the clause's end."""
     t = Transducer("off", {("off", trigger): ("on", trigger)})
-    for s in symbols:
-        if s.split("+")[0] in ("insult", "threat"):
-            t.arcs["on", s] = ("on", f"{s}+{mark}")
+    for s in phrases:
+        t.arcs["on", s] = ("on", f"{s}+{mark}")
     return t
 
 
 def grammar() -> Transducer:
-    plain = set(SYMBOLS)
-    core = ("insult", "threat")
-    denied = plain | {f"{s}+denied" for s in core}
-    quoted = denied | {f"{s}+quoted" for s in denied if s.split("+")[0] in core}
-    machine = compose(marker("negation", "denied", plain), marker("report", "quoted", denied), plain)
-    aimed = marker("target", "aimed", quoted)
-    for s in quoted:  # a target right after it aims an insult too
-        if s.split("+")[0] in core:
-            aimed.arcs["off", s] = ("open", s)
+    inputs = set(SYMBOLS)
+    denied = [*PHRASES, *(f"{s}+denied" for s in PHRASES)]
+    quoted = [*denied, *(f"{s}+quoted" for s in denied)]
+    machine = compose(compose(insults(), threats(), inputs), marker("negation", "denied", list(PHRASES)), inputs)
+    machine = compose(machine, marker("report", "quoted", denied), inputs)
+    insult = [s for s in quoted if s.startswith("insult")]
+    aimed = marker("target", "aimed", insult)
     for s in quoted:
-        if s.split("+")[0] in core:
-            aimed.arcs["open", s] = ("open", s)
+        if "&target" in s:  # a threat's own target aims later insults too
+            aimed.arcs["off", s] = aimed.arcs["open", s] = ("on", s)
+    for s in insult:  # a target right after it aims an insult too
+        aimed.arcs["off", s] = aimed.arcs["open", s] = ("open", s)
     aimed.arcs["open", "target"] = ("on", "aimed-late")
-    return compose(machine, aimed, plain)
+    return compose(machine, aimed, inputs)
 
 
 def outputs() -> list[str]:
-    core = [f"{k}{d}{q}{a}" for k in ("insult", "threat") for d in ("", "+denied") for q in ("", "+quoted") for a in ("", "+aimed")]
-    return [*core, "aimed-late"]
+    marked = [f"{k}{d}{q}" for k in PHRASES for d in ("", "+denied") for q in ("", "+quoted")]
+    return [*marked, *(f"{s}+aimed" for s in marked if s.startswith("insult")), "aimed-late"]
 
 
 def prior(tag: str) -> float:
-    w = 2.0 if tag.startswith("insult") else 1.5 if tag.startswith("threat") else 0.5
-    for mark, times in (("denied", 0.15), ("quoted", 0.4), ("aimed", 1.5)):
+    w = {"insult": 2.0, "threat": 3.5, "menace": 1.2, "harm": 0.05}.get(tag.replace("&", "+").split("+")[0], 0.5)
+    for mark, times in (("strong", 1.25), ("denied", 0.15), ("quoted", 0.4), ("aimed", 1.5)):
         w *= times if f"+{mark}" in tag else 1
     return w
 
@@ -135,15 +187,15 @@ def _hash_of(words: list[str]) -> np.ndarray:
 class Lexicon:
     """Symbols and weights of words and stems, looked up by hash."""
 
-    def __init__(self, entries: dict[tuple[str, int], float]):
-        """``entries``: (word or stem, 0 or stem length in bytes) -> weight of the insult."""
+    def __init__(self, entries: dict[tuple[str, int], tuple[str, float]]):
+        """``entries``: (word or stem, 0 or stem length in bytes) -> symbol and weight."""
         self.tables = {}
-        exact = {w: (SYMBOLS.index(s), 1.0) for s in SYMBOLS for w in WORDS[s]}
-        exact |= {w: (0, x) for (w, n), x in entries.items() if n == 0 and exact.get(w, (0,))[0] == 0}
+        exact = {w: (SYMBOLS.index(s), 1.0) for s in WORDS for w in WORDS[s]}
+        exact |= {w: (SYMBOLS.index(s), x) for (w, n), (s, x) in entries.items() if n == 0 and exact.get(w, (0,))[0] == 0}
         stems: dict[int, dict] = defaultdict(dict)
-        for (w, n), x in entries.items():
+        for (w, n), (s, x) in entries.items():
             if n:
-                stems[n][w] = (0, x)
+                stems[n][w] = (SYMBOLS.index(s), x)
         for n, table in {0: exact, **stems}.items():
             h = _hash_of(list(table))
             order = np.argsort(h)
@@ -191,17 +243,19 @@ class Scorer:
     def features(self, c: Chunk) -> np.ndarray:
         """Per document and output tag, the summed lexeme weights of the clauses, at most 12."""
         out = np.zeros((c.hi - c.lo, len(self.tags)))
-        _, doc, clause, symbol, weight = self.lexicon.find(c)
-        core = np.unique(clause[symbol <= 1])
-        keep = np.isin(clause, core)
-        state, last = self.machine.start, None
-        for d, k, s, w in zip(doc[keep].tolist(), clause[keep].tolist(), symbol[keep].tolist(), weight[keep].tolist()):
+        word, doc, clause, symbol, weight = self.lexicon.find(c)
+        keep = np.isin(clause, distinct(clause[symbol < CORES]))
+        state, last, end = self.machine.start, None, 0
+        for i, d, k, s, w in zip(*(x[keep].tolist() for x in (word, doc, clause, symbol, weight))):
             if k != last:
                 state, last = self.machine.start, k
+            elif i - end > REACH + 1:
+                state, _ = self.machine.step(state, "far")
+            end = i
             state, tag = self.machine.step(state, SYMBOLS[s])
             j = self.at.get(tag)
             if j is not None:
-                out[d, j] += w if s <= 1 else 1.0
+                out[d, j] += w if s < CORES else 1.0
         return np.minimum(out, 12.0)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -232,31 +286,37 @@ def _variants(word: str) -> list[tuple[str, int]]:
     return [(word, 0), *((s, n) for n in STEMS if len(raw) > n and len((s := raw[:n].decode("utf-8", "ignore")).encode()) == n)]
 
 
-def learn_lexicon(sample: DataFrame) -> dict[tuple[str, int], float]:
+def learn_lexicon(sample: DataFrame) -> dict[tuple[str, int], tuple[str, float]]:
     """Words and stems that toxic rows hold in many contexts and others hardly ever.
 
     ``sample``: text, toxic; bounded by the caller.  Contexts (the words
-    around) count rather than rows, so copies of one text prove nothing.
+    around) count rather than rows, so copies of one text prove nothing.  An
+    entry that mostly follows a word of intent within reach is a verb of harm.
     """
+    intent = set(WORDS["intent"])
 
     def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: set[tuple[str, int, int]] = set()
+            rows: set[tuple[str, int, int, bool]] = set()
             for c in chunks(b.column(0)):
                 for _, w in _terms(c):
                     for i, x in enumerate(w):
-                        key = hash((w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else "")) & 0xFFFFFFF
+                        key = zlib.crc32(f"{w[i - 1] if i else ''} {w[i + 1] if i + 1 < len(w) else ''}".encode())
                         if len(x) > 2:
-                            rows.update((t, n, key) for t, n in _variants(x))
-            cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["term", "stem", "ctx"])
+                            meant = not intent.isdisjoint(w[max(0, i - REACH) : i])
+                            rows.update((t, n, key, meant) for t, n in _variants(x))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())],
+                names=["term", "stem", "ctx", "meant"])
 
     toxic = sample.where("toxic = 1").select("text")
     seen = (
-        toxic.mapInArrow(positive, "term string, stem int, ctx bigint").groupBy("term", "stem").agg(F.approx_count_distinct("ctx", 0.02).alias("n"))
-        .where(F.col("n") >= CONTEXTS).orderBy(F.desc("n"), "term", "stem").limit(50 * LEXICON).collect()
+        toxic.mapInArrow(positive, "term string, stem int, ctx bigint, meant boolean").groupBy("term", "stem", "ctx").agg(F.max("meant").alias("meant"))
+        .groupBy("term", "stem").agg(F.count("*").alias("n"), F.count_if("meant").alias("meant")).where(F.col("n") >= CONTEXTS).orderBy(F.desc("n"), "term", "stem").limit(50 * LEXICON).collect()
     )
     support = {(r.term, r.stem): r.n for r in seen}
+    harmful = {(r.term, r.stem) for r in seen if 2 * r.meant > r.n}
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of either label that hold a term, summed up for the partition."""
@@ -285,7 +345,7 @@ def learn_lexicon(sample: DataFrame) -> dict[tuple[str, int], float]:
         if contexts >= PER_ROW * n_toxic and least >= ODDS:
             found[k] = (float(least), float(odds))
     top = sorted(found, key=lambda k: (-found[k][0], k))[:LEXICON]
-    return {k: float(np.clip(found[k][1] / 2, 0.3, 3.0)) for k in top}
+    return {k: ("harm" if k in harmful else "slur", float(np.clip(found[k][1] / 2, 0.3, 3.0))) for k in top}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
@@ -295,7 +355,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFr
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
     )
     # at most fit_rows pairs of numbers
-    return materialise(docs.join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
+    return materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:

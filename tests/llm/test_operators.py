@@ -68,6 +68,34 @@ def test_grammar_marks_clauses():
 
     assert score("you are an idiot") > score("what an idiot") > score("he said an idiot") > score("not an idiot") > score("a fine day")
     assert score("the critic is not here. what an idiot") == score("what an idiot")
+    assert score("such a total idiot") > score("an idiot")
+
+
+def test_threats_take_intent_harm_and_a_target():
+    s = toxicity.Scorer(toxicity.Lexicon({}))
+
+    def score(t):
+        return float(s.scores(next(iter([s.features(c) for c in chunks(pa.array([t], pa.string()))])))[0])
+
+    none = score("a fine day")
+    for t in ("you will die tonight", "I hope they burn your house down", "I will kill you", "ich werde dich töten", "we're going to hurt him", "you deserve to suffer"):
+        assert score(t) >= 0.5, t
+    for t in ("kill the process", "you will see", "the movers hurt the piano", "er will die Frage", "ihr werdet die Antwort kennen", "burn the image to a disk", "I will run the whole test suite today and kill stale workers"):
+        assert score(t) < 0.1, t
+    assert none < score("they hurt him") < 0.3
+    assert score("he said I will kill you") < score("I will kill you") and score("I will not hurt you") < 0.1
+    # phrases end with the clause, and beyond REACH other words
+    assert score("I will wait. kill the process. you too") < 0.1
+    assert score("you will surely one fine and distant day die") < 0.1
+
+
+def test_learned_words_are_insults_or_verbs_of_harm(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioustr") for _ in range(5))
+    rows = [(" ".join(word() for _ in range(12)) + f" i will {word()} grommel {word()} {word()} {word()} {word()} blarg {word()}", 1) for _ in range(60)]
+    rows += [(" ".join(word() for _ in range(20)) + " i will visit you", 0) for _ in range(200)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert found["grommel", 0][0] == "harm" and found["blarg", 0][0] == "slur"
 
 
 def test_jaccard_against_brute_force(spark, docs, texts):
