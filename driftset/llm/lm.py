@@ -17,7 +17,8 @@ event against them:
 Order 3 with exact backoff, smoothed by pseudo-counts of the lower order:
 p(w | h) = (c(h, w) + MASS * lower(w)) / (c(h) + MASS), from the trigram over
 the bigram to p0, which mixes the exact unigrams of all training words with
-a byte-trigram model of words and a uniform share for the V word types.  All
+a uniform share for the V word types and, for words seen fewer than RARE
+times, a byte-trigram model of words.  All
 counts are over all training documents, and sums are whole numbers of small
 units, so the score of a text follows from the data alone, whatever the
 number of shards, chunks or partitions.
@@ -63,7 +64,9 @@ MASS1, MASS2 = 100.0, 3.0
 #: them) is a context only together with the word before it.
 HOT_SHARE = 0.002
 #: Words whose counts each task has at hand; those of the others reach the shards by a join.
-TOP_WORDS = 65_536
+TOP_WORDS = 65_535
+#: Words seen fewer times get a share from the byte model.
+RARE = 8
 #: Distinct words a map task holds before it passes their counts on.
 HELD_WORDS = 1 << 21
 #: Frequent pairs a map task names; they affect balance alone.
@@ -376,7 +379,7 @@ def _frequent(key: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """What every task knows: p0 of words, the hot words, and the pairs that are spread.
 
-    p0 mixes the unigrams, the byte model and one of V types.  As in the base score, a word without a training count
+    p0 mixes the unigrams, one of V types and, for words seen fewer than RARE times, the byte model.  As in the base score, a word without a training count
     is one of V types, so the probabilities are those of a vocabulary with an unknown-word class.
     """
 
@@ -389,7 +392,8 @@ class Model:
         self.hot, self.hot_counts = hot
         self.spread, self.spread_pairs = spread, spread_pairs
         self.alpha = 0.95 if ends else 0.0
-        #: Unigram share of one training occurrence.
+        #: Share of the word types, and unigram share of one training occurrence.
+        self.floor = 0.5 / max(1, types) * (1 - self.alpha) * (1 - self.p_end)
         self.each = (1 - self.p_end) * self.alpha / max(1, ends)
 
     def held(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -555,50 +559,55 @@ def _hashes_of(r: _Reader, n: int) -> np.ndarray:
 _OTHER = U64(1 << 48)
 
 
-def _pack(train: np.ndarray, number: np.ndarray, words: np.ndarray, place: np.ndarray, cost: np.ndarray, context: np.ndarray, before: np.ndarray, token: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
-    """Events sorted by context, and the counts kept elsewhere.
+#: Place of words that the model's table lacks.
+_NOWHERE = 0xFFFF
 
-    Words are numbered within the row; frequent ones are named by their ``place`` in the model's table (else -1).
-    ``number`` is room for the numbers of the chunk's words.
+
+def _pack(train: np.ndarray, words: np.ndarray, place: np.ndarray, asks: np.ndarray, cost: np.ndarray, context: np.ndarray, before: np.ndarray, token: np.ndarray, doc: np.ndarray, rest: tuple[np.ndarray, ...]) -> bytes:
+    """Events sorted by context, each context once, and the counts kept elsewhere.
+
+    Frequent words are named by their ``place`` in the model's table, others by their hash; ``cost`` goes with the tokens that ask for it.
     """
     first = np.flatnonzero(np.diff(context, prepend=-1))
     every = np.concatenate((context[first], before, token))
-    used = distinct(every)
-    number[used] = np.arange(len(used))
-    ids = number[every].astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-    held = place[used] >= 0
-    flags, which = np.packbits(train), np.packbits(held)
+    at, q = place[every], cost[token[asks[token]]]
+    rare = words[every[at == _NOWHERE]]
     n = np.diff(np.concatenate((first, [len(context)]))).astype(np.uint32)
-    head = np.array([len(train), len(used), held.sum(), len(first), len(token), len(rest[0])], np.uint32)
-    tight = b"".join((_planes(n), _planes(cost[used]), _planes(doc.astype(np.uint16)), _planes(ids)))
-    return b"".join((head.tobytes(), flags.tobytes(), which.tobytes(), place[used[held]].astype(np.uint16).tobytes(), _hashes(words[used[~held]]), *(x.tobytes() for x in rest), _squeezed(tight)))
+    head = np.array([len(train), len(first), len(token), len(rare), len(q), len(rest[0])], np.uint32)
+    tight = b"".join((_planes(n), _planes(at), _planes(doc.astype(np.uint16)), _planes(q)))
+    return b"".join((head.tobytes(), np.packbits(train).tobytes(), _hashes(rare), *(x.tobytes() for x in rest), _squeezed(tight)))
 
 
 def _unpack(blob: bytes, model: Model, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Train flags, context, hot place, word before, token, cost, document and unigram count of each event; contexts, tokens and counts kept elsewhere.
+    """Train flags, context, hot place, word before, token, p0 and document of each event; contexts, tokens and counts kept elsewhere.
 
     ``more`` are words that the model's table lacks, with their ``counts``.
     """
     r = _Reader(blob)
-    n_docs, n_words, n_held, n_ctx, n, n_rest = r.take(np.uint32, 6).tolist()
+    n_docs, n_ctx, n, n_rare, n_q, n_rest = r.take(np.uint32, 6).tolist()
     train = np.unpackbits(r.take(np.uint8, -(-n_docs // 8)), count=n_docs).astype(bool)
-    held = np.unpackbits(r.take(np.uint8, -(-n_words // 8)), count=n_words).astype(bool)
-    words, known = np.empty(n_words, U64), np.zeros(n_words, np.int64)
-    place = r.take(np.uint16, n_held)
-    words[held], known[held] = model.keys[place], model.counts[place]
-    words[~held] = rare = _hashes_of(r, n_words - n_held)
-    if len(more):
-        at = np.minimum(np.searchsorted(more, rare), len(more) - 1)
-        known[~held] = np.where(more[at] == rare, counts[at], 0)
+    rare = _hashes_of(r, n_rare)
     rest = [r.take(t, n_rest) for t in (np.uint64, np.uint64, np.int64)]
     t = r.unsqueezed()
-    many, q, doc = t.planes(np.uint32, n_ctx), t.planes(np.uint16, n_words), t.planes(np.uint16, n)
-    ids = t.planes(np.uint16 if n_words <= 1 << 16 else np.uint32, n_ctx + 2 * n)
-    before, token = words[ids[n_ctx : n_ctx + n]], ids[n_ctx + n :]
-    context = words[ids[:n_ctx]]
+    many, place, doc, q = t.planes(np.uint32, n_ctx), t.planes(np.uint16, n_ctx + 2 * n), t.planes(np.uint16, n), t.planes(np.uint16, n_q)
+    far = place == _NOWHERE
+    words = np.empty(len(place), U64)
+    words[~far], words[far] = model.keys[place[~far]], rare
+    context, before, token = words[:n_ctx], words[n_ctx : n_ctx + n], words[n_ctx + n :]
+    far, place = far[n_ctx + n :], place[n_ctx + n :]
+    seen = np.zeros(n, np.int64)
+    seen[~far] = model.counts[place[~far]]
+    p0 = np.full(n, model.floor)
+    p0[far | (seen < RARE)] = 10.0 ** (-q.astype(float) / PER_UNIT)
+    if len(more) and far.any():
+        w = token[far]
+        at = np.minimum(np.searchsorted(more, w), len(more) - 1)
+        k = np.where(more[at] == w, counts[at], 0)
+        seen[far] = k
+        p0[np.flatnonzero(far)[k >= RARE]] = model.floor
     hot = np.repeat(model.hot_place(context), many)
     key = model.contexts(before, np.repeat(context, many), hot)
-    return train, key, hot, before, words[token], q[token], doc, known[token], *rest
+    return train, key, hot, before, token, p0 + model.each * seen, doc, *rest
 
 
 def _elsewhere(key: np.ndarray, w: np.ndarray, dest: np.ndarray, chosen: np.ndarray, model: Model, shards: int) -> tuple[np.ndarray, ...]:
@@ -705,7 +714,8 @@ def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                 # costs of the chunk's words, the start mark (never a token) and the end
                 cost = quantise(np.concatenate((model.costs(x.data, *x.spans), [0.0, -np.log10(model.p_end)])))
                 held, place = model.held(x.words)
-                place, number = np.where(held, place, -1), np.empty(len(x.words), np.int32)
+                asks = _counts_at(model.counts, np.where(held, place, -1)) < RARE
+                place = np.where(held, place, _NOWHERE).astype(np.uint16)
                 key = model.contexts(x.words[x.before], x.words[x.context], model.hot_place(x.words)[x.context])
                 dest, wide, _ = model.route(key, w, shards, chunk)
                 rs, *rest = _elsewhere(key, w, dest, wide & mine[x.doc], model, shards)
@@ -717,7 +727,7 @@ def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                     e = order[cuts[s] : cuts[s + 1]]
                     r = slice(rcut[s], rcut[s + 1])
                     if len(e) or rcut[s + 1] > rcut[s]:
-                        rows.append((s, chunk, None, None, None, _pack(mine, number, x.words, place, cost, x.context[e], x.before[e], x.token[e], x.doc[e], tuple(y[r] for y in rest))))
+                        rows.append((s, chunk, None, None, None, _pack(mine, x.words, place, asks, cost, x.context[e], x.before[e], x.token[e], x.doc[e], tuple(y[r] for y in rest))))
                 yield _batch(rows)
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, MAP_SCHEMA)
@@ -794,13 +804,13 @@ def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) ->
     """Partial sums of one shard by chunk."""
     names = [k for k, _ in rows]
     words, counted = _known_words(counts)
-    cols: list[list[np.ndarray]] = [[] for _ in range(11)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(10)]
     for k in range(len(rows)):
-        train, key, hot, before, w, q, doc, seen, *others = _unpack(rows[k][1], model, words, counted)
+        train, key, hot, before, w, p0, doc, *others = _unpack(rows[k][1], model, words, counted)
         rows[k] = (names[k], b"")  # free as we go
-        for c, x in zip(cols, (key, hot, before, w, q, seen, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int32) + doc, *others)):
+        for c, x in zip(cols, (key, hot, before, w, p0, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int32) + doc, *others)):
             c.append(x)
-    key, hot, before, w, q, seen, train, owner, rest_k, rest_w, rest = (np.concatenate(c) for c in cols)
+    key, hot, before, w, p0, train, owner, rest_k, rest_w, rest = (np.concatenate(c) for c in cols)
     del cols, words, counted
     parts = max(1, -(-len(key) // PART_EVENTS))
     part = (mix(key ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
@@ -809,8 +819,7 @@ def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) ->
     hot_counts = np.concatenate(([0], model.hot_counts))
     for p in range(parts):
         e, r = np.flatnonzero(part == p), rest_part == p
-        p0 = 10.0 ** (-q[e].astype(float) / PER_UNIT) + model.each * seen[e]
-        total, logp = _part(key[e], before[e], w[e], p0, train[e], rest_k[r], rest_w[r], rest[r])
+        total, logp = _part(key[e], before[e], w[e], p0[e], train[e], rest_k[r], rest_w[r], rest[r])
         total = np.where(hot[e] > 0, hot_counts[hot[e]], total)
         for i, x in enumerate((np.rint(np.log10(total + 1) * BASE_UNIT), np.rint(logp * SCORE_UNIT), total > 0)):
             sums[i] += np.bincount(owner[e], weights=x, minlength=sums.shape[1])
