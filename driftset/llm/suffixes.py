@@ -18,13 +18,19 @@ A distributed, common-prefix-aware merge sort of sampled suffixes decides:
    a fingerprint per window, keyed by gram and offset, and equal ones are found.
 4. Removal.  The union of the recurring windows of each document is cut out.
 
+Passages of over 50 words need not have 400 bytes, so besides (and without any
+effect on what is removed) the words of each document that lie in a passage of
+``WORDS`` or more words shared with another document are counted, by steps 1
+and 3 on words in place of bytes.
+
 No document leaves its rows: texts are written once, and small tables sorted
 by row number are read back by range where the texts are.  Matches never
-cross documents; fingerprints have 48 bits within a 64-bit gram hash.
+cross documents; fingerprints have 64 bits besides a 64-bit gram hash.
 
 Defined cases: a null text is empty; shorter texts than ``LENGTH`` bytes lose
 nothing; a string that recurs within one document counts; repeated rows are
-documents of their own, so each is removed whole if long enough; an empty
+documents of their own, so each is removed whole if long enough; a text of
+fewer than ``WORDS`` words shares no passage; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -41,9 +47,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import fresh_path, materialise
-from driftset.llm.textblocks import U64, Chunk, chunks, mix, span_hash
+from driftset.llm.textblocks import U64, Chunk, _Powers, chunks, mix, span_hash
 
 LENGTH, GRAM = 400, 100
+#: The same for passages, in words.
+WORDS, WORD_GRAM = 51, 12
 RUN_BYTES = 48 << 20
 #: Documents whose samples place the range splitters; they affect balance alone.
 SPLIT_DOCS = 400
@@ -60,21 +68,38 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def samples(c: Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+class Units:
+    """The bytes or the words of a chunk: where documents begin, and hashes of ranges."""
+
+    def __init__(self, c: Chunk, words: bool = False):
+        if not words:
+            self.n, self.offs, self.pre = len(c.data), c.offs, c.prefix()
+            return
+        starts, ends, doc = c.words()
+        self.n = len(starts)
+        self.offs = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=c.hi - c.lo))))
+        up, _ = _Powers.upto(self.n)
+        self.pre = np.zeros(self.n + 1, U64)
+        np.cumsum(span_hash(c.prefix(), starts, ends) * up[: self.n], out=self.pre[1:])
+
+    def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return span_hash(self.pre, starts, starts + length)
+
+
+def samples(u: Units, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Document, anchor, first and last window, and gram hash of each sample (positions in the chunk)."""
-    n = len(c.data)
+    n = u.n
     if n < length:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(U64)
-    pre = c.prefix()
     at = np.arange(n - gram + 1)
-    g = span_hash(pre, at, at + gram)
+    g = u.hashes(at, gram)
     bits = U64(max(24, int(n).bit_length()))
     low = sliding_min(((g >> bits) << bits) | at.astype(U64), length - gram + 1)
     anchor = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
     i = np.arange(n - length + 1)
-    doc = np.searchsorted(c.offs, i, side="right") - 1
-    ok = i + length <= c.offs[doc + 1]
+    doc = np.repeat(np.arange(len(u.offs) - 1), np.diff(u.offs))[: len(i)]
+    ok = i + length <= u.offs[doc + 1]
     i, doc, anchor = i[ok], doc[ok], anchor[ok]
     if not len(i):
         return i, i, i, i, i.astype(U64)
@@ -210,15 +235,16 @@ def _with_side(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[n
             yield mine, c, rows
 
 
-def _recurring_grams(docs: DataFrame, length: int, gram: int, blocks: int) -> DataFrame:
+def _recurring_grams(docs: DataFrame, length: int, gram: int, blocks: int, words: bool = False) -> DataFrame:
     """rid, pos, lo, hi, g of the samples whose gram occurs at least twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid = b.column(0).to_numpy()
             for c in chunks(b.column(1)):
-                doc, pos, lo, hi, g = samples(c, length, gram)
-                base = c.offs[doc]
+                u = Units(c, words)
+                doc, pos, lo, hi, g = samples(u, length, gram)
+                base = u.offs[doc]
                 dest = (g % U64(blocks)).astype(np.int64)
                 order = np.argsort(dest, kind="stable")
                 cuts = np.searchsorted(dest[order], np.arange(blocks + 1))
@@ -336,18 +362,19 @@ def _merged(docs: DataFrame, side: str, splitters: list[bytes], blocks: int) ->
     return dealt.mapInArrow(merge, "rid bigint, pos bigint, lo bigint, hi bigint, g bigint, whole boolean, probe boolean")
 
 
-def _margins(docs: DataFrame, side: str, length: int, blocks: int) -> DataFrame:
-    """rid, lo, hi: runs of windows that recur, among the samples to be compared."""
+def _margins(docs: DataFrame, side: str, length: int, blocks: int, words: bool = False) -> DataFrame:
+    """rid, lo, hi: runs of windows that recur, among the samples to be compared; of words, in another document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mine, c, rows in _with_side(batches, side):
             if not len(rows["rid"]):
                 continue
-            pre, base = c.prefix(), c.offs[rows["doc"]]
+            u = Units(c, words)
+            base = u.offs[rows["doc"]]
             n = (rows["hi"] - rows["lo"] + 1).astype(np.int64)
             who = np.repeat(np.arange(len(n)), n)
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + rows["lo"][who]
-            print48 = span_hash(pre, base[who] + start, base[who] + start + length) >> U64(16)
+            prints = u.hashes(base[who] + start, length)
             back = (rows["pos"][who] - start).astype(np.int64)
             # equal windows lie at one offset from their gram, so gram and offset deal them out
             dest = (mix(rows["g"].view(U64)[who] + (back >> 4).astype(U64)) % U64(blocks)).astype(np.int64)
@@ -364,7 +391,7 @@ def _margins(docs: DataFrame, side: str, length: int, blocks: int) -> DataFrame:
                 first = e[f]
                 out.append((int(s), b"".join(x.tobytes() for x in (
                     np.array([len(f)], np.uint32), rows["rid"][who[first]].astype(np.int64), rows["g"][who[first]].astype(np.int64), start[first].astype(np.uint32),
-                    back[first].astype(np.uint32), k.astype(np.uint32), (print48[e] & U64(0xFFFFFFFF)).astype(np.uint32), (print48[e] >> U64(32)).astype(np.uint16)))))
+                    back[first].astype(np.uint32), k.astype(np.uint32), prints[e]))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["dest", "blob"])
 
@@ -376,20 +403,23 @@ def _margins(docs: DataFrame, side: str, length: int, blocks: int) -> DataFrame:
                 rid, g = np.frombuffer(x, np.int64, m, 4), np.frombuffer(x, np.int64, m, 4 + 8 * m)
                 start, back, k = (np.frombuffer(x, np.uint32, m, 4 + (16 + 4 * i) * m) for i in range(3))
                 n = int(k.sum())
-                at = 4 + 28 * m
-                by.setdefault(s, []).append((rid, g, start, back, k, np.frombuffer(x, np.uint32, n, at), np.frombuffer(x, np.uint16, n, at + 4 * n)))
+                by.setdefault(s, []).append((rid, g, start, back, k, np.frombuffer(x, np.uint64, n, 4 + 28 * m)))
         for s in list(by):
-            rid, g, start, back, k, low, high = (np.concatenate(v) for v in zip(*by.pop(s)))
+            rid, g, start, back, k, prints = (np.concatenate(v) for v in zip(*by.pop(s)))
             k = k.astype(np.int64)
             who = np.repeat(np.arange(len(k)), k)
             off = np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k)
-            value = low.astype(U64) | (high.astype(U64) << U64(32))
-            key = mix(mix(g.view(U64)[who]) + (back[who].astype(np.int64) - off).astype(U64)) ^ value
+            key = mix(mix(g.view(U64)[who]) + (back[who].astype(np.int64) - off).astype(U64)) ^ prints
             order = np.argsort(key, kind="stable")
             t = key[order]
             twin = np.zeros(len(t), bool)
             twin[1:] |= t[1:] == t[:-1]
             twin[:-1] |= t[1:] == t[:-1]
+            if words and len(t):
+                owner = rid[who[order]]
+                begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+                several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+                twin = np.repeat(several, np.diff(np.concatenate((begin, [len(t)]))))
             e = np.sort(order[twin])
             if len(e):
                 at = start[who[e]].astype(np.int64) + off[e]
@@ -409,11 +439,18 @@ def _splitters(docs: DataFrame, blocks: int, length: int, gram: int) -> list[byt
     found = []
     for c in chunks(pa.array(texts, pa.large_string())):
         data = c.data.tobytes()
-        found += [data[a : a + 16] for a in samples(c, length, gram)[2].tolist()]
+        found += [data[a : a + 16] for a in samples(Units(c), length, gram)[2].tolist()]
     found = sorted(set(found))
     return [found[i * len(found) // blocks] for i in range(1, blocks)] if len(found) >= blocks else found
 
 
+def shared_passages(rows: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> str:
+    """The path of a table rid, lo, hi of windows of ``words`` words that another row has too."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = _side(_recurring_grams(rows, words, gram, blocks, words=True), "passage-grams")
+    return _side(_margins(rows, grams, words, blocks, words=True), "passages")
+
+
 def recurring_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, str]:
     """The written rows (rid, doc_id, text), and the path of a table rid, lo, hi of recurring windows."""
     if length != LENGTH:
@@ -428,18 +465,39 @@ def recurring_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return rows, _side(spans, "suffix-spans")
 
 
+def _covered(found: dict[str, np.ndarray], rid: np.ndarray, length: int) -> np.ndarray:
+    """Units of each row that its windows ``lo..hi`` cover."""
+    order = np.lexsort((found["lo"], found["rid"]))
+    row, lo, end = (x[order] for x in (found["rid"], found["lo"], found["hi"] + length))
+    out = np.zeros(len(rid), np.int64)
+    if len(row):
+        # the furthest end before each run, within its row
+        head = np.concatenate(([True], row[1:] != row[:-1]))
+        rank = np.cumsum(head)
+        span = int(end.max()) + 1
+        before = np.concatenate(([0], np.maximum.accumulate(end + rank * span)[:-1])) - rank * span
+        fresh = np.maximum(0, end - np.maximum(lo, np.maximum(before, 0)))
+        ids, at = np.unique(row, return_inverse=True)
+        total = np.bincount(at, weights=fresh).astype(np.int64)
+        k = np.minimum(np.searchsorted(ids, rid), len(ids) - 1)
+        out = np.where(ids[k] == rid, total[k], 0)
+    return out
+
+
 def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the spans and the kept bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words and, if asked, the spans and the kept bytes."""
     rows, spans = recurring_spans(docs)
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<start: bigint, end: bigint>>, kept binary" if with_text else "")
+    passages = shared_passages(rows)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint" + (", spans array<struct<start: bigint, end: bigint>>, kept binary" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = Side(spans)
+        side, others = Side(spans), Side(passages)
         pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for b in batches:
             rid = b.column(0).to_numpy()
             found = side.of(rid)
             a, z = np.searchsorted(found["rid"], rid), np.searchsorted(found["rid"], rid, side="right")
+            shared = _covered(others.of(rid), rid, WORDS)
             out: dict[str, list] = {n: [] for n in ("n", "gone", "spans", "sha", "kept")}
             for text, i, j in zip(b.column(2).cast(pa.binary()).to_pylist(), a.tolist(), z.tolist()):
                 gone: list[list[int]] = []
@@ -456,8 +514,8 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 left = b"".join(kept)
                 out["n"].append(len(text)), out["gone"].append(len(text) - len(left)), out["spans"].append(gone)
                 out["sha"].append(hashlib.sha256(left).hexdigest()), out["kept"].append(left if with_text else None)
-            cols = [b.column(1), pa.array(out["n"], pa.int64()), pa.array(out["gone"], pa.int64()), pa.array([len(s) for s in out["spans"]], pa.int64()), pa.array(out["sha"], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = [b.column(1), pa.array(out["n"], pa.int64()), pa.array(out["gone"], pa.int64()), pa.array([len(s) for s in out["spans"]], pa.int64()), pa.array(out["sha"], pa.string()), pa.array(shared)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
             if with_text:
                 cols += [pa.array([[{"start": x, "end": y} for x, y in s] for s in out["spans"]], pa.list_(pair)), pa.array(out["kept"], pa.binary())]
                 names += ["spans", "kept"]
@@ -467,4 +525,5 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the words in passages of over 50 words that another document has too."""
     return cut(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)

@@ -281,6 +281,30 @@ def test_suffixes_against_brute_force(spark, texts):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(x), int(gone.sum()), spans, kept)
 
 
+def test_shared_passages_against_brute_force(spark, texts):
+    n, rng = suffixes.WORDS, random.Random(6)
+    rows = dict(list(texts.items())[:120])
+    short = " ".join(rng.choice("ab cd ef gh i".split()) + str(k) for k in range(n))  # 51 words of under 400 bytes
+    for i in range(6):
+        own = [f"own{i}x{k}" for k in range(150)]
+        rows[10**6 + i] = " ".join(own[: 20 * i]) + "\n " + short + " " + " ".join(own[20 * i :])
+    rows[10**6 + 7] = " ".join(short.split()[:-1])  # one word less
+    rows[10**6 + 8] = " ".join(["again"] * 300)  # within one document only
+    seen, words = {}, {i: t.encode().split() for i, t in rows.items()}
+    for i, w in words.items():
+        for j in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[j : j + n]), set()).add(i)
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.n_passage_words for r in suffixes.cut(df, with_text=False).collect()}
+    for i, w in words.items():
+        held = set()
+        for j in range(len(w) - n + 1):
+            if len(seen[tuple(w[j : j + n])]) > 1:
+                held.update(range(j, j + n))
+        assert got[i] == len(held), i
+    assert got[10**6] == n and got[10**6 + 7] == got[10**6 + 8] == 0
+
+
 def test_mix_meets_targets(spark):
     out = mixing.op6_source_mixing(spark, SF).collect()
     again = mixing.op6_source_mixing(spark, SF).collect()
