@@ -52,7 +52,9 @@ from driftset.llm.textblocks import U64, Chunk, _Powers, chunks, mix, span_hash
 LENGTH, GRAM = 400, 100
 #: The same for passages, in words.
 WORDS, WORD_GRAM = 51, 12
-RUN_BYTES = 48 << 20
+RUN_BYTES = 32 << 20
+#: Text that is hashed at a time, and samples a map task holds before it passes them on.
+CHUNK, HELD = 1 << 20, 1 << 18
 #: Documents whose samples place the range splitters; they affect balance alone.
 SPLIT_DOCS = 400
 
@@ -225,7 +227,7 @@ def _with_side(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[n
     for b in batches:
         rid = b.column(0).to_numpy()
         found = side.of(rid)
-        for c in chunks(b.column(1)):
+        for c in chunks(b.column(1), CHUNK):
             mine = rid[c.lo : c.hi]
             order = np.argsort(mine)
             at = np.searchsorted(mine[order], found["rid"])
@@ -239,21 +241,33 @@ def _recurring_grams(docs: DataFrame, length: int, gram: int, blocks: int, words
     """rid, pos, lo, hi, g of the samples whose gram occurs at least twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            g, *cols = (np.concatenate(x) for x in zip(*held))
+            dest = (g % U64(blocks)).astype(np.int64)
+            order = np.argsort(dest, kind="stable")
+            cuts = np.searchsorted(dest[order], np.arange(blocks + 1))
+            out = []
+            for s in np.flatnonzero(np.diff(cuts)):
+                e = order[cuts[s] : cuts[s + 1]]
+                out.append((int(s), b"".join(x[e].tobytes() for x in (g, *cols))))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["dest", "blob"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for b in batches:
             rid = b.column(0).to_numpy()
-            for c in chunks(b.column(1)):
+            for c in chunks(b.column(1), CHUNK):
                 u = Units(c, words)
                 doc, pos, lo, hi, g = samples(u, length, gram)
-                base = u.offs[doc]
-                dest = (g % U64(blocks)).astype(np.int64)
-                order = np.argsort(dest, kind="stable")
-                cuts = np.searchsorted(dest[order], np.arange(blocks + 1))
-                out = []
-                for s in np.flatnonzero(np.diff(cuts)):
-                    e = order[cuts[s] : cuts[s + 1]]
-                    out.append((int(s), b"".join(x.tobytes() for x in (g[e], rid[c.lo + doc[e]].astype(np.int64), *((v[e] - base[e]).astype(np.uint32) for v in (pos, lo, hi))))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["dest", "blob"])
+                if len(g):
+                    base = u.offs[doc]
+                    held.append((g, rid[c.lo + doc].astype(np.int64), *((v - base).astype(np.uint32) for v in (pos, lo, hi))))
+                    n += len(g)
+                if n > HELD:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple[np.ndarray, ...]]] = {}
