@@ -8,6 +8,9 @@ hot host spreads over all tasks; the lines that go are at most
 as one array per host.  The planner broadcasts those arrays if their written
 size allows it, and otherwise joins by host, where AQE splits a hot host.
 
+A line on a single page is no repetition and stays, whatever its share; for
+hosts of 20 pages or more the ratio alone says so.
+
 Defined cases: a null text has no lines and stays null; a null host is a host
 of its own; blank lines are never counted nor dropped; a line counts once per
 row, so repeated rows count each; a page that loses all its lines stays with
@@ -26,8 +29,8 @@ from driftset.functions.shared import materialise
 
 #: A line goes if it is on more than this share of its host's pages ...
 RATIO = 0.05
-#: ... and on at least so many of them: small sites prove nothing.
-LEAST = 4
+#: ... unless it is on one page alone, where it repeats nothing (and a site of one page would lose all).
+LEAST = 2
 _BLANK = " \t\r\x0b\f"
 # Tags that end a line of visible text.
 BREAKS = "p|div|li|ul|ol|br|h1|h2|h3|h4|h5|h6|nav|article|title|tr|td|table|section|header|footer|head|body|html|blockquote|pre|dt|dd"

@@ -13,28 +13,34 @@ A window without any shingle of an item of its length has similarity 0 to
 all of them, so fingerprints are made only for the windows that hold one.
 This drops no match and is the same rule at every size.
 
-The items are needed by every task.  They are taken in blocks of at most
-``BLOCK_BYTES`` of text, one pass over the documents for each, so what a task
-holds is bounded whatever the size of the benchmark.
+Shingles, their document frequencies and their weights are tables over all
+items, made once.  Every task needs the items; it reads them from the shared
+folder in blocks of about ``BLOCK_BYTES`` of text, one pass over the documents
+for each, so what a task holds is bounded whatever the size of the benchmark,
+the driver holds none, and weights and verdicts are the same for any number
+of blocks.
 
 Defined cases: null or wordless texts and items match nothing; an item of
 fewer than five words is one shingle of its own width; a document shorter
-than an item is one window; repeated rows are judged each on its own; without
-items nothing matches; extra columns pass through :func:`drop_contaminated`.
+than an item is one window; repeated rows are judged each on its own; items with one id
+are items of their own; without items nothing matches; extra columns pass through :func:`drop_contaminated`.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftset.llm.textblocks import U64, Chunk, chunks, shingles, span_hash
+from driftset.functions.shared import fresh_path, materialise
+from driftset.llm.textblocks import U64, Chunk, chunks, distinct, shingles, span_hash
 
 WIDTH, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, FLIPS = 20, 8, 2
@@ -82,7 +88,7 @@ class HammingIndex:
         found = []
         for b in range(BLOCKS):
             key = ((prints >> U64(8 * b)) & U64(255)).astype(np.int64)
-            for k in np.unique(key):
+            for k in distinct(key):
                 items = self.lists[b][k]
                 if len(items):
                     q = np.flatnonzero(key == k)
@@ -90,7 +96,7 @@ class HammingIndex:
         if not found:
             z = np.zeros(0, np.int64)
             return z, z
-        pair = np.unique(np.concatenate(found))
+        pair = distinct(np.concatenate(found))
         q, i = np.divmod(pair, len(self.prints))
         near = np.bitwise_count(prints[q] ^ self.prints[i]) <= RADIUS
         return q[near], i[near]
@@ -99,37 +105,24 @@ class HammingIndex:
 class Matcher:
     """One block of items, ready to be matched against chunks of text."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, int, np.ndarray]], weights: tuple[np.ndarray, np.ndarray], other: float):
+        """``items``: id, words and shingles; ``weights``: sorted shingles of the block and their weights; ``other``: the weight of all others."""
+        self.ids = [i for i, _, _ in items]
         by_len: dict[int, list[int]] = {}
-        words, doc = _word_hashes([t for _, t in items])
-        count = np.bincount(doc, minlength=len(items)) if len(items) else np.zeros(0, int)
-        first = np.concatenate(([0], np.cumsum(count))).astype(np.int64)
-        self.sets: list[frozenset[int]] = []
-        per_item: list[np.ndarray] = []
-        for i in range(len(items)):
-            w = words[first[i] : first[i + 1]]
-            h, _ = shingles(w, np.zeros(len(w), np.int64), 1, min(WIDTH, len(w))) if len(w) else (w, None)
-            per_item.append(h)
-            self.sets.append(frozenset(h.tolist()))
-            if len(w):
-                by_len.setdefault(len(w), []).append(i)
-        df: dict[int, int] = {}
-        for s in self.sets:
-            for x in s:
-                df[x] = df.get(x, 0) + 1
-        self.other = math.log(1 + max(1, len(items)))
-        self.weight = {x: math.log(1 + len(items) / n) for x, n in df.items()}
+        per_item = [h for _, _, h in items]
+        self.sets = [frozenset(h.tolist()) for h in per_item]
+        for i, (_, n, _) in enumerate(items):
+            by_len.setdefault(n, []).append(i)
+        self.other, (self.keys, self.key_weight) = other, weights
+        self.weight = dict(zip(self.keys.tolist(), self.key_weight.tolist()))
         self.total = [sum(self.weight[x] for x in s) for s in self.sets]
-        self.keys = np.array(sorted(df), U64)
-        self.key_weight = np.array([self.weight[int(k)] for k in self.keys])
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> U64(44)).astype(np.int64)] = True
         #: word count -> items of that length, their index, and which keys they hold
         self.groups = {}
         for n, members in by_len.items():
             held = np.isin(self.keys, np.concatenate([per_item[i] for i in members]))
-            prints = fingerprints(np.array([(signed_bits(u) * self.weights_of(u)[:, None]).sum(0) for u in (np.unique(per_item[i]) for i in members)]))
+            prints = fingerprints(np.array([(signed_bits(u) * self.weights_of(u)[:, None]).sum(0) for u in (distinct(per_item[i]) for i in members)]))
             self.groups[n] = (members, HammingIndex(prints), held)
         self.widths = sorted({min(WIDTH, n) for n in by_len})
 
@@ -166,7 +159,7 @@ class Matcher:
             maybe = np.flatnonzero(self.seen[(h >> U64(44)).astype(np.int64)])
             at, hit = self.locate(h[maybe])
             where, key = maybe[hit], at[hit]
-            for k in np.unique(d[where]):
+            for k in distinct(d[where]):
                 mine = d[where] == k
                 self._document(int(k), h[per[k] : per[k + 1]], where[mine] - per[k], key[mine], int(count[k]), width, best)
         return [(k, self.ids[i], s, n, sim) for (k, i), (sim, s, n) in sorted(best.items())]
@@ -209,23 +202,63 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(words), np.concatenate(docs)) if words else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, each block fetched on its own."""
-    items = items.where(f"`{text}` is not null").select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    part = F.pmod(F.xxhash64("t"), F.lit(n))
-    return [[(r.i, r.t) for r in items.where(part == b).collect()] for b in range(n)]
-
-
-def find_matches(docs: DataFrame, blocks: list, keep: str = "doc_id", text: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Block:
+    """A block of items in the shared folder, and the weight of shingles that no item has."""
+
+    items: str
+    weights: str
+    number: int
+    other: float
+
+    def matcher(self) -> Matcher:
+        mine = pads.field("block") == self.number
+        items = pads.dataset(self.items, format="parquet").to_table(filter=mine).sort_by("item_id")
+        weights = pads.dataset(self.weights, format="parquet").to_table(filter=mine)
+        key, w = weights.column("shingle").to_numpy().view(U64), weights.column("weight").to_numpy()
+        order = np.argsort(key)
+        rows = zip(*(items.column(c).to_pylist() for c in ("item_id", "n_words", "shingles")))
+        return Matcher([(i, n, np.array(h, np.int64).view(U64)) for i, n, h in rows], (key[order], w[order]), self.other)
+
+
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> list[Block]:
+    """The items' shingles and weights, written in blocks of bounded size."""
+    spark = items.sparkSession
+    items = items.where(f"`{text}` is not null").select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{text}`").alias("t"))
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    blocks = max(1, -(-(size or 0) // block_bytes))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = b.column(0).to_pylist(), []
+            words, doc = _word_hashes(b.column(1).to_pylist())
+            first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ids)))))
+            for i, k in enumerate(ids):
+                w = words[first[i] : first[i + 1]]
+                if len(w):
+                    rows.append((k, len(w), shingles(w, np.zeros(len(w), np.int64), 1, min(WIDTH, len(w)))[0].view(np.int64)))
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], names=["item_id", "n_words", "shingles"])
+
+    told = items.mapInArrow(cut, "item_id bigint, n_words bigint, shingles array<bigint>")
+    told = materialise(told.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)).cast("int")), "items")
+    paths = fresh_path(spark, "item-blocks"), fresh_path(spark, "item-weights")
+    told.repartitionByRange(blocks, "block").write.parquet(paths[0])
+    held = told.select("block", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    frequency = held.groupBy("shingle").agg(F.count("*").alias("df"))
+    weights = held.distinct().join(frequency, "shingle").select("block", "shingle", F.log1p(F.lit(float(n)) / F.col("df")).alias("weight"))
+    weights.repartitionByRange(blocks, "block").write.parquet(paths[1])
+    return [Block(*paths, k, math.log(1 + max(1, n))) for k in range(blocks)]
+
+
+def find_matches(docs: DataFrame, blocks: list[Block], keep: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per (document, item) match: keep, item_id, first_word, n_words, similarity."""
     src = docs.select(F.col(f"`{keep}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind = src.schema["k"].dataType.simpleString()
 
-    def over(block: list) -> Callable:
+    def over(block: Block) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher(block)
+            m = block.matcher()
             for b in batches:
                 rows = [(c.lo + k, *x) for c in chunks(b.column(1)) for k, *x in m.match(c)]
                 cols = list(zip(*rows)) if rows else [()] * 5
@@ -244,13 +277,13 @@ def find_matches(docs: DataFrame, blocks: list, keep: str = "doc_id", text: str
     return out.withColumnRenamed("k", keep)
 
 
-def drop_contaminated(docs: DataFrame, blocks: list, text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, blocks: list[Block], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no item, as they came."""
     at = docs.columns.index(text)
 
-    def over(block: list) -> Callable:
+    def over(block: Block) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher(block)
+            m = block.matcher()
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
                 for c in chunks(b.column(at)):

@@ -11,8 +11,8 @@ the rows before the cut; the row across the cut gives the words still missing.
 Defined cases: a null text has size 0 and takes 0; a null source is a source
 of its own and sorts last; a source of size 0 has target 0; repeated rows
 share a key and count each on its own; an empty table gives no rows; extra
-columns pass through :func:`mix_documents` (one that clashes with a column
-that it adds raises ValueError).
+columns pass through :func:`mix_documents` whatever their names, as the row
+travels in one struct; one named like a column that it adds is replaced.
 """
 
 from __future__ import annotations
@@ -117,11 +117,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     A row is in the mix if it gives words; taken / size says how often.
     """
-    clash = {"size", "key", "rank", "source_size", "target", "taken"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with those that mixing adds")
+    added = ("size", "source_size", "target", "taken")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = docs.select(row, "source", words_in(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("source")).alias("key"))
     small = materialise(keyed(docs, ["source"]), "mixing")
-    return mix(keyed(docs, docs.columns), small).where("taken > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken")
+    return mix(whole, small).where("taken > 0").select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,11 +81,58 @@ def test_suffixes(docs, none):
 
 
 def test_mixing(docs, none):
-    out = mixing.mix_documents(docs.drop("size_x"))
+    out = mixing.mix_documents(docs)
     assert all(0 < r.taken <= 2 * r.size for r in out.collect())
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "taken"]
     assert mixing.mix_documents(none).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_documents(docs.withColumnRenamed("size_x", "size"))
+    odd = docs.withColumn("size", F.lit("old"))
+    for name in ("key", "rank", "row", "rows", "__n", "__range", "__of", "__inside", "__before", "weight"):
+        odd = odd.withColumn(name, F.lit(name))
+    got = mixing.mix_documents(odd)
+    assert got.columns == [*[c for c in odd.columns if c != "size"], "size", "source_size", "target", "taken"]
+    assert {r["__range"] for r in got.collect()} == {"__range"} and {r.taken for r in got.collect()} == {r.taken for r in out.collect()}
+
+
+CLASHES = ("toxic", "t", "k", "k1", "ws", "line", "lines", "kept", "h", "gone", "train", "rid", "dest", "blob", "stats", "node", "size", "comp", "component_id", "item_id", "label", "labels", "held", "hits", "base", "good", "payload", "best", "of", "total", "text_2")
+
+
+def test_clashing_names_in_every_operator(docs, labels, spark):
+    odd = docs
+    for name in CLASHES:
+        odd = odd.withColumn(name, F.lit(name))
+    n = len(ROWS)
+    assert toxicity.score(odd, toxicity.train(odd, labels)).count() == n
+    nodes = jaccard.with_nodes(odd.select("doc_id", "text"), 3, "text", "node", "size").drop("text")
+    assert jaccard.jaccard_components(nodes, odd, 3, 90).count() == n
+    kept = jaccard.keep_one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == n - 1
+    assert lm.score(odd.withColumn("train", F.lit(True))).count() == n
+    assert suffixes.cut(odd).count() == n
+    passed = quality.apply_quality(odd, labels)
+    assert passed.columns == odd.columns and passed.count() == 2
+    assert licences.scan(odd).count() == n
+    blocks = decontam.item_blocks(spark.createDataFrame([(1, WORDS)], "item_id bigint, text string"))
+    assert decontam.find_matches(odd, blocks).count() == 2 and decontam.drop_contaminated(odd, blocks).columns == odd.columns
+    again = boilerplate.dedup_documents(odd)
+    assert again.columns == odd.columns and again.count() == n
+
+
+def test_a_text_of_20_megabytes(spark, labels):
+    docs = spark.range(3).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("bigint").alias("n_chars"),
+        F.when(F.col("id") == 1, F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(2_500_000)), lambda i: F.concat(F.lit("w"), i))))
+        .otherwise(F.lit(WORDS)).alias("text"))
+    assert docs.agg(F.max(F.octet_length("text"))).first()[0] > 20_000_000
+    assert {r.doc_id: r.n_words for r in licences.scan(docs).collect()}[1] == 2_500_001
+    assert {r.doc_id: r.n_tokens for r in lm.score(docs.withColumn("train", F.col("doc_id") > 0)).collect()}[1] == 2_500_002
+    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in suffixes.cut(docs, with_text=False).collect()}
+    assert got == {0: (len(WORDS), 300), 1: (0, 0), 2: (len(WORDS), 300)}
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 3
+    assert {r.doc_id: r.size for r in mixing.mix_documents(docs).collect()}[1] == 2_500_001
+    assert jaccard.keep_one_of_each(docs).count() == 2
+    assert quality.apply_quality(docs, labels).count() >= 2 and boilerplate.dedup_documents(docs).count() == 3
+    blocks = decontam.item_blocks(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1000, 1040)))], "item_id bigint, text string"))
+    assert [(r.doc_id, r.first_word) for r in decontam.find_matches(docs, blocks).collect()] == [(1, 1000)]
 
 
 def test_licences(docs, none):

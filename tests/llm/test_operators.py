@@ -366,6 +366,45 @@ def test_decontamination_finds_all_passages(spark, texts):
     assert want <= got
 
 
+def test_decontamination_by_exact_similarity_in_any_blocks(spark):
+    rng = random.Random(12)
+    pool = [f"w{k}" for k in range(400)]
+    shared = [rng.choice(pool) for _ in range(25)]
+    items = {i: [rng.choice(pool) for _ in range(20 + i)] + (shared if i % 2 else []) for i in range(40)}
+    docs = {}
+    for i, w in items.items():
+        for k in range(6):
+            near = list(w)
+            for _ in range(k % 3):
+                near[rng.randrange(len(near))] = rng.choice(pool)
+            docs[len(docs)] = [rng.choice(pool) for _ in range(rng.randint(0, 60))] + near + [rng.choice(pool) for _ in range(rng.randint(0, 60))]
+    docs[10**6] = [rng.choice(pool) for _ in range(3000)]
+    five = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    df = Counter(x for w in items.values() for x in five(w))
+    weight = lambda x: math.log(1 + len(items) / df.get(x, 0)) if x in df else math.log(1 + len(items))
+    total = lambda xs: sum(map(weight, xs))
+    want = {}
+    for d, w in docs.items():
+        for i, t in items.items():
+            a, best = five(t), 0.0
+            for j in range(max(1, len(w) - len(t) + 1)):
+                b = five(w[j : j + len(t)])
+                if not a.isdisjoint(b):
+                    best = max(best, total(a & b) / total(a | b))
+            if best >= decontam.SIMILARITY:
+                want[d, i] = best
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    size = sum(len(" ".join(w)) for w in items.values())
+    found = []
+    for blocks in (decontam.item_blocks(bench), decontam.item_blocks(bench, block_bytes=-(-size // 20))):
+        found.append({(r.doc_id, r.item_id): r.similarity for r in decontam.find_matches(frame, blocks).collect()})
+    assert len(blocks) >= 20 and found[0].keys() == found[1].keys()
+    assert all(math.isclose(found[0][k], found[1][k], rel_tol=1e-9) for k in found[0])
+    assert found[0].keys() <= want.keys() and all(x <= want[k] + 1e-9 for k, x in found[0].items())
+    assert len(found[0]) >= 0.9 * len(want) and sum(v < 0.999 for v in want.values()) > 30
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(7)
     prints = rng.integers(0, 1 << 63, 300).astype(U64)
