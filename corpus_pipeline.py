@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftset.functions.shared import materialise
+from driftset.functions.shared import discard, fresh_path, materialise, temporary
 from driftset.llm import boilerplate, decontam, jaccard, mixing, quality
 
 
@@ -46,7 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; the tables a stage makes on its way go with it, and its input once it is read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        label = name.replace(" ", "-")
+        path = fresh_path(spark, label)
+        with temporary(spark):
+            docs = materialise(stage(spark, docs, sf_dir), label, path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

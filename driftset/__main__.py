@@ -24,7 +24,7 @@ from driftset.streaming.engine import Engine
 def prepare_base(spark: SparkSession, graph: str, out: str, per_mille: int = 950, id_base: int = 1) -> None:
     g = T.read_graph(spark, graph, id_base)
     base, _ = U.split(materialise(g.edges, "graph"), per_mille, U.KEY_A)
-    T.write_graph(g.vertices.count(), base.select("src", "dst"), out, id_base=id_base)
+    T.write_graph(g.vertices.count(), base.select("src", "dst"), out, g.comments, id_base)
 
 
 def prepare_batches(spark: SparkSession, graph: str, out: str, ratio: float, per_mille: int = 900, id_base: int = 1) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lineage cuts in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where the
-session leaves it unset (unit tests, notebooks) a folder of our own is used.
+``spark.checkpoint.dir`` names that folder on a cluster.  Only in local mode
+(unit tests, notebooks) a folder of our own is used where it is unset.
 """
 
 from __future__ import annotations
@@ -10,29 +10,42 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths made and not yet removed, and those of each open ``temporary`` block.
+_live: dict[str, SparkSession] = {}
+_blocks: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's, or our own if unset."""
+    """The folder for intermediate tables: the session's, or our own in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, tempfile.mkdtemp(prefix="driftset-"))
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="driftset-")
+        named = _own[app]
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path nobody else uses, below the shared folder; removed at exit."""
+    """A path nobody else uses, below the shared folder; removed with its ``temporary`` block, or at exit."""
     path = f"{shared_dir(spark)}/driftset-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _live[path] = spark
+    if _blocks:
+        _blocks[-1].append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later plan reads."""
+    _live.pop(path, None)
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,18 +57,30 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path, ignore_errors=True)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no later plan reads."""
-    _remove(spark, path)
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in list(_live.items()):
+        discard(spark, path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end; write what has to stay to a path from outside."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.pop():
+            discard(spark, path)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (at ``path`` if given) and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner true
     sizes, so it broadcasts a side only below its own threshold.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = path or fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,24 @@ def adjacency_lists(edges: DataFrame) -> DataFrame:
     return symmetrise(edges).groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_list("b")).alias("neighbors"))
 
 
+#: Rows that one key range holds, about.
+RANGE_ROWS = 1 << 14
+
+
+def ordered_lead(rows: DataFrame, key: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """Adds ``next``, the value of the next row in the order of a distinct integer ``key``, null for the last.
+
+    Each key range leads within itself; its last row takes the first value of
+    the next range that has rows, from a table of one row per range.
+    """
+    ranged = rows.withColumn("__r", F.floor(F.col(key) / width))
+    firsts = ranged.groupBy("__r").agg(F.min_by(value, key).alias("__first"))
+    firsts = firsts.select("__r", F.lead("__first").over(Window.orderBy("__r")).alias("__first"))
+    inside = Window.partitionBy("__r").orderBy(key)
+    told = ranged.withColumn("next", F.lead(value).over(inside)).withColumn("__last", F.lead(key).over(inside).isNull())
+    return told.join(firsts, "__r").withColumn("next", F.when(F.col("__last"), F.col("__first")).otherwise(F.col("next"))).drop("__r", "__first", "__last")
+
+
 def running_offsets(counts: DataFrame, key: str, count: str, width: int = 1 << 16) -> DataFrame:
     """Exclusive prefix sums of ``count`` in the order of an integer ``key``.
 
@@ -51,10 +69,12 @@ def csr_offsets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def rank_by(rows: DataFrame, key: str, ties: list[str], bits: int = 31) -> DataFrame:
     """Adds ``rank`` from 0 in the order of a hash-like ``key`` of ``bits`` bits.
 
-    4096 equal key ranges are counted and prefix-summed, then each range ranks
-    its own rows: the order is global, but no task holds more than a range.
+    Equal key ranges of about ``RANGE_ROWS`` rows are counted and prefix-summed,
+    then each range ranks its own rows: the order is global, but no task holds
+    more than a range, and the table of ranges is small.
     """
-    cut = F.shiftright(F.col(key), bits - 12)
+    ranges = max(6, min(bits, (rows.count() // RANGE_ROWS).bit_length()))
+    cut = F.shiftright(F.col(key), bits - ranges)
     ranged = rows.withColumn("__r", cut)
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("__r").agg(F.count("*").alias("__n"))
@@ -69,16 +89,21 @@ def is_adjacent(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(known, ["src", "dst"], "left").withColumn("adjacent", F.coalesce("__known", F.lit(False))).drop("__known")
 
 
-def neighbours(frontier: DataFrame, adj: DataFrame) -> DataFrame:
+def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """adj(a, b) of the edges at ``ids`` (as a), in one scan of the graph."""
+    return symmetrise(edges).join(ids.select(F.col("id").alias("a")), "a", "left_semi")
+
+
+def neighbours(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct ids next to the frontier (column id)."""
-    return adj.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+    return incident(edges, frontier).select(F.col("b").alias("id")).distinct()
 
 
 def apply_net(edges: DataFrame, net: DataFrame) -> DataFrame:
-    """The graph after net operations (src, dst, op): deletions go, insertions come."""
+    """The graph after net operations (src, dst, op): deletions go, insertions (of absent edges, as net ones are) come."""
     gone = net.where("op = 'D'").select("src", "dst")
     new = net.where("op = 'I'").select("src", "dst")
-    return edges.join(gone, ["src", "dst"], "left_anti").unionByName(new).distinct()
+    return edges.join(gone, ["src", "dst"], "left_anti").unionByName(new)
 
 
 def lcg(id: Column) -> Column:

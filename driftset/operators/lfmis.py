@@ -60,7 +60,7 @@ def lfmis(vertices: DataFrame, edges: DataFrame, key: Column | None = None, loca
 
     ``key`` is a bigint expression over a column ``id`` (default: the id);
     equal keys are ordered by id.  Edges with an end outside ``vertices`` are
-    ignored.
+    ignored.  Materialise the result if it is read more than once.
     """
     key = F.col("id") if key is None else key
     v = vertices.select("id").distinct()
@@ -72,7 +72,7 @@ def lfmis(vertices: DataFrame, edges: DataFrame, key: Column | None = None, loca
     found = [v.join(touched, "id", "left_anti")]  # isolated vertices are in
     while n := left.count():
         if n <= local_edges:
-            found.append(materialise(_greedy(left), "lfmis-in"))
+            found.append(_greedy(left))
             break
         first = F.struct(F.col("ka"), F.col("a")) < F.struct(F.col("kb"), F.col("b"))
         edge = left.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("hi"))

@@ -37,8 +37,11 @@ def affected_area(updates: DataFrame, edges: DataFrame, hops: int = 2) -> DataFr
 
 
 def with_batch(edges: DataFrame, updates: DataFrame) -> DataFrame:
-    """The graph together with the edges of the batch, whose ends must share a region."""
-    return edges.select("src", "dst").unionByName(updates.where("src < dst").select("src", "dst")).distinct()
+    """The graph together with the edges of the batch, whose ends must share a region.
+
+    Edges of both come twice, which hops do not mind; the graph is not shuffled for it.
+    """
+    return edges.select("src", "dst").unionByName(updates.where("src < dst").select("src", "dst"))
 
 
 def region_incidence(updates: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
@@ -66,6 +69,12 @@ def cluster_sizes(edge_cluster: DataFrame) -> DataFrame:
     return edge_cluster.groupBy("batch_id", "cluster_id").agg(F.count("*").alias("n_updates")).where("n_updates > 0")
 
 
+def region_average(edge_cluster: DataFrame) -> DataFrame:
+    """batch_id, n_regions, n_updates and the whole average of updates a region."""
+    sizes = cluster_sizes(edge_cluster).groupBy("batch_id").agg(F.count("*").alias("n_regions"), F.sum("n_updates").alias("n_updates"))
+    return sizes.withColumn("per_region", F.expr("n_updates div n_regions"))
+
+
 def incident_updates(vertices: DataFrame, updates: DataFrame) -> DataFrame:
     """Updates with either end in the set: two semi joins and a union, no OR join."""
     v = vertices.select("id").distinct()

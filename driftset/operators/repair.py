@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import materialise
-from driftset.operators.graph import apply_net, symmetrise
+from driftset.operators.graph import apply_net, incident, neighbours
 from driftset.operators.lfmis import lfmis
 
 # The six cases of one net operation, by operation and ends in the set.
@@ -42,16 +42,26 @@ def evicted_vertices(conflicts: DataFrame, evict: str = "min") -> DataFrame:
     return ends.join(kept, "id", "left_anti")
 
 
+def _stay(mis: DataFrame, evicted: DataFrame) -> DataFrame:
+    return mis.select("id").join(evicted, "id", "left_anti")
+
+
+def _loose(edges_after: DataFrame, net: DataFrame, mis: DataFrame, evicted: DataFrame) -> DataFrame:
+    """Vertices next to an eviction or at a deletion that are outside the set."""
+    near = neighbours(evicted, edges_after)
+    ends = net.where("op = 'D'").select(F.explode(F.array("src", "dst")).alias("id"))
+    return near.unionByName(ends).distinct().join(_stay(mis, evicted), "id", "left_anti")
+
+
+def _uncovered(pool: DataFrame, around: DataFrame, stay: DataFrame) -> DataFrame:
+    """The pool without vertices that have a member among their neighbours (``around``: adj at the pool)."""
+    return pool.join(around.join(stay.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")), "id", "left_anti")
+
+
 def candidates(edges_after: DataFrame, net: DataFrame, mis: DataFrame, evicted: DataFrame) -> DataFrame:
     """Vertices that may join: next to an eviction or at a deletion, outside the set and uncovered."""
-    adj = symmetrise(edges_after)
-    stay = mis.select("id").join(evicted, "id", "left_anti")
-    near = adj.join(evicted.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
-    loose = net.where("op = 'D'").select(F.explode(F.array("src", "dst")).alias("id"))
-    pool = near.unionByName(loose).distinct().join(stay, "id", "left_anti")
-    # only the edges of the pool are looked at, not the graph's
-    covered = adj.join(pool.select(F.col("id").alias("a")), "a", "left_semi").join(stay.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"))
-    return pool.join(covered, "id", "left_anti")
+    pool = _loose(edges_after, net, mis, evicted)
+    return _uncovered(pool, incident(edges_after, pool), _stay(mis, evicted))
 
 
 @dataclass
@@ -63,27 +73,36 @@ class State:
     mis: DataFrame
 
 
+def repair(state: State, net: DataFrame, evict: str = "min", fresh: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members that leave and vertices that join after net operations (src, dst, op), which are materialised.
+
+    The graph is scanned twice, for the edges at evicted vertices and for
+    those at the pool of vertices that may join; it is neither shuffled by a
+    join whose other side is small nor written.  Everything else follows the
+    size of the batch.  ``fresh`` are new vertices, which may join too.
+    """
+    edges = apply_net(state.edges, net)
+    evicted = materialise(evicted_vertices(insertion_conflicts(net, state.mis), evict), "evicted")
+    pool = _loose(edges, net, state.mis, evicted)
+    if fresh is not None:
+        pool = pool.unionByName(fresh).distinct()
+    pool = materialise(pool, "pool")
+    around = materialise(incident(edges, pool), "around")
+    free = _uncovered(pool, around, _stay(state.mis, evicted))
+    added = lfmis(free, around.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return evicted, materialise(added, "added")
+
+
 def apply_batch(state: State, net: DataFrame, evict: str = "min", grow: DataFrame | None = None) -> State:
-    """The state after net operations (src, dst, op).
+    """The state after net operations (src, dst, op), as plans on the state before.
 
-    No-op cases never reach a join; the graph is touched by two equi joins,
-    everything else follows the size of the batch.  ``grow`` holds new vertex
+    ``net`` is read several times: materialise it.  A long run of batches goes
+    through the engine, which keeps the changes.  ``grow`` holds new vertex
     ids, which join as fresh candidates.
     """
-    net = materialise(net, "net")
-    edges = materialise(apply_net(state.edges, net), "edges")
-    evicted = materialise(evicted_vertices(insertion_conflicts(net, state.mis), evict), "evicted")
-    pool = candidates(edges, net, state.mis, evicted)
-    vertices = state.vertices
+    vertices, fresh = state.vertices, None
     if grow is not None:
-        fresh = grow.select("id").distinct().join(vertices, "id", "left_anti")
-        vertices = materialise(vertices.unionByName(fresh), "vertices")
-        stay = state.mis.select("id").join(evicted, "id", "left_anti")
-        near = symmetrise(edges).join(stay.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"))
-        pool = pool.unionByName(fresh.join(near, "id", "left_anti")).distinct()
-    pool = materialise(pool, "pool")
-    s, d = (pool.withColumnRenamed("id", c) for c in ("src", "dst"))
-    among = edges.join(s, "src", "left_semi").join(d, "dst", "left_semi")
-    added = lfmis(pool, among)
-    mis = materialise(state.mis.select("id").join(evicted, "id", "left_anti").unionByName(added), "mis")
-    return State(vertices, edges, mis)
+        fresh = materialise(grow.select("id").distinct().join(vertices, "id", "left_anti"), "fresh")
+        vertices = vertices.unionByName(fresh)
+    evicted, added = repair(state, net, evict, fresh)
+    return State(vertices, apply_net(state.edges, net), _stay(state.mis, evicted).unionByName(added))

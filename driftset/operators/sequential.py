@@ -68,7 +68,7 @@ def apply_batch_sequential(state: State, updates: DataFrame, edges_after: DataFr
     regions, _ = conflict_free_regions(updates, state.edges, hops)
     own = updates.join(regions, ["batch_id", "seq"])
     seeds = own.select("cluster_id", F.explode(F.array("src", "dst")).alias("id"))
-    union = state.edges.select("src", "dst").unionByName(updates.select("src", "dst")).distinct()
+    union = state.edges.select("src", "dst").unionByName(updates.select("src", "dst"))
     area = materialise(hop_neighborhood(seeds, union, READS, ["cluster_id"]).select("cluster_id", "id"), "fold-area")
     adj = symmetrise(state.edges)
     none = F.lit(None)

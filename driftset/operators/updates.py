@@ -66,11 +66,26 @@ def net_explicit(updates: DataFrame, edges: DataFrame) -> DataFrame:
     return is_adjacent(last, edges).where("(op = 'I') <> adjacent").select("src", "dst", "op")
 
 
+def net_mixed(updates: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst, op of the edges that explicit operations and toggles (null op), in the order of seq, leave changed.
+
+    The last explicit operation says what was there; an odd number of toggles after it says otherwise.
+    """
+    last = F.max(F.when(F.col("op").isNotNull(), F.col("seq"))).over(Window.partitionBy("src", "dst"))
+    after = updates.where("op is null or op in ('I', 'D')").withColumn("__last", last)
+    end = after.groupBy("src", "dst").agg(
+        F.max(F.when(F.col("seq") == F.col("__last"), F.col("op"))).alias("last"),
+        F.count_if(F.col("op").isNull() & (F.col("__last").isNull() | (F.col("seq") > F.col("__last")))).alias("n"))
+    told = is_adjacent(end, edges)
+    there = F.coalesce(F.col("last") == "I", F.col("adjacent")) != (F.col("n") % 2 == 1)
+    return told.where(there != F.col("adjacent")).select("src", "dst", F.when(there, "I").otherwise("D").alias("op"))
+
+
 def net_ops(updates: DataFrame, edges: DataFrame, mode: str = "toggle") -> DataFrame:
-    """Net operations of one batch in either mode."""
-    if mode not in ("toggle", "explicit"):
+    """Net operations of one batch: all toggles, explicit ones alone, or both by seq."""
+    if mode not in ("toggle", "explicit", "mixed"):
         raise ValueError(f"unknown mode {mode!r}")
-    return (net_toggle if mode == "toggle" else net_explicit)(updates, edges)
+    return {"toggle": net_toggle, "explicit": net_explicit, "mixed": net_mixed}[mode](updates, edges)
 
 
 def presence_before(updates: DataFrame, edges: DataFrame) -> DataFrame:

@@ -152,12 +152,34 @@ _EVENTS = """ev AS (SELECT event_id AS seq, least(u, w)::BIGINT AS src, greatest
          CASE WHEN event_type IN ('signup', 'purchase') THEN 'I' WHEN event_type = 'error' THEN 'D' END AS op FROM events) WHERE u <> w)"""
 
 
+def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    base, _ = X.split_mix(materialise(X.graph(spark, d, "user_seq")[1], "graph"))
+    return base, X.event_ops(spark, d).withColumns({c: F.col(c).cast("bigint") for c in ("src", "dst")})
+
+
 @query(_with(X.sql_graph("user_seq"), X.sql_split(), _EVENTS) + """SELECT l.src, l.dst, l.op FROM (SELECT src, dst, max_by(op, seq) AS op FROM ev WHERE op IS NOT NULL GROUP BY src, dst) l
 LEFT JOIN base b ON b.src = l.src AND b.dst = l.dst WHERE (l.op = 'I') <> (b.src IS NOT NULL)""")
 def net_explicit_ops(spark: SparkSession, d: str) -> DataFrame:
-    base, _ = X.split_mix(materialise(X.graph(spark, d, "user_seq")[1], "graph"))
-    ups = X.event_ops(spark, d)
-    return U.net_explicit(ups, base).select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "op")
+    base, ups = _events(spark, d)
+    return U.net_explicit(ups, base).select("src", "dst", "op")
+
+
+@query(_with(X.sql_graph("user_seq"), X.sql_split(), _EVENTS) + """, la AS (SELECT src, dst, max(seq) FILTER (op IS NOT NULL) AS at, max_by(op, seq) FILTER (op IS NOT NULL) AS op FROM ev GROUP BY src, dst),
+en AS (SELECT la.src, la.dst, b.src IS NOT NULL AS was, coalesce(la.op = 'I', b.src IS NOT NULL)
+         <> ((SELECT count(*) FROM ev WHERE ev.src = la.src AND ev.dst = la.dst AND ev.op IS NULL AND (la.at IS NULL OR ev.seq > la.at)) % 2 = 1) AS there
+       FROM la LEFT JOIN base b ON b.src = la.src AND b.dst = la.dst)
+SELECT src, dst, CASE WHEN there THEN 'I' ELSE 'D' END AS op FROM en WHERE there <> was""".replace(", la AS", "\n, la AS", 1))
+def net_mixed_ops(spark: SparkSession, d: str) -> DataFrame:
+    base, ups = _events(spark, d)
+    return U.net_mixed(ups, base).select("src", "dst", "op")
+
+
+@query("""SELECT (event_day - min(event_day) OVER ())::INTEGER AS batch_id, count(*) FILTER (kind = 'I') AS n_insert, count(*) FILTER (kind = 'D') AS n_delete, count(*) FILTER (kind = 'T') AS n_toggle
+FROM (SELECT ts::DATE AS event_day, CASE WHEN event_type IN ('signup', 'purchase') THEN 'I' WHEN event_type = 'error' THEN 'D' ELSE 'T' END AS kind, user_id AS u,
+             lead(user_id) OVER (ORDER BY event_id) AS w FROM events) WHERE u <> w GROUP BY event_day""")
+def event_batches(spark: SparkSession, d: str) -> DataFrame:
+    op = F.coalesce("op", F.lit("T"))
+    return X.event_ops(spark, d).groupBy("batch_id").agg(*[F.count_if(op == k).alias(n) for k, n in (("I", "n_insert"), ("D", "n_delete"), ("T", "n_toggle"))])
 
 
 @query(_with(*_N) + "SELECT src, dst FROM after")
@@ -233,6 +255,11 @@ def cfr_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return C.cluster_sizes(_regions(spark, d)[1]).drop("batch_id")
 
 
+@query(_with(*_S, _AREA, _CFR) + "SELECT 0::INTEGER AS batch_id, count(DISTINCT cluster_id) AS n_regions, count(*) AS n_updates, count(*) // count(DISTINCT cluster_id) AS per_region FROM ec")
+def cfr_region_average(spark: SparkSession, d: str) -> DataFrame:
+    return C.region_average(_regions(spark, d)[1])
+
+
 @query(_with(*_S, _AREA, _CFR) + "SELECT DISTINCT ar.id, ec.cluster_id FROM ar JOIN ec USING (seq)")
 def vertex_to_cluster(spark: SparkSession, d: str) -> DataFrame:
     return _regions(spark, d)[2].select("id", "cluster_id")
@@ -294,11 +321,11 @@ def _inserting(spark: SparkSession, d: str) -> tuple[R.State, DataFrame]:
     """A state and net operations with many conflicts: the insert-only stream, all at once."""
     v, e = X.graph(spark, d)
     base, ups = (materialise(x, "insert") for x in X.reverse_split(materialise(e, "graph")))
-    return R.State(v, base, materialise(lfmis(v, base), "mis")), materialise(U.net_toggle(ups.where("batch_id = 0"), base), "net")
+    return R.State(v, base, materialise(lfmis(v, base), "mis")), materialise(U.net_toggle(ups, base), "net")
 
 
-_I = (_G, X.sql_split(False), X.sql_net(), X.sql_repair())
-_IX = (_G, X.sql_split(False), X.sql_net(), X.sql_repair("max"))
+_I = (_G, X.sql_split(False), X.sql_net(""), X.sql_repair())
+_IX = (_G, X.sql_split(False), X.sql_net(""), X.sql_repair("max"))
 
 
 @query(_with(*_I) + "SELECT src, dst FROM conf")
@@ -341,6 +368,7 @@ def mis_after_inserts_max(spark: SparkSession, d: str) -> DataFrame:
 def mis_delta_per_batch(spark: SparkSession, d: str) -> DataFrame:
     state, _, net = _batch(spark, d)
     after = R.apply_batch(state, net)
+    # a plan on the state before; one count of each
     a, b = state.mis.agg(F.count("*").alias("mis_before")), after.mis.agg(F.count("*").alias("mis_size"))
     # one row each
     return a.join(b).select("mis_before", "mis_size", F.abs(F.col("mis_size") - F.col("mis_before")).alias("mis_delta"))
@@ -357,7 +385,8 @@ _ZERO = "SELECT 0::BIGINT AS dependent, 0::BIGINT AS uncovered"
 @query(_ZERO)
 def repair_validity(spark: SparkSession, d: str) -> DataFrame:
     state, _, net = _batch(spark, d)
-    return _violations(R.apply_batch(state, net))
+    after = R.apply_batch(state, net)
+    return _violations(R.State(after.vertices, materialise(after.edges, "edges"), materialise(after.mis, "mis")))
 
 
 @query(_ZERO)
@@ -366,42 +395,54 @@ def sequential_mis_validity(spark: SparkSession, d: str) -> DataFrame:
     return _violations(apply_batch_sequential(state, first, materialise(G.apply_net(state.edges, net), "edges")))
 
 
-#: Batches of the streaming queries; their size follows the stream.
-STREAM_BATCHES = 10
-
-
-def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vertices, base edges and all updates of the mixed stream, in STREAM_BATCHES batches."""
-    v, base, ups = _base(spark, d)
-    size = max(1, -(-ups.count() // STREAM_BATCHES))
-    return v, base, ups.withColumn("batch_id", F.floor(F.col("seq") / size).cast("int"))
+@query(_with(*_S, "badj AS (SELECT src AS a, dst AS b FROM base UNION ALL SELECT dst, src FROM base)", X.sql_lfmis("m", "v", "badj"), X.sql_sequential())
+       + "SELECT x AS id FROM fs WHERE kind = 'm' AND it = (SELECT count(*) FROM u0)")
+def sequential_members(spark: SparkSession, d: str) -> DataFrame:
+    """The set after the one-by-one fold of a batch, region by region."""
+    state, first, net = _batch(spark, d)
+    return apply_batch_sequential(state, first, G.apply_net(state.edges, net)).mis.select("id")
 
 
 def _streamed(spark: SparkSession, d: str) -> Engine:
-    v, base, ups = _stream(spark, d)
-    folder = fresh_path(spark, "engine")
-    engine = Engine(spark, f"{folder}/state")
-    engine.start(R.State(v, base, lfmis(v, base)))
-    for i in range(STREAM_BATCHES):
-        engine.apply(ups.where(F.col("batch_id") == i), i)
-    return engine
-
-
-@query(_ZERO)
-def stream_mis_validity(spark: SparkSession, d: str) -> DataFrame:
+    """The whole mixed stream, read from a folder of batch files."""
     from driftset.sources.text import write_batches
 
-    v, base, ups = _stream(spark, d)
+    v, base, ups = _base(spark, d)
     folder = fresh_path(spark, "stream")
     engine = Engine(spark, f"{folder}/state")
     engine.start(R.State(v, base, lfmis(v, base)))
     write_batches(ups, f"{folder}/in")
     engine.run_folder(f"{folder}/in/*", f"{folder}/checkpoint")
+    return engine
+
+
+@query(_ZERO)
+def stream_mis_validity(spark: SparkSession, d: str) -> DataFrame:
+    engine = _streamed(spark, d)
     # of the start and of the state after each batch
     found = reduce(DataFrame.unionAll, [_violations(engine.load(n)) for n in range(-1, engine.version() + 1)])
     return found.agg(*[F.sum(c).alias(c) for c in ("dependent", "uncovered")])
 
 
-@query()
+_T = (*_S, X.sql_stream())
+
+
+@query(_with(*_T) + " UNION ALL ".join(f"SELECT {i}::INTEGER AS batch_id, id FROM m_{i + 1}" for i in range(X.BATCHES)))
+def stream_members(spark: SparkSession, d: str) -> DataFrame:
+    """The set after every batch of the stream."""
+    engine = _streamed(spark, d)
+    return reduce(DataFrame.unionAll, [engine.load(n).mis.select(F.lit(n).alias("batch_id"), "id") for n in range(engine.version() + 1)])
+
+
+@query(_with(*_T) + "SELECT src, dst FROM e_" + str(X.BATCHES))
+def stream_final_edges(spark: SparkSession, d: str) -> DataFrame:
+    engine = _streamed(spark, d)
+    return engine.load(engine.version()).edges.select("src", "dst")
+
+
+@query(_with(*_T) + "SELECT *, abs(mis_size - mis_before)::BIGINT AS mis_delta FROM (" + " UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS batch_id, (SELECT count(*) FROM net_{i} WHERE op = 'I') AS n_insert, (SELECT count(*) FROM net_{i} WHERE op = 'D') AS n_delete, "
+    f"(SELECT count(*) FROM m_{i}) AS mis_before, (SELECT count(*) FROM m_{i + 1}) AS mis_size" for i in range(X.BATCHES)) + ")")
 def batch_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d).metrics()
+    return M.deltas(_streamed(spark, d).metrics().where("stage = 'total'").drop("stage", "ms"))
+

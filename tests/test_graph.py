@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from driftset.functions import shared
 from driftset.operators import graph as G
 from driftset.operators import regions as C
 from driftset.operators import repair as R
@@ -164,3 +165,46 @@ def test_ranks_and_offsets(spark):
     rows = spark.createDataFrame([(i, (i * 7919) % 2147483648) for i in range(500)], "src bigint, k bigint").withColumn("dst", F.col("src"))
     got = [r.src for r in G.rank_by(rows, "k", ["src"]).orderBy("rank").collect()]
     assert got == sorted(range(500), key=lambda i: ((i * 7919) % 2147483648, i))
+
+
+def test_lead_across_ranges(spark):
+    keys = [1, 2, 70, 71, 500, 501, 502, 9000]
+    got = G.ordered_lead(spark.createDataFrame([(k, k * 10) for k in keys], "k bigint, v bigint").repartition(3), "k", "v", width=64)
+    assert {r.k: r.next for r in got.collect()} == {a: b and b * 10 for a, b in zip(keys, [*keys[1:], None])}
+
+
+def test_mixed_operations(spark):
+    e = edges_df(spark, [(1, 2), (3, 4), (7, 8)])
+    ups = updates_df(spark, [
+        (1, 2, "D"), (1, 2, None),  # back again
+        (3, 4, None), (3, 4, None), (3, 4, None),  # gone
+        (5, 6, None), (5, 6, "I"),  # there
+        (7, 8, "I"), (7, 8, None),  # gone
+        (8, 9, "I"), (8, 9, "D"),  # never there
+    ])
+    assert sorted(map(tuple, U.net_ops(ups, e, "mixed").collect())) == [(3, 4, "D"), (5, 6, "I"), (7, 8, "D")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getConf(self):
+            return {"a": 1}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+
+
+def test_a_batch_does_not_shuffle_the_graph(spark):
+    """With a small batch the graph is only scanned: no exchange of it, no aggregate over it."""
+    n = 2000
+    shared.materialise(spark.range(1), "unused")
+    edges = shared.materialise(spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), "edges")
+    state = R.State(spark.range(n + 1), edges, shared.materialise(lfmis(spark.range(n + 1), edges), "mis"))
+    net = shared.materialise(U.net_toggle(updates_df(spark, [(4, 9, None)]), edges), "net")
+    plan = R.apply_batch(state, net).edges._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "hashpartitioning(src" not in plan

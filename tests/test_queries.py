@@ -8,7 +8,8 @@ from tests.conftest import SF
 
 NAMES = [
     "canonical_edges", "vertex_degrees", "csr_offsets", "base_split", "batch_chunks", "toggle_effects", "net_explicit_ops", "graph_after_batch", "hop2_neighborhood",
-    "cfr_clusters", "lfmis_id", "lfmis_lcg", "lfmis_id_co_purchase", "mis_after_batch", "mis_after_inserts_max", "repair_validity",
+    "cfr_clusters", "lfmis_id", "lfmis_lcg", "lfmis_id_co_purchase", "mis_after_batch", "mis_after_inserts_max", "repair_validity", "net_mixed_ops", "event_batches",
+    "sequential_members", "stream_members", "batch_metrics", "lfmis_id_customer_seq", "cfr_region_average",
 ]
 
 
