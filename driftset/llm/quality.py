@@ -8,8 +8,9 @@ longer precise; ``as_condition`` turns the list into one ordered Spark
 
 Defined cases: a null text counts as an empty one (all statistics 0); rows
 whose label is null, or whose document is missing, teach nothing; with no
-usable labels the list is empty and every text passes; repeated rows are
-judged alike, each on its own row; extra columns are carried along unchanged
+usable labels the list is empty and every text passes that the base rules
+let pass; repeated rows are judged alike, each on its own row; a null doc_id
+is judged like others and teaches nothing; an empty table gives no rows; extra columns are carried along unchanged
 by :func:`apply_quality`, also if they bear the name of a statistic, because
 statistics travel in one struct column.
 """
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftset.functions.shared import materialise
 from driftset.llm.textblocks import U64, chunks, mix, span_hash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -257,47 +257,42 @@ def base_failed(stats: str = "stats") -> Column:
     return (n < 50) | (100 * r > 50 * n)
 
 
-def fit(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
     """Learn from labelled rows outside the held-out fold (crc32 mod 5 = 0).
 
-    ``measured`` has doc_id and stats; rows that fail the base rules are
-    decided already and teach nothing; at most ``fit_rows`` rows, the first in
-    hash order, reach the driver.
+    At most ``fit_rows`` labelled documents, the first in hash order, are
+    measured (one row for each doc_id); those that fail the base rules are
+    decided already and teach nothing.
     """
-    known = (
+    ids = (
         labels.where("quality is not null and doc_id is not null")
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        .groupBy("doc_id").agg(F.min("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    rows = measured.where(~base_failed()).join(known, "doc_id").select("quality", *[feature(k).alias(k) for k in FEATURES], place.alias("__place"), F.xxhash64("doc_id").alias("__key"))
-    n = rows.count()
-    if n > fit_rows:  # what cannot be among the first in hash order stays where it is
-        rows = rows.where(F.col("__place") <= int((1 << 20) * min(1.0, 1.1 * fit_rows / n + 0.001)))
-    rows = rows.orderBy("__place", "__key").limit(fit_rows).toPandas()
+    # at most fit_rows pairs of numbers
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    measured = text_statistics(known, ["doc_id", "label"]).where(~base_failed())
+    rows = measured.select("doc_id", F.col("label").alias("quality"), *[feature(k).alias(k) for k in FEATURES]).toPandas()
     if not len(rows):
         return []
+    rows = rows.sort_values("doc_id")
     return learn_decision_list({k: rows[k].to_numpy(float) for k in FEATURES}, rows["quality"].to_numpy() == 0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[Rule]]:
     """doc_id, stats, base_failed and kept of every row, and the rules."""
-    measured = materialise(text_statistics(docs, ["doc_id"]), "quality")
-    rules = fit(measured, labels, fit_rows)
+    rules = fit(docs, labels, fit_rows)
     kept = ~base_failed() & as_condition(rules)
-    return measured.select("doc_id", "stats", base_failed().alias("base_failed"), kept.alias("kept")), rules
+    return text_statistics(docs, ["doc_id"]).select("doc_id", "stats", base_failed().alias("base_failed"), kept.alias("kept")), rules
 
 
 def apply_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they came."""
+    """The rows of ``docs`` that pass, with their columns as they came; each text is measured once."""
     if {"doc_id", "text"} - set(docs.columns):
         raise ValueError("apply_quality needs the columns doc_id and text")
-    stats = f"stats_{uuid.uuid4().hex[:8]}"
-    measured = text_statistics(docs, docs.columns).withColumnRenamed("stats", stats) if "stats" not in docs.columns else None
-    if measured is None:  # a clashing name: measure under neutral names, then restore
-        plain = [f"c{i}" for i in range(len(docs.columns))]
-        measured = text_statistics(docs.toDF(*plain), plain, plain[docs.columns.index("text")]).toDF(*docs.columns, stats)
-    rules = fit(materialise(text_statistics(docs, ["doc_id"]), "quality"), labels, fit_rows)
+    rules = fit(docs, labels, fit_rows)
+    plain, stats = [f"c{i}" for i in range(len(docs.columns))], f"stats_{uuid.uuid4().hex[:8]}"
+    measured = text_statistics(docs.toDF(*plain), plain, plain[docs.columns.index("text")]).toDF(*docs.columns, stats)
     return measured.where(~base_failed(stats) & as_condition(rules, stats)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -354,8 +354,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFr
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
     )
-    # at most fit_rows pairs of numbers
-    return materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
+    # at most fit_rows pairs of numbers; of rows that share a doc_id one text teaches
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").cast("int").alias("toxic"))
+    return materialise(known.select("text", "toxic"), "toxic-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:

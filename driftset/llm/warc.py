@@ -6,10 +6,11 @@ bounded size (one gzip member per record) into the shared folder.  A task
 reports the files that it finished; only reported files are ever read, so a
 retried or speculative task cannot add records twice.
 
-Reading: each file is streamed.  A member or record that fails a check (gzip
-CRC, version line, header, length, block digest) is not the end: the reader
-searches for the next gzip member or version line that passes all checks,
-goes on from there, and reports the bytes between as a quarantined gap.
+Reading: each file is read piece by piece, records of any length too.  A
+member or record that fails a check (gzip CRC, version line, header, length,
+block digest) is not the end: the reader searches for the next gzip member or
+version line that passes all checks (inside a member, in its decompressed
+data), goes on from there, and reports the bytes between as a quarantined gap.
 
 Defined cases: a null html is an empty payload, a null url has no target URI;
 a row without page_id is written without a page and never chosen as the
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from driftset.functions.shared import fresh_path, materialise
 
 ARCHIVE_BYTES = 32 << 20
-#: A header that promises a longer block is taken for damage.
-LONGEST_BLOCK = 1 << 31
+#: Bytes read at a time; a header has no more than HEAD_BYTES.  Blocks may have any length.
+PIECE, HEAD_BYTES = 1 << 20, 1 << 24
 DATE = "1970-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
@@ -74,18 +75,20 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 @dataclass
 class Record:
+    """A record that passed its checks; ``body`` is its payload, if that was asked for."""
+
     offset: int
     headers: dict[str, str]
-    block: bytes
-
-    def payload(self) -> bytes:
-        return self.block.partition(b"\r\n\r\n")[2] if "http" in self.headers.get("content-type", "") else self.block
+    lead: bytes
+    size: int
+    digest: str
+    body: bytes | None
 
     def payload_bytes(self) -> int:
         if self.headers.get("warc-type") == "revisit":
-            m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", self.block)
+            m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", self.lead)
             return int(m[1]) if m else 0
-        return len(self.payload())
+        return self.size
 
 
 @dataclass
@@ -99,133 +102,209 @@ class Damaged(Exception):
     """A check failed; the text says which."""
 
 
-class _Window:
-    """A forward window over a stream, addressed by absolute offsets."""
-
-    def __init__(self, stream, piece: int = 1 << 20):
-        self.stream, self.piece, self.base, self.buf, self.ended = stream, piece, 0, b"", False
-
-    def need(self, end: int) -> bool:
-        parts, have = [self.buf], self.base + len(self.buf)
-        while have < end and not self.ended:
-            more = self.stream.read(max(self.piece, end - have) if end - have < 8 * self.piece else self.piece)
-            self.ended = not more
-            parts.append(more)
-            have += len(more)
+class _Raw:
+    """The bytes of a seekable file from any place on, piece by piece."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def pieces(self, at: int) -> Iterator[bytes]:
+        while True:
+            self.file.seek(at)
+            piece = self.file.read(PIECE)
+            if not piece:
+                return
+            yield piece
+            at += len(piece)
+
+
+class _Member:
+    """The data of the gzip member at a place of a file; ``end`` is known once all of it was read."""
+
+    def __init__(self, raw: _Raw, start: int):
+        self.raw, self.start, self.end = raw, start, None
+
+    def pieces(self, at: int) -> Iterator[bytes]:
+        d, place = zlib.decompressobj(31), self.start
+        for piece in self.raw.pieces(self.start):
+            place += len(piece)
+            while piece and not d.eof:
+                sound = d.copy()
+                try:
+                    outs, piece = [d.decompress(piece, 4 * PIECE)], d.unconsumed_tail
+                except zlib.error:
+                    outs = self._until_damage(sound, piece)
+                for out in outs:
+                    if len(out) > at:
+                        yield out[at:]
+                    at = max(0, at - len(out))
+            if d.eof:
+                self.end = place - len(d.unused_data)
+                return
+        raise Damaged("truncated member")
+
+    @staticmethod
+    def _until_damage(d, piece: bytes) -> Iterator[bytes]:
+        """What comes before the damage in a piece, in small steps."""
+        for k in range(0, len(piece), 64):
+            try:
+                yield d.decompress(piece[k : k + 64])
+            except zlib.error as e:
+                raise Damaged(f"gzip: {e}") from e
+
+
+class _Reader:
+    """Reads a layer forward from a place; holds no more than was asked for and a piece."""
+
+    def __init__(self, layer: _Raw | _Member, at: int):
+        self.at, self.buf, self.source = at, b"", layer.pieces(at)
+
+    def need(self, n: int) -> bool:
+        parts, have = [self.buf], len(self.buf)
+        while have < n and (piece := next(self.source, None)) is not None:
+            parts.append(piece)
+            have += len(piece)
         if len(parts) > 1:
             self.buf = b"".join(parts)
-        return have >= end
-
-    def at(self, start: int, end: int) -> bytes:
-        return self.buf[start - self.base : end - self.base]
-
-    def forget(self, upto: int) -> None:
-        if upto - self.base > self.piece:
-            self.buf, self.base = self.buf[upto - self.base :], upto
-
-
-def _parse(data: bytes, at: int, offset: int) -> tuple[Record, int]:
-    """The record that starts at ``at`` in ``data``, and where it ends."""
-    m = _HEAD.match(data, at)
-    if not m:
+        return have >= n
+
+    def skip(self, n: int) -> bytes:
+        out, self.buf = self.buf[:n], self.buf[n:]
+        self.at += len(out)
+        return out
+
+    def until(self, token: bytes) -> bytes:
+        """Everything up to and with ``token``, which comes within HEAD_BYTES."""
+        size = 1 << 12
+        while True:
+            more = self.need(size)
+            end = self.buf.find(token, 0, HEAD_BYTES)
+            if end >= 0:
+                return self.skip(end + len(token))
+            if not more or size >= HEAD_BYTES:
+                raise Damaged("header without end")
+            size *= 4
+
+    def take(self, n: int) -> Iterator[bytes]:
+        while n:
+            if not self.need(1):
+                raise Damaged("block length")
+            piece = self.skip(min(n, len(self.buf)))
+            n -= len(piece)
+            yield piece
+
+    def find(self, pattern: re.Pattern, width: int) -> bool:
+        """Goes forward to the next match of a pattern of at most ``width`` bytes."""
+        while True:
+            self.need(PIECE)
+            m = pattern.search(self.buf)
+            if m:
+                self.skip(m.start())
+                return True
+            before = len(self.buf)
+            self.skip(max(0, before - width + 1))
+            if not self.need(len(self.buf) + 1):
+                self.skip(len(self.buf))
+                return False
+
+
+def _record(r: _Reader, offset: int, keep: bool) -> Record:
+    """The record at the reader's place, in one pass and in bounded memory unless its payload is asked for."""
+    head = r.until(b"\r\n\r\n") if r.need(10) and _HEAD.match(r.buf) else b""
+    if not head:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", m.end())
-    if end < 0:
-        raise Damaged("header without end")
     headers: dict[str, str] = {}
-    for line in data[m.end() : end].split(b"\r\n"):
+    for line in head[:-4].split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
         headers[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdigit():
         raise Damaged("no content length")
-    n = int(headers["content-length"])
-    block = data[end + 4 : end + 4 + n]
-    if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+    whole, payload = hashlib.sha1(), hashlib.sha1()
+    lead, size, kept = (b"" if "http" in headers.get("content-type", "") else None), 0, []
+    http = b""
+    for piece in r.take(int(headers["content-length"])):
+        whole.update(piece)
+        if lead is not None:  # the head of the response comes before its payload
+            lead += piece
+            end = lead.find(b"\r\n\r\n")
+            if end < 0 and len(lead) <= HEAD_BYTES:
+                continue
+            http, piece, lead = (lead[:end], lead[end + 4 :], None) if end >= 0 else (lead, b"", None)
+        payload.update(piece)
+        size += len(piece)
+        if keep:
+            kept.append(piece)
+    if b"".join(r.take(4)) != b"\r\n\r\n":
         raise Damaged("block length")
     told = headers.get("warc-block-digest", "")
-    if told.startswith("sha1:") and told[5:] != base32_sha1(block):
+    if told.startswith("sha1:") and told[5:] != base64.b32encode(whole.digest()).decode():
         raise Damaged("block digest")
-    return Record(offset, headers, block), end + 8 + n
+    return Record(offset, headers, http or lead or b"", size, base64.b32encode(payload.digest()).decode(), b"".join(kept) if keep else None)
 
 
-def _member(w: _Window, at: int) -> tuple[bytes, int]:
-    """The gzip member that starts at ``at``: its data, and where it ends."""
-    d, out, pos, size = zlib.decompressobj(31), [], at, 0
-    while not d.eof:
-        if not w.need(pos + 1):
-            raise Damaged("truncated member")
-        piece = w.at(pos, min(pos + w.piece, w.base + len(w.buf)))
+def _inside(member: _Member, keep: bool) -> Iterator[Record | str]:
+    """Sound records of a member, and reasons of what was skipped between them; Damaged if the member itself is."""
+    r = _Reader(member, 0)
+    while r.need(1):
+        at = r.at
         try:
-            out.append(d.decompress(piece))
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from e
-        size += len(out[-1])
-        if size > LONGEST_BLOCK:
-            raise Damaged("member too long")
-        pos += len(piece) - len(d.unused_data)
-    return b"".join(out), pos
-
-
-def _plain(w: _Window, at: int) -> tuple[Record, int]:
-    size = 1 << 16
-    while not w.need(at + size) and not w.ended:
-        pass
-    head = w.at(at, at + size)
-    while b"\r\n\r\n" not in head and len(head) == size and size < 1 << 24:
-        size *= 4
-        w.need(at + size)
-        head = w.at(at, at + size)
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n", head[: head.find(b"\r\n\r\n") + 2])
-    if not m or int(m[1]) > LONGEST_BLOCK:
-        raise Damaged("no content length")
-    total = head.find(b"\r\n\r\n") + 8 + int(m[1])
-    w.need(at + total)
-    rec, end = _parse(w.at(at, at + total), 0, at)
-    return rec, at + end
+            yield _record(r, member.start, keep)
+        except Damaged as e:
+            yield str(e)
+            r = _Reader(member, at + 1)
+            r.find(_HEAD, 10)
+
 
+def salvage(file, keep: bool = True) -> Iterator[Record | Gap]:
+    """Records of a damaged or sound archive (a seekable file), and the gaps between them.
 
-def salvage(stream) -> Iterator[Record | Gap]:
-    """Records of a damaged or sound archive, and the gaps between them."""
-    w, pos, gap, reason = _Window(stream), 0, None, ""
-    while w.need(pos + 1):
+    Records that carry a good block digest are taken from a member even if it
+    breaks off later; others only if the whole member is sound.
+    """
+    raw, pos, gap, reason = _Raw(file), 0, None, ""
+    while True:
+        r = _Reader(raw, pos)
+        if not r.need(1):
+            break
+        r.need(10)
+        wait, inner = [], []
         try:
-            if w.need(pos + 3) and w.at(pos, pos + 3) == _MAGIC:
-                data, end = _member(w, pos)
-                found, at = [], 0
-                while at < len(data):
-                    rec, at = _parse(data, at, pos)
-                    found.append(rec)
-                if not found:
-                    raise Damaged("empty member")
-            elif w.need(pos + 10) and _HEAD.match(w.at(pos, pos + 10)):
-                rec, end = _plain(w, pos)
-                found = [rec]
+            if r.buf.startswith(_MAGIC):
+                member, any_found = _Member(raw, pos), False
+                for x in _inside(member, keep):
+                    if isinstance(x, str):
+                        inner.append(x)
+                    elif x.headers.get("warc-block-digest", "").startswith("sha1:"):
+                        if gap is not None:
+                            yield Gap(gap, pos, reason)
+                            gap = None
+                        any_found = True
+                        yield x
+                    else:
+                        wait.append(x)
+                if not wait and not any_found:
+                    raise Damaged(inner[0] if inner else "empty member")
+                end = member.end
+            elif _HEAD.match(r.buf):
+                wait, end = [_record(r, pos, keep)], r.at
             else:
                 raise Damaged("neither a member nor a version line")
         except Damaged as e:
             if gap is None:
                 gap, reason = pos, str(e)
-            pos += 1
-            while True:  # the next place where a member or a record may start
-                w.need(pos + w.piece)
-                m = _START.search(w.buf, pos - w.base)
-                if m:
-                    pos = w.base + m.start()
-                    break
-                pos = max(pos, w.base + len(w.buf) - 9)
-                if w.ended:
-                    pos = w.base + len(w.buf)
-                    break
-                w.forget(pos)
+            r = _Reader(raw, pos + 1)  # the next place where a member or a record may start
+            r.find(_START, 10)
+            pos = r.at
             continue
         if gap is not None:
             yield Gap(gap, pos, reason)
             gap = None
-        yield from found
+        yield from wait
+        if inner:
+            yield Gap(pos, end, f"inside a member: {inner[0]}")
         pos = end
-        w.forget(pos)
     if gap is not None:
         yield Gap(gap, pos, reason)
 
@@ -298,19 +377,19 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, inner = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(inner, compression=None) as stream:
-                    for x in salvage(stream):
+                with fs.open_input_file(inner) as file:
+                    for x in salvage(file, with_payload):
                         if isinstance(x, Gap):
                             rows.append((path, x.start, x.end, x.reason, *[None] * 8))
                             continue
-                        h, payload = x.headers, x.payload()
+                        h = x.headers
                         revisit = h.get("warc-type") == "revisit"
-                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base32_sha1(payload)
+                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else x.digest
                         rows.append((
                             path, x.offset, None, None, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), number(h.get("x-page-id")),
-                            x.payload_bytes(), digest, number(h.get("x-refers-to-page")), payload if with_payload else None,
+                            x.payload_bytes(), digest, number(h.get("x-refers-to-page")), x.body,
                         ))
-                        size += len(payload) if with_payload else 200
+                        size += len(x.body) if with_payload else 200
                         if size > 4 << 20 or len(rows) >= 4096:
                             yield batch()
                             rows, size = [], 0
