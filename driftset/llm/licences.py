@@ -1,12 +1,13 @@
 """License scans by a positional rare-token index, DataFrame functions only.
 
 The index holds, for each license statement, the positions of its words that
-are not function words.  A file's occurrences of those words are weighed by
-their inverse document frequency over the whole corpus; postings are
-intersected by relative position (file position minus template position), so
-a statement shows as many words on one offset.  A statement counts when the
-words on one offset include one of its rarest and carry enough weight, and a
-mandatory key phrase of its license stands in the file word by word.
+are not function words, weighed by their inverse document frequency over the
+whole corpus.  A file's occurrences of the rarest words of a statement are
+looked up first: each proposes an offset (file position minus template
+position).  Only there the postings of the other words are intersected by
+relative position.  A statement counts when the words on one offset carry
+enough weight, and a mandatory key phrase of its license stands in the file
+word by word.
 
 Defined cases: a null text counts as an empty one (no words, no labels, score
 0); repeated rows are scanned each on its own; an empty table gives no rows;
@@ -36,15 +37,27 @@ TEMPLATES = {
     "licensed under cc by nc 4 0": "cc",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl",
+    "under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl",
+    "boost software license version 1 0": "bsl",
 }
 # Phrases of which one has to stand in a file with that label.
 MANDATORY = {
     "mit": ("mit license", "permission is hereby granted"), "apache": ("apache license", "apache org licenses"),
     "gpl": ("general public license",), "bsd": ("source and binary forms",),
-    "cc": ("cc by", "creative commons"), "mpl": ("mozilla public license",),
+    "cc": ("cc by", "creative commons"), "mpl": ("mozilla public license",), "lgpl": ("lesser general public license",),
+    "agpl": ("affero general public license",), "isc": ("copyright notice and this permission notice",),
+    "unlicense": ("public domain", "compiled binary"), "epl": ("eclipse public license",), "bsl": ("boost software license", "covered by this license"),
 }
 # Function words and digits that the index leaves out.
-STOP = "a an and any are as at be by can except file following for free in is it may met no not obtain of on or person that the this to under use with without work you v 0 2 3 4".split()
+STOP = "a an and any are as at be by can except file following for free in is it may met no not obtain of on or person that the this to under use with without work you v 0 1 2 3 4".split()
 #: Share of a statement's weight that one offset must carry, and its rarest words of which one must be there.
 COVERAGE, RAREST = 0.6, 3
 
@@ -122,11 +135,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         idf.withColumn("whole", F.sum("idf").over(of))
         .withColumn("rare", F.dense_rank().over(of.orderBy(F.desc("idf"), "word")) <= RAREST)
     )
+    offset = (F.col("pos") - F.col("tpos")).alias("offset")
+    spot = ["rid", "template", "offset"]
+    proposed = seen.join(F.broadcast(idf.where("rare")), "word").select("rid", "template", offset).distinct()
     on = (
-        seen.join(F.broadcast(idf), "word")
-        .groupBy("rid", "label", "template", (F.col("pos") - F.col("tpos")).alias("offset"))
-        .agg((F.sum("idf") / F.first("whole")).alias("share"), F.max("rare").alias("rare"))
-        .where(F.col("rare") & (F.col("share") >= COVERAGE))
+        seen.join(F.broadcast(idf), "word").select("rid", "label", "template", offset, "idf", "whole").join(proposed, spot, "left_semi")
+        .groupBy("label", *spot).agg((F.sum("idf") / F.first("whole")).alias("share")).where(F.col("share") >= COVERAGE)
         .groupBy("rid").agg(F.collect_set(F.struct("label", F.round(F.least("share", F.lit(1.0)), 6).alias("share"))).alias("pairs"))
     )
     held = F.array(*[

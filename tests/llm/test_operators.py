@@ -449,3 +449,65 @@ def test_hamming_index_finds_all_within_radius():
     q, i = decontam.HammingIndex(prints).query(queries)
     want = {(a, b) for a in range(200) for b in range(300) if int(queries[a] ^ prints[b]).bit_count() <= decontam.RADIUS}
     assert set(zip(q.tolist(), i.tolist())) == want
+
+
+def test_licence_labels_and_scores_by_brute_force(spark):
+    rng = random.Random(21)
+    lines = list(licences.TEMPLATES)
+    rows = {}
+    for i in range(120):
+        w = [rng.choice("alpha beta gamma delta software license public copy".split()) for _ in range(rng.randint(0, 30))]
+        if i % 3:
+            t = lines[i % len(lines)].split()
+            for _ in range(rng.choice((0, 0, 1, 3, 8))):
+                t[rng.randrange(len(t))] = "zzz"
+            w[len(w) // 2 : len(w) // 2] = t
+        rows[i] = " ".join(w)
+    rows[200], rows[201] = None, "Neither line, but the MIT License: \u00e9t\u00e9"
+    words = {i: re.findall(licences.WORD, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for i, t in rows.items()}
+    n = len(rows)
+    idf = lambda x: math.log((n + 1) / (sum(x in set(w) for w in words.values()) + 1)) + 0.01
+    index = [(t.split(), label) for t, label in licences.TEMPLATES.items()]
+    value = {x: idf(x) for t, _ in index for x in t if x not in licences.STOP}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licences.scan(frame).collect()}
+    several = set()
+    for i, w in words.items():
+        at = lambda p, w=w: [k for k in range(len(w)) if w[k : k + len(p)] == p]
+        base = {label for p, label in licences.BASE.items() if at(p.split())}
+        best = {}
+        for t, label in index:
+            own = [(k, x) for k, x in enumerate(t) if x in value]
+            # dense ranks by idf and word: the rarest words, wherever they stand
+            rare = set(sorted({x for _, x in own}, key=lambda x: (-value[x], x))[: licences.RAREST])
+            whole = sum(value[x] for _, x in own)
+            for o in {p - k for p, y in enumerate(w) for k, x in own if x == y and x in rare}:
+                share = sum(value[x] for k, x in own if 0 <= o + k < len(w) and w[o + k] == x) / whole
+                if share >= licences.COVERAGE - 1e-12 and any(at(p.split()) for p in licences.MANDATORY[label]):
+                    best[label] = max(best.get(label, 0), round(min(share, 1.0), 6))
+        several |= set(best)
+        assert got[i].labels == ",".join(sorted(base | set(best))), (i, rows[i], got[i])
+        assert math.isclose(got[i].score, 1.0 if base else max(best.values(), default=0.0), abs_tol=2e-6)
+    assert len(several) >= 8
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    d = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    out, rules = quality.judge(docs, labels)
+    assert rules
+    ratio = lambda s, k: s[quality.FEATURES[k][0]] / max(1, s[quality.FEATURES[k][1]]) if quality.FEATURES[k][1] else s[quality.FEATURES[k][0]]
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    dropped = 0
+    for r in out.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
+        seen, repeated = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2)), set()
+        for j in range(len(w) - 2):
+            if seen[tuple(w[j : j + 3])] > 1:
+                repeated.update((j, j + 1, j + 2))
+        failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+        s = r.stats.asDict()
+        fires = any(all(ratio(s, k) <= x if op == "<=" else ratio(s, k) >= x for k, op, x in rule.tests) for rule in rules)
+        assert (r.base_failed, r.kept) == (failed, not failed and not fires), r.doc_id
+        dropped += fires and not failed
+    assert dropped
