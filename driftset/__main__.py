@@ -52,7 +52,7 @@ def run(spark: SparkSession, graph: str, batches: str, state: str, set_file: str
         if independence_violations(edges, mis).limit(1).count() or maximality_violations(g.vertices, edges, mis).limit(1).count():
             raise ValueError("the set file is no maximal independent set of the graph")
     else:
-        mis = lfmis(g.vertices, edges)
+        mis = lfmis(g.vertices, edges, closed=g.header is not None)
     engine = Engine(spark, state, mode, evict)
     engine.start(State(g.vertices, edges, mis))
     ups, _ = T.read_batches(spark, batches, id_base, limit)

@@ -66,14 +66,15 @@ def csr_offsets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return running_offsets(d, "id", "degree")
 
 
-def rank_by(rows: DataFrame, key: str, ties: list[str], bits: int = 31) -> DataFrame:
+def rank_by(rows: DataFrame, key: str, ties: list[str], bits: int = 31, n: int | None = None) -> DataFrame:
     """Adds ``rank`` from 0 in the order of a hash-like ``key`` of ``bits`` bits.
 
     Equal key ranges of about ``RANGE_ROWS`` rows are counted and prefix-summed,
     then each range ranks its own rows: the order is global, but no task holds
-    more than a range, and the table of ranges is small.
+    more than a range, and the table of ranges is small.  ``n``: the number of
+    rows, if known.
     """
-    ranges = max(6, min(bits, (rows.count() // RANGE_ROWS).bit_length()))
+    ranges = max(6, min(bits, ((rows.count() if n is None else n) // RANGE_ROWS).bit_length()))
     cut = F.shiftright(F.col(key), bits - ranges)
     ranged = rows.withColumn("__r", cut)
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,6 +24,21 @@ from driftset.operators.graph import symmetrise
 LOCAL_EDGES = 2_000_000
 
 
+def greedy(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the vertices 0..n-1, in this order, the greedy takes; the same rounds on arrays, all local minima at once."""
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    state = np.zeros(n, np.int8)
+    while len(lo):
+        blocked = np.zeros(n, bool)
+        blocked[hi] = True
+        win = (state == 0) & ~blocked
+        state[win] = 1
+        state[hi[win[lo]]] = 2
+        live = (state[lo] == 0) & (state[hi] == 0)
+        lo, hi = lo[live], hi[live]
+    return state != 2
+
+
 def _greedy(edges: DataFrame) -> DataFrame:
     """The set within keyed edges (ka, a, kb, b), each edge once, in one task."""
 
@@ -39,35 +54,26 @@ def _greedy(edges: DataFrame) -> DataFrame:
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.cumsum(new) - 1
         names, m = ids[order][new], len(a)
-        lo, hi = np.minimum(rank[:m], rank[m:]), np.maximum(rank[:m], rank[m:])
-        state = np.zeros(len(names), np.int8)
-        while len(lo):  # the same rounds, on arrays: all local minima at once
-            blocked = np.zeros(len(names), bool)
-            blocked[hi] = True
-            win = (state == 0) & ~blocked
-            state[win] = 1
-            state[hi[win[lo]]] = 2
-            live = (state[lo] == 0) & (state[hi] == 0)
-            lo, hi = lo[live], hi[live]
-        state[state == 0] = 1
-        yield pa.RecordBatch.from_arrays([pa.array(names[state == 1])], names=["id"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[greedy(len(names), rank[:m], rank[m:])])], names=["id"])
 
     return edges.coalesce(1).mapInArrow(run, "id bigint")
 
 
-def lfmis(vertices: DataFrame, edges: DataFrame, key: Column | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def lfmis(vertices: DataFrame, edges: DataFrame, key: Column | None = None, local_edges: int = LOCAL_EDGES, closed: bool = False) -> DataFrame:
     """ids of the set of graph (``vertices`` id, canonical ``edges``).
 
     ``key`` is a bigint expression over a column ``id`` (default: the id);
     equal keys are ordered by id.  Edges with an end outside ``vertices`` are
-    ignored.  Materialise the result if it is read more than once.
+    ignored; if there are none (``closed``), two joins are saved.  Materialise the result if it is read more than once.
     """
     key = F.col("id") if key is None else key
     v = vertices.select("id").distinct()
-    keyed = v.select("id", key.cast("bigint").alias("k"))
-    ends = [keyed.select(F.col("id").alias(x), F.col("k").alias(f"k{x}")) for x in ("a", "b")]
-    left = materialise(
-        edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(ends[0], "a").join(ends[1], "b").select("ka", "a", "kb", "b"), "lfmis")
+    left = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    for x in ("a", "b"):
+        if not closed:
+            left = left.join(v.withColumnRenamed("id", x), x, "left_semi")
+        left = left.withColumn("id", F.col(x)).withColumn(f"k{x}", key.cast("bigint"))
+    left = materialise(left.select("ka", "a", "kb", "b"), "lfmis")
     touched = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id")))
     found = [v.join(touched, "id", "left_anti")]  # isolated vertices are in
     while n := left.count():

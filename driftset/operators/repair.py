@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import materialise
 from driftset.operators.graph import apply_net, incident, neighbours
-from driftset.operators.lfmis import lfmis
+from driftset.operators.lfmis import LOCAL_EDGES, greedy, lfmis
 
 # The six cases of one net operation, by operation and ends in the set.
 CASES = {("I", 2): "L1", ("I", 1): "L2", ("I", 0): "L3", ("D", 1): "L4", ("D", 0): "L5", ("D", 2): "L6"}
@@ -42,6 +45,37 @@ def evicted_vertices(conflicts: DataFrame, evict: str = "min") -> DataFrame:
     return ends.join(kept, "id", "left_anti")
 
 
+def _evicted_in_one_task(conflicts: DataFrame, evict: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            ends = np.concatenate([x for p in zip(*parts) for x in p])
+            names, at = np.unique(ends, return_inverse=True)
+            rank = len(names) - 1 - at if evict == "min" else at
+            names = names[::-1] if evict == "min" else names
+            m = len(ends) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(names[~greedy(len(names), rank[:m], rank[m:])])], names=["id"])
+
+    return conflicts.select("src", "dst").coalesce(1).mapInArrow(run, "id bigint")
+
+
+def _added_in_one_task(pool: DataFrame, around: DataFrame) -> DataFrame:
+    """The greedy by id among the vertices of the pool that no member covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not parts:
+            return
+        a, b, member = (np.concatenate(x) for x in zip(*parts))
+        alone = np.flatnonzero(a == b)  # the pool itself
+        free = np.setdiff1d(a[alone], a[member])
+        inside = (a < b) & np.isin(a, free) & np.isin(b, free)
+        yield pa.RecordBatch.from_arrays([pa.array(free[greedy(len(free), np.searchsorted(free, a[inside]), np.searchsorted(free, b[inside]))])], names=["id"])
+
+    rows = pool.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(False).alias("member")).unionByName(around.select("a", "b", "member"))
+    return rows.coalesce(1).mapInArrow(run, "id bigint")
+
+
 def _stay(mis: DataFrame, evicted: DataFrame) -> DataFrame:
     return mis.select("id").join(evicted, "id", "left_anti")
 
@@ -79,16 +113,22 @@ def repair(state: State, net: DataFrame, evict: str = "min", fresh: DataFrame |
     The graph is scanned twice, for the edges at evicted vertices and for
     those at the pool of vertices that may join; it is neither shuffled by a
     join whose other side is small nor written.  Everything else follows the
-    size of the batch.  ``fresh`` are new vertices, which may join too.
+    size of the batch: tables of at most ``LOCAL_EDGES`` rows are answered by
+    one task, larger ones in distributed rounds.  ``fresh`` are new vertices, which may join too.
     """
     edges = apply_net(state.edges, net)
-    evicted = materialise(evicted_vertices(insertion_conflicts(net, state.mis), evict), "evicted")
+    conflicts = materialise(insertion_conflicts(net, state.mis), "conflicts")
+    small = conflicts.count() <= LOCAL_EDGES
+    evicted = materialise(_evicted_in_one_task(conflicts, evict) if small else evicted_vertices(conflicts, evict), "evicted")
     pool = _loose(edges, net, state.mis, evicted)
     if fresh is not None:
         pool = pool.unionByName(fresh).distinct()
     pool = materialise(pool, "pool")
-    around = materialise(incident(edges, pool), "around")
-    free = _uncovered(pool, around, _stay(state.mis, evicted))
+    stay = _stay(state.mis, evicted).select(F.col("id").alias("b"), F.lit(True).alias("member"))
+    around = materialise(incident(edges, pool).join(stay, "b", "left").select("a", "b", F.coalesce("member", F.lit(False)).alias("member")), "around")
+    if pool.count() + around.count() <= LOCAL_EDGES:
+        return evicted, materialise(_added_in_one_task(pool, around), "added")
+    free = pool.join(around.where("member").select(F.col("a").alias("id")), "id", "left_anti")
     added = lfmis(free, around.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return evicted, materialise(added, "added")
 

@@ -12,14 +12,15 @@ KEY_A = "(src * 1103515245 + dst * 12345 + 1013904223) % 2147483648"
 KEY_B = "(src * 22695477 + dst * 1664525 + 1) % 2147483648"
 
 
-def ranked(edges: DataFrame, key: str) -> DataFrame:
-    return rank_by(edges.withColumn("__key", F.expr(key)), "__key", ["src", "dst"]).drop("__key")
+def ranked(edges: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    return rank_by(edges.withColumn("__key", F.expr(key)), "__key", ["src", "dst"], n=n).drop("__key")
 
 
-def split(edges: DataFrame, per_mille: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Head and tail of the edges in the order of a pair key; ranks are kept."""
-    r = ranked(edges, key)
-    cut = edges.count() * per_mille // 1000
+def split(edges: DataFrame, per_mille: int, key: str, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Head and tail of the edges (``n`` of them, if known) in the order of a pair key; ranks are kept."""
+    n = edges.count() if n is None else n
+    r = ranked(edges, key, n)
+    cut = n * per_mille // 1000
     return r.where(F.col("rank") < cut), r.where(F.col("rank") >= cut).withColumn("rank", F.col("rank") - cut)
 
 

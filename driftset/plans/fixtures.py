@@ -56,23 +56,24 @@ def graph(spark: SparkSession, sf_dir: str, name: str = "grid") -> tuple[DataFra
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges
 
 
-def batch_size(edges: DataFrame) -> int:
-    """Updates of a batch: the stream's, in BATCHES batches."""
-    n = edges.count()
+def batch_size(n: int) -> int:
+    """Updates of a batch: the stream's of n edges, in BATCHES batches."""
     return max(1, -(-(n - n * STREAM_FROM // 1000) // BATCHES))
 
 
 def split_mix(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Base graph and batches from two independent orders, so most updates delete."""
-    base, _ = U.split(edges, BASE, U.KEY_A)
-    _, tail = U.split(edges, STREAM_FROM, U.KEY_B)
-    return base.select("src", "dst"), U.chunked(tail, batch_size(edges))
+    n = edges.count()
+    base, _ = U.split(edges, BASE, U.KEY_A, n)
+    _, tail = U.split(edges, STREAM_FROM, U.KEY_B, n)
+    return base.select("src", "dst"), U.chunked(tail, batch_size(n))
 
 
 def reverse_split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Base graph and batches from one order, so all updates insert."""
-    base, tail = U.split(edges, STREAM_FROM, U.KEY_B)
-    return base.select("src", "dst"), U.chunked(tail, batch_size(edges))
+    n = edges.count()
+    base, tail = U.split(edges, STREAM_FROM, U.KEY_B, n)
+    return base.select("src", "dst"), U.chunked(tail, batch_size(n))
 
 
 def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:

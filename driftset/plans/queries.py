@@ -53,8 +53,8 @@ def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def _batch(spark: SparkSession, d: str) -> tuple[R.State, DataFrame, DataFrame]:
     v, base, ups = _base(spark, d)
-    first = materialise(ups.where("batch_id = 0"), "batch")
-    return R.State(v, base, materialise(lfmis(v, base), "mis")), first, materialise(U.net_toggle(first, base), "net")
+    first = ups.where("batch_id = 0")
+    return R.State(v, base, materialise(lfmis(v, base, closed=True), "mis")), first, materialise(U.net_toggle(first, base), "net")
 
 
 # ------------------------------------------------------------ graph storage
@@ -286,26 +286,26 @@ def cluster_incident_edges(spark: SparkSession, d: str) -> DataFrame:
 
 for _name in ("grid", "returns_chain", "co_purchase", "customer_seq"):
     query(_with(X.sql_graph(_name), X.sql_lfmis("s", "v", "adj")) + "SELECT id FROM s", "lfmis_id" if _name == "grid" else f"lfmis_id_{_name}")(
-        lambda spark, d, n=_name: lfmis(*X.graph(spark, d, n)))
+        lambda spark, d, n=_name: lfmis(*X.graph(spark, d, n), closed=True))
 query(_with(_G, X.sql_lfmis("s", "v", "adj", "(id * 1103515245 + 12345) % 2147483648")) + "SELECT id FROM s", "lfmis_lcg")(
-    lambda spark, d: lfmis(*X.graph(spark, d), G.lcg(F.col("id"))))
+    lambda spark, d: lfmis(*X.graph(spark, d), G.lcg(F.col("id")), closed=True))
 
 
 @query(_with(_G, X.sql_lfmis("s", "v", "adj")) + "SELECT count(*) AS mis_size FROM s")
 def mis_cardinality(spark: SparkSession, d: str) -> DataFrame:
-    return M.cardinality(lfmis(*X.graph(spark, d)))
+    return M.cardinality(lfmis(*X.graph(spark, d), closed=True))
 
 
 @query(_with(_G, X.sql_lfmis("s", "v", "adj")) + "SELECT src, dst FROM e WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)")
 def independence_check(spark: SparkSession, d: str) -> DataFrame:
     v, e = X.graph(spark, d)
-    return independence_violations(e, materialise(lfmis(v, e), "mis"))
+    return independence_violations(e, materialise(lfmis(v, e, closed=True), "mis"))
 
 
 @query(_with(_G, X.sql_lfmis("s", "v", "adj")) + "SELECT id FROM v WHERE id NOT IN (SELECT id FROM s) AND id NOT IN (SELECT a FROM adj WHERE b IN (SELECT id FROM s))")
 def maximality_check(spark: SparkSession, d: str) -> DataFrame:
     v, e = X.graph(spark, d)
-    return maximality_violations(v, e, materialise(lfmis(v, e), "mis"))
+    return maximality_violations(v, e, materialise(lfmis(v, e, closed=True), "mis"))
 
 
 # ------------------------------------------------------------ repair
@@ -321,7 +321,7 @@ def _inserting(spark: SparkSession, d: str) -> tuple[R.State, DataFrame]:
     """A state and net operations with many conflicts: the insert-only stream, all at once."""
     v, e = X.graph(spark, d)
     base, ups = (materialise(x, "insert") for x in X.reverse_split(materialise(e, "graph")))
-    return R.State(v, base, materialise(lfmis(v, base), "mis")), materialise(U.net_toggle(ups, base), "net")
+    return R.State(v, base, materialise(lfmis(v, base, closed=True), "mis")), materialise(U.net_toggle(ups, base), "net")
 
 
 _I = (_G, X.sql_split(False), X.sql_net(""), X.sql_repair())
@@ -410,7 +410,7 @@ def _streamed(spark: SparkSession, d: str) -> Engine:
     v, base, ups = _base(spark, d)
     folder = fresh_path(spark, "stream")
     engine = Engine(spark, f"{folder}/state")
-    engine.start(R.State(v, base, lfmis(v, base)))
+    engine.start(R.State(v, base, lfmis(v, base, closed=True)))
     write_batches(ups, f"{folder}/in")
     engine.run_folder(f"{folder}/in/*", f"{folder}/checkpoint")
     return engine
