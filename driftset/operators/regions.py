@@ -44,25 +44,34 @@ def with_batch(edges: DataFrame, updates: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(updates.where("src < dst").select("src", "dst"))
 
 
-def region_incidence(updates: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    return affected_area(updates, with_batch(edges, updates), hops)
-
-
 def conflict_free_regions(updates: DataFrame, edges: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """Update and vertex labels of one batch.
 
     Updates whose areas on the graph with the batch share a vertex belong
     together; a region is named by its least seq.  Returns
     edge_cluster(batch_id, seq, cluster_id) and vertex_cluster(batch_id, id, cluster_id).
+
+    No table holds the areas of all updates: each vertex reached keeps the
+    least seq that reached it, and a link is drawn where a label meets a
+    smaller one.  All updates at a vertex are linked to its label already, so
+    the links join the same updates as their areas do, and each hop follows
+    the edges at the vertices reached, once, however many updates share them.
     """
-    area = materialise(region_incidence(updates, edges, hops), "area")
-    hub = area.groupBy("id").agg(F.min("seq").alias("b"))
-    links = area.join(hub, "id").select(F.col("seq").alias("a"), "b")
+    adj = symmetrise(with_batch(edges, updates))
+    seeds = updates.select("seq", F.explode(F.array("src", "dst")).alias("id")).where("id is not null")
+    reached = materialise(seeds.groupBy("id").agg(F.min("seq").alias("label")), "reached")
+    links = seeds.join(reached, "id").select(F.col("seq").alias("a"), F.col("label").alias("b"))
+    for _ in range(hops):
+        step = reached.join(adj, reached["id"] == adj["a"]).select(F.col("b").alias("id"), "label").unionByName(reached)
+        step = materialise(step.distinct(), "step")
+        reached = materialise(step.groupBy("id").agg(F.min("label").alias("least")), "reached")
+        links = links.unionByName(step.join(reached, "id").select(F.col("label").alias("a"), F.col("least").alias("b")))
+        reached = reached.withColumnRenamed("least", "label")
     roots = components(links, LOCAL_EDGES)
     named = updates.select("batch_id", "seq").join(roots.select(F.col("node").alias("seq"), "root"), "seq", "left")
     edge_cluster = materialise(named.select("batch_id", "seq", F.coalesce("root", "seq").alias("cluster_id")), "regions")
-    vertex_cluster = area.join(edge_cluster, ["batch_id", "seq"]).select("batch_id", "id", "cluster_id").distinct()
-    return edge_cluster, vertex_cluster
+    labels = edge_cluster.withColumnRenamed("seq", "label")
+    return edge_cluster, reached.join(labels, "label").select("batch_id", "id", "cluster_id")
 
 
 def cluster_sizes(edge_cluster: DataFrame) -> DataFrame:
