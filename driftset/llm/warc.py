@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from driftset.functions.shared import fresh_path, materialise
 
 ARCHIVE_BYTES = 32 << 20
+#: Keys that rows of one payload are dealt to.
+SALT = 16
 #: Bytes read at a time; a header has no more than HEAD_BYTES.  Blocks may have any length.
 PIECE, HEAD_BYTES = 1 << 20, 1 << 24
 DATE = "1970-01-01T00:00:00Z"
@@ -321,8 +323,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
         rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
         .agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
+    # a very common payload is spread over SALT keys, each of which knows its response
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best"))
-    told = rows.join(best, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    told = rows.join(best, ["digest", "salt"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
