@@ -2,7 +2,7 @@
 
 python -m driftset base GRAPH OUT                      the base graph (95 % of the edges)
 python -m driftset batches GRAPH OUT --ratio 1e-3      update batches from the other order (10 %)
-python -m driftset run GRAPH BATCHES STATE [--set FILE --set-base 0|1] [--limit K] [--report OUT]
+python -m driftset run GRAPH BATCHES STATE [--set FILE --set-base 0|1] [--limit K] [--report OUT] [--out-set OUT]
 """
 
 from __future__ import annotations
@@ -40,8 +40,12 @@ def prepare_batches(spark: SparkSession, graph: str, out: str, ratio: float, per
 
 
 def run(spark: SparkSession, graph: str, batches: str, state: str, set_file: str | None = None, set_base: int | None = None, limit: int | None = None,
-        mode: str = "toggle", evict: str = "min", id_base: int = 1, report: str | None = None) -> DataFrame:
-    """Applies the batches of a folder in the order of their numbers; the summary."""
+        mode: str = "toggle", evict: str = "min", id_base: int = 1, report: str | None = None, out_set: str | None = None) -> DataFrame:
+    """Applies the batches of a folder in the order of their numbers; the summary.
+
+    ``report`` gets a row for each batch and stage, and ``report``-stages the
+    totals of the stages; ``out_set`` gets the final set.
+    """
     g = T.read_graph(spark, graph, id_base)
     edges = materialise(g.edges, "graph")
     if set_file is not None:
@@ -62,6 +66,9 @@ def run(spark: SparkSession, graph: str, batches: str, state: str, set_file: str
     rows = engine.metrics()
     if report:
         rows.coalesce(1).write.mode("overwrite").json(report)
+        M.slowest_worker_total(rows.withColumn("worker", F.lit(0))).coalesce(1).write.mode("overwrite").json(f"{report}-stages")
+    if out_set:
+        T.write_set(engine.load(engine.version()).mis, out_set, id_base)
     return M.summary(rows)
 
 
@@ -78,6 +85,7 @@ def main() -> None:
     p.add_argument("--mode", default="toggle")
     p.add_argument("--evict", default="min")
     p.add_argument("--report")
+    p.add_argument("--out-set")
     a = p.parse_args()
     spark = SparkSession.builder.appName("driftset").getOrCreate()
     if a.what == "base":
@@ -85,7 +93,7 @@ def main() -> None:
     elif a.what == "batches":
         prepare_batches(spark, a.graph, a.paths[0], a.ratio, id_base=a.id_base)
     else:
-        run(spark, a.graph, a.paths[0], a.paths[1], a.set, a.set_base, a.limit, a.mode, a.evict, a.id_base, a.report).show(truncate=False)
+        run(spark, a.graph, a.paths[0], a.paths[1], a.set, a.set_base, a.limit, a.mode, a.evict, a.id_base, a.report, a.out_set).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -31,6 +31,13 @@ def chunked(tail: DataFrame, size: int) -> DataFrame:
     return tail.select(F.floor(F.col("rank") / size).cast("int").alias("batch_id"), F.col("rank").alias("seq"), "src", "dst", F.lit(None).cast("string").alias("op"))
 
 
+def concatenated(first: DataFrame, second: DataFrame) -> DataFrame:
+    """All updates of two streams, those of the second after those of the first."""
+    ends = first.agg(F.coalesce(F.max("batch_id"), F.lit(-1)).alias("b"), F.coalesce(F.max("seq"), F.lit(-1)).alias("s")).first()
+    later = second.withColumns({"batch_id": (F.col("batch_id") + ends.b + 1).cast("int"), "seq": (F.col("seq") + ends.s + 1).cast("bigint")})
+    return first.unionByName(later)
+
+
 def split_valid(updates: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Updates in canonical order on known vertices, and the rejected others with a reason."""
     v = vertices.select("id").distinct()

@@ -110,6 +110,13 @@ def reverse_split_chunks(spark: SparkSession, d: str) -> DataFrame:
     return G.is_adjacent(ups, base).select("batch_id", "seq", "src", "dst", (~F.col("adjacent")).alias("inserts"))
 
 
+@query(_with(*_S) + """, n AS (SELECT max(batch_id) + 1 AS b, max(seq) + 1 AS s FROM ups)
+SELECT batch_id, seq, src, dst FROM ups UNION ALL SELECT (batch_id + b)::INTEGER, seq + s, src, dst FROM ups, n""")
+def concatenated_chunks(spark: SparkSession, d: str) -> DataFrame:
+    ups = _base(spark, d)[2]
+    return U.concatenated(ups, ups).select("batch_id", "seq", "src", "dst")
+
+
 # ------------------------------------------------------------ batch analysis
 
 
