@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,16 +18,21 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-#: Paths made and not yet removed, and those of each open ``temporary`` block.
+#: Paths made and not yet removed.
 _live: dict[str, SparkSession] = {}
-_blocks: list[list[str]] = []
+#: The paths of each open ``temporary`` block of a thread.
+_thread = threading.local()
+
+
+def _blocks() -> list[list[str]]:
+    return _thread.__dict__.setdefault("blocks", [])
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's, or our own in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
@@ -38,8 +45,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A path nobody else uses, below the shared folder; removed with its ``temporary`` block, or at exit."""
     path = f"{shared_dir(spark)}/driftset-{label}-{uuid.uuid4().hex}"
     _live[path] = spark
-    if _blocks:
-        _blocks[-1].append(path)
+    if _blocks():
+        _blocks()[-1].append(path)
     return path
 
 
@@ -66,11 +73,11 @@ def _discard_all() -> None:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables made inside are deleted at the end; write what has to stay to a path from outside."""
-    _blocks.append([])
+    _blocks().append([])
     try:
         yield
     finally:
-        for path in _blocks.pop():
+        for path in _blocks().pop():
             discard(spark, path)
 
 
