@@ -45,6 +45,8 @@ uniform; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -786,7 +788,7 @@ def _part(key: np.ndarray, before: np.ndarray, w: np.ndarray, p0: np.ndarray, tr
 
 
 #: Events that one trie is built from at a time; a shard is cut by context into such parts.
-PART_EVENTS = 300_000
+PART_EVENTS = 200_000
 
 
 def _known_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -800,8 +802,17 @@ def _known_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate(n)[first]
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system where the C library can; workers live on between stages."""
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim:
+        trim(0)
+
+
 def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) -> dict[int, bytes]:
     """Partial sums of one shard by chunk."""
+    _trim()
     names = [k for k, _ in rows]
     words, counted = _known_words(counts)
     cols: list[list[np.ndarray]] = [[] for _ in range(10)]
@@ -810,8 +821,12 @@ def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) ->
         rows[k] = (names[k], b"")  # free as we go
         for c, x in zip(cols, (key, hot, before, w, p0, train[doc], np.full(len(w), k * CHUNK_DOCS, np.int32) + doc, *others)):
             c.append(x)
-    key, hot, before, w, p0, train, owner, rest_k, rest_w, rest = (np.concatenate(c) for c in cols)
+    for i, c in enumerate(cols):  # the pieces of a column go before the next one is joined up
+        cols[i] = np.concatenate(c)
+        c.clear()
+    key, hot, before, w, p0, train, owner, rest_k, rest_w, rest = cols
     del cols, words, counted
+    _trim()
     parts = max(1, -(-len(key) // PART_EVENTS))
     part = (mix(key ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
     rest_part = (mix(rest_k ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
