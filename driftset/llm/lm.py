@@ -86,7 +86,7 @@ SCORE_UNIT, BASE_UNIT = 1e6, 1e9
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """Symbol of each byte (1..63), and how many bytes share the symbol."""
-    sym = np.full(256, 63, np.int64)
+    sym = np.full(256, 63, np.uint8)
     sym[97:123] = np.arange(1, 27)
     sym[48:58] = 27
     sym[0xC3] = 28
@@ -103,13 +103,18 @@ def _trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     """Codes of the byte events within words, their word, and of the word ends."""
     n = ends - starts
     word = np.repeat(np.arange(len(starts)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    pos = starts[word] + at
-    s = _SYM[data]
-    a = np.where(at >= 2, s[np.maximum(pos - 2, 0)], 0)
-    b = np.where(at >= 1, s[np.maximum(pos - 1, 0)], 0)
-    last2 = np.where(n >= 2, s[np.maximum(ends - 2, 0)], 0)
-    return (a << 12) | (b << 6) | s[pos], word, (last2 << 12) | (s[ends - 1] << 6)
+    first = np.cumsum(n) - n
+    # the symbols of the words one after another
+    s = _SYM[data[np.arange(len(word)) + np.repeat(starts - first, n)]].astype(np.int32)
+    code = s.copy()
+    code[1:] |= s[:-1] << 6
+    code[2:] |= s[:-2] << 12
+    many = n >= 2
+    code[first] = s[first]
+    code[first[many] + 1] &= 0xFFF
+    last = s[first + n - 1] << 6
+    last[many] |= s[(first + n - 2)[many]] << 12
+    return code, word, last
 
 
 class ByteModel:
@@ -152,7 +157,7 @@ def _byte_select() -> np.ndarray:
     return out
 
 
-_SELECT8, _COUNT8 = _byte_select(), np.array([v.bit_count() for v in range(256)], np.uint8)
+_SELECT8 = _byte_select().ravel()
 
 
 class BitVector:
@@ -174,14 +179,27 @@ class BitVector:
         """Positions of the ``k``-th (from 0) bits equal to ``bit``."""
         before = self.before[bit]
         word = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
-        rest = k - before[word]
-        cur = self.words[word]
-        octets = np.ascontiguousarray(cur if bit else ~cur).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_COUNT8[octets], axis=1, dtype=np.int64)
-        at = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(at > 0, upto[row, np.maximum(at - 1, 0)], 0)
-        return word * 64 + at * 8 + _SELECT8[octets[row, at], rest]
+        rest = (k - before[word]).astype(np.uint8)
+        cur = self.words[word] if bit else ~self.words[word]
+        at = word * 64
+        for half in (32, 16, 8):  # the half of the bits that holds it
+            n = np.bitwise_count(cur & U64((1 << half) - 1))
+            upper = rest >= n
+            rest -= n * upper
+            shift = upper * U64(half)
+            cur >>= shift
+            at += shift.astype(np.int64)
+        return at + _SELECT8[(cur & U64(0xFF)).astype(np.int64) * 8 + rest]
+
+    def following(self, at: np.ndarray, k: np.ndarray, bit: int) -> np.ndarray:
+        """Positions of the ``k``-th bits equal to ``bit``, the first ones after the positions ``at``."""
+        begin = at + 1
+        word = begin >> 6
+        cur = (self.words[word] if bit else ~self.words[word]) >> (begin & 63).astype(U64)
+        out = begin + np.bitwise_count((cur & (~cur + U64(1))) - U64(1))
+        beyond = np.flatnonzero(cur == 0)
+        out[beyond] = self.select(k[beyond], bit)
+        return out
 
 
 class EliasFano:
@@ -215,9 +233,17 @@ class EliasFano:
         return ((self.lows[at] >> off) | right) & U64((1 << self.low) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        hi = (self.high.select(i.copy(), 1) - i).astype(U64)
+        hi = (self.high.select(i, 1) - i).astype(U64)
         return (hi << U64(self.low)) | self.low_bits(i)
 
+    def rises(self, i: np.ndarray) -> np.ndarray:
+        """Whether the value after the ``i``-th is greater."""
+        at = self.high.select(i, 1)
+        up = self.high.following(at, i + 1, 1) - at > 1
+        same = np.flatnonzero(~up)
+        up[same] = self.low_bits(i[same] + 1) > self.low_bits(i[same])
+        return up
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of the successor of each ``x`` if it equals ``x``, else -1."""
         out = np.full(len(x), -1, np.int64)
@@ -226,8 +252,8 @@ class EliasFano:
         hi, lo = (x >> U64(self.low)).astype(np.int64), x & U64((1 << self.low) - 1)
         known = np.flatnonzero(hi < self.buckets)
         h = hi[known]
-        begin = np.where(h > 0, self.high.select(np.maximum(h - 1, 0), 0) - np.maximum(h - 1, 0), 0)
-        end = self.high.select(h.copy(), 0) - h
+        at = np.where(h > 0, self.high.select(np.maximum(h - 1, 0), 0), -1)
+        begin, end = at + 1 - h, self.high.following(at, h, 0) - h
         # a binary search among the low bits of one bucket, for all queries at once
         left, right = begin.copy(), end.copy()
         live = np.flatnonzero(left < right)
@@ -258,7 +284,7 @@ def memory_map(arrays: list[np.ndarray]) -> list[np.ndarray]:
             offsets.append(f.tell())
             f.write(np.ascontiguousarray(a).tobytes())
         f.flush()
-        return [np.memmap(f, a.dtype, "r", o, a.shape) if a.size else a for a, o in zip(arrays, offsets)]
+        return [np.memmap(f, a.dtype, "r", o, a.shape).view(np.ndarray) if a.size else a for a, o in zip(arrays, offsets)]
 
 
 class Level:
@@ -275,7 +301,7 @@ class Level:
         out = np.full(len(parent), -1, np.int64)
         some = np.flatnonzero((parent >= 0) & (token >= 0))
         p = parent[some]
-        many = self.pointer.access(p + 1) > self.pointer.access(p)
+        many = self.pointer.rises(p)
         some, p = some[many], p[many]
         out[some] = self.keys.find((p.astype(U64) << self.bits) | token[some].astype(U64))
         return out
@@ -329,10 +355,16 @@ class Events:
         starts, ends, doc = low.words()
         n = c.hi - c.lo
         wh = span_hash(low.prefix(), starts, ends) & _H48
-        words, first, ids = np.unique(wh, return_index=True, return_inverse=True)
+        encoded = pa.array(wh).dictionary_encode()
+        words, ids = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
+        order = np.argsort(words)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words, ids = words[order], rank[ids]
+        first = np.empty_like(order)
+        first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
         self.words = np.concatenate((words, np.array([START, END], U64)))
-        self.data, self.starts, self.ends = low.data, starts, ends
-        self.spans = starts[first], ends[first]
+        self.data, self.spans = low.data, (starts[first], ends[first])
         counts = np.bincount(doc, minlength=n)
         before = np.cumsum(counts) - counts
         # the token sequence of a document is its words and the end; contexts are shifted by one and by two
@@ -459,9 +491,10 @@ def corpus_counts(docs: DataFrame) -> tuple[Model, DataFrame]:
                 n += int(mine[x.doc].sum())
                 n_all += len(x.doc)
                 ok = mine[x.doc[x.at]] if len(x.at) else np.zeros(0, bool)
-                code, _, last = _trigrams(x.data, x.starts[ok], x.ends[ok])
-                counts += np.bincount(code, minlength=64**3) + np.bincount(last, minlength=64**3)
                 k = np.bincount(x.token[x.at[ok]], minlength=len(x.words))
+                code, word, last = _trigrams(x.data, *x.spans)  # each word once, with its count
+                for symbols, times in ((code, k[word]), (last, k[:-2])):
+                    counts += np.bincount(symbols, weights=times, minlength=64**3).astype(np.int64)
                 fresh = _merge(fresh, x.words[k > 0], k[k > 0])
                 if len(fresh[0]) > 1 << 19:
                     words, fresh = _merge(words, *fresh), (np.zeros(0, U64), np.zeros(0, np.int64))
