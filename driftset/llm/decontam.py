@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import fresh_path, materialise
-from driftset.llm.textblocks import U64, Chunk, chunks, distinct, shingles, span_hash
+from driftset.llm.textblocks import U64, Chunk, chunks, distinct, shingles, span_hash, tidy
 
 WIDTH, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, FLIPS = 20, 8, 2
@@ -240,7 +240,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
             cols = list(zip(*rows)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], names=["item_id", "n_words", "shingles"])
 
-    told = items.mapInArrow(cut, "item_id bigint, n_words bigint, shingles array<bigint>")
+    told = items.mapInArrow(tidy(cut), "item_id bigint, n_words bigint, shingles array<bigint>")
     told = materialise(told.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)).cast("int")), "items")
     paths = fresh_path(spark, "item-blocks"), fresh_path(spark, "item-weights")
     told.repartitionByRange(blocks, "block").write.parquet(paths[0])
@@ -272,7 +272,7 @@ def find_matches(docs: DataFrame, blocks: list[Block], keep: str = "doc_id", tex
     schema = f"k {kind}, item_id bigint, first_word bigint, n_words bigint, similarity double"
     out = None
     for block in blocks:
-        part = src.mapInArrow(over(block), schema)
+        part = src.mapInArrow(tidy(over(block)), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("k", keep)
 
@@ -293,7 +293,7 @@ def drop_contaminated(docs: DataFrame, blocks: list[Block], text: str = "text")
         return run
 
     for block in blocks:
-        docs = docs.mapInArrow(over(block), docs.schema)
+        docs = docs.mapInArrow(tidy(over(block)), docs.schema)
     return docs
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from driftset.functions.shared import materialise
 from driftset.operators.components import components
-from driftset.llm.textblocks import U64, Chunk, chunks, distinct_pairs, mix, shingles, span_hash
+from driftset.llm.textblocks import U64, Chunk, chunks, distinct_pairs, mix, pieces, shingles, span_hash, tidy
 
 #: Rows of a tile, and columns multiplied at a time.
 TILE, COLUMNS = 512, 4096
@@ -76,7 +76,7 @@ def with_nodes(docs: DataFrame, k: int, text: str, node: str, size: str) -> Data
             nodes = np.concatenate([x[1] for x in found]) if found else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_signed(nodes)), pa.array(sizes.astype(np.int64))], names=[*b.schema.names, "node", "size"])
 
-    return plain.mapInArrow(run, f"{kinds}, node bigint, size bigint").toDF(*docs.columns, node, size)
+    return plain.mapInArrow(tidy(run), f"{kinds}, node bigint, size bigint").toDF(*docs.columns, node, size)
 
 
 def _least(t: int) -> int:
@@ -115,7 +115,7 @@ def _incidences(docs: DataFrame, k: int, t: int, blocks: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["dest", "blob"])
 
-    return docs.mapInArrow(run, "dest int, blob binary")
+    return docs.mapInArrow(tidy(run), "dest int, blob binary")
 
 
 def _column_block(blobs: list[bytes], dest: int, t: int) -> tuple[np.ndarray, ...]:
@@ -231,15 +231,15 @@ def shared_columns(docs: DataFrame, k: int, t: int) -> DataFrame:
         for s in list(by):
             yield from _rows_of(by.pop(s), t)
 
-    blobs = _incidences(docs, k, t, blocks).repartitionById(blocks, F.col("dest")).mapInArrow(columns, "dest int, blob binary")
-    return blobs.repartitionById(blocks, F.col("dest")).mapInArrow(rows, "node bigint, n bigint, held bigint, common double, ids binary, df binary")
+    blobs = _incidences(docs, k, t, blocks).repartitionById(blocks, F.col("dest")).mapInArrow(tidy(columns), "dest int, blob binary")
+    return blobs.repartitionById(blocks, F.col("dest")).mapInArrow(tidy(rows), "node bigint, n bigint, held bigint, common double, ids binary, df binary")
 
 
 def _prefix(rows: DataFrame, t: int) -> DataFrame:
     """g, node: the columns of each row that a linked row may share first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             gs, ns = [], []
             for node, n, held, raw, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
                 ids, df = np.frombuffer(raw, np.uint64), np.frombuffer(counts, np.uint16)
@@ -250,7 +250,7 @@ def _prefix(rows: DataFrame, t: int) -> DataFrame:
             if gs:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(gs))), pa.array(np.concatenate(ns))], names=["g", "node"])
 
-    return rows.select("node", "n", "held", "ids", "df").mapInArrow(run, "g bigint, node bigint")
+    return rows.select("node", "n", "held", "ids", "df").mapInArrow(tidy(run), "g bigint, node bigint")
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -326,7 +326,7 @@ def _group_links(rows: DataFrame, t: int, keys: list[str]) -> DataFrame:
             out = _multiply(group, t) if len(group) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-        for b in batches:
+        for b in pieces(batches):
             for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
                 if r[: len(keys)] != last:
                     if group:
@@ -336,14 +336,14 @@ def _group_links(rows: DataFrame, t: int, keys: list[str]) -> DataFrame:
         if group:
             yield edges()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _with_pivot(rows: DataFrame, t: int) -> DataFrame:
     """comp, node, linked: whether a row is linked to the pivot of its component, and the pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out, cache = [], {}
             for comp, node, n, raw, pivot, pn, praw in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if pivot not in cache:
@@ -355,7 +355,7 @@ def _with_pivot(rows: DataFrame, t: int) -> DataFrame:
 
     # the row whose columns are held by the most rows on average: copies stray from it
     pivots = rows.groupBy("comp").agg(F.max_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("ids").alias("pids")), F.struct(F.col("common") / F.col("n"), "node")).alias("p"))
-    return rows.join(pivots, "comp").select("comp", "node", "n", "ids", "p.pivot", "p.pn", "p.pids").mapInArrow(run, "comp bigint, node bigint, linked boolean, pivot bigint")
+    return rows.join(pivots, "comp").select("comp", "node", "n", "ids", "p.pivot", "p.pn", "p.pids").mapInArrow(tidy(run), "comp bigint, node bigint, linked boolean, pivot bigint")
 
 
 def node_links(docs: DataFrame, k: int, t: int, text: str = "text") -> DataFrame:

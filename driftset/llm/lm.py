@@ -45,8 +45,6 @@ uniform; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
-import ctypes.util
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -58,7 +56,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftset.functions.shared import materialise
-from driftset.llm.textblocks import U64, Chunk, chunks, distinct, mix, span_hash
+from driftset.llm.textblocks import U64, Chunk, chunks, distinct, mix, release, span_hash, tidy
 
 #: Pseudo-counts of the lower order that a context of one or two words is given.
 MASS1, MASS2 = 100.0, 3.0
@@ -515,7 +513,7 @@ def corpus_counts(docs: DataFrame) -> tuple[Model, DataFrame]:
         value = np.concatenate((counts[some], [k for _, k in named], [n, n_all])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(value)], names=["kind", "key", "n"])
 
-    summed = docs.select("text", "train").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    summed = docs.select("text", "train").mapInArrow(tidy(run), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     rows = materialise(summed, "lm-counts")
     total = {r.kind: r.n for r in rows.where("kind in (3, 4)").collect()}
     n = total.get(3, 0)
@@ -730,8 +728,8 @@ def word_counts(docs: DataFrame, model: Model, others: DataFrame, shards: int) -
         if got:
             yield rows()
 
-    asked = docs.select("text").mapInArrow(ask, "word bigint, dest int")
-    return asked.join(others, "word").select("word", "n", "dest").mapInArrow(pack, MAP_SCHEMA)
+    asked = docs.select("text").mapInArrow(tidy(ask), "word bigint, dest int")
+    return asked.join(others, "word").select("word", "n", "dest").mapInArrow(tidy(pack), MAP_SCHEMA)
 
 
 def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
@@ -765,7 +763,7 @@ def deal(docs: DataFrame, model: Model, shards: int) -> DataFrame:
                         rows.append((s, chunk, None, None, None, _pack(mine, x.words, place, asks, cost, x.context[e], x.before[e], x.token[e], x.doc[e], tuple(y[r] for y in rest))))
                 yield _batch(rows)
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, MAP_SCHEMA)
+    return docs.select("doc_id", "text", "train").mapInArrow(tidy(run), MAP_SCHEMA)
 
 
 # ---------------------------------------------------------------- shards
@@ -835,17 +833,9 @@ def _known_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate(n)[first]
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system where the C library can; workers live on between stages."""
-    name = ctypes.util.find_library("c")
-    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
-    if trim:
-        trim(0)
-
-
 def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) -> dict[int, bytes]:
     """Partial sums of one shard by chunk."""
-    _trim()
+    release()
     names = [k for k, _ in rows]
     words, counted = _known_words(counts)
     cols: list[list[np.ndarray]] = [[] for _ in range(10)]
@@ -859,7 +849,7 @@ def _answer(rows: list[tuple[int, bytes]], counts: list[bytes], model: Model) ->
         c.clear()
     key, hot, before, w, p0, train, owner, rest_k, rest_w, rest = cols
     del cols, words, counted
-    _trim()
+    release()
     parts = max(1, -(-len(key) // PART_EVENTS))
     part = (mix(key ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
     rest_part = (mix(rest_k ^ U64(0xABCDEF)) % U64(parts)).astype(np.uint16)
@@ -899,7 +889,7 @@ def answer(dealt: DataFrame, model: Model, shards: int) -> DataFrame:
             if out:
                 yield _batch([(s, k, None, None, None, x) for k, x in out.items()])
 
-    return dealt.repartitionById(shards, F.col("dest")).mapInArrow(run, MAP_SCHEMA)
+    return dealt.repartitionById(shards, F.col("dest")).mapInArrow(tidy(run), MAP_SCHEMA)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -934,8 +924,7 @@ def score(docs: DataFrame) -> DataFrame:
     model, others = corpus_counts(docs)
     dealt = deal(docs, model, shards).unionByName(word_counts(docs, model, others, shards))
     parts = materialise(answer(dealt, model, shards), "lm-parts")
-    out = parts.repartition(shards, "chunk").mapInArrow(
-        _sums, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, logs double, score double")
+    out = parts.repartition(shards, "chunk").mapInArrow(tidy(_sums), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, logs double, score double")
     types = model.types + (1 if model.p_end * (model.n + 2) > 1.5 else 0)  # the end mark, if training has one
     return out.select(
         "doc_id", "train", "n_tokens", "n_known", F.lit(int(model.n)).cast("bigint").alias("train_tokens"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftset.llm.textblocks import U64, chunks, mix, span_hash
+from driftset.llm.textblocks import U64, chunks, mix, span_hash, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = (
@@ -146,7 +146,7 @@ def text_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
             packed = pa.StructArray.from_arrays([pa.array(found[k]) for k in STATS], names=list(STATS))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=[*b.schema.names[:-1], "stats"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def feature(name: str, stats: str = "stats") -> Column:
